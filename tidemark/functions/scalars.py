@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import SENTIMENT_VALUES
 
-_BLANKS = r"[ \t\n\x0B\f\r]+"
+_BLANKS = " \t\n\x0b\f\r"
 _NULL_MARK = r"\N"
 
 
 def token(text: Column, position: int) -> Column:
     """The token at ``position`` (from 0) of whitespace-separated text, else null."""
-    stripped = F.regexp_replace(text, "^" + _BLANKS, "")
-    found = F.get(F.split(stripped, _BLANKS, position + 2), F.lit(position))
+    stripped = F.ltrim(text, F.lit(_BLANKS))
+    # The limit stops the split after the wanted token; the rest is one last piece.
+    found = F.get(F.split(stripped, r"[ \t\n\x0B\f\r]+", position + 2), F.lit(position))
     return F.when(found != "", found)
 
 

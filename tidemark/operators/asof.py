@@ -3,11 +3,14 @@
 Two exact ways, chosen by a count:
 
 * few right rows per key: each right row becomes a time interval and the join is an
-  equi-join with a range condition. Spark may broadcast a small right side, and
-  adaptive execution splits a key that fills a large left partition.
-* many right rows per key: both sides go through one window per key. A key that is
-  larger than an average shuffle partition is cut at quantiles of its time, and each
-  cut starts with the last right row before it.
+  equi-join with a range condition; Spark may broadcast a small right side.
+* many right rows per key: both sides go through one window per key.
+
+A hot key, one with more rows than an average shuffle partition, is spread over
+several tasks: in the first way its left rows by a hash and its few right rows
+repeated, in the second way both by quantiles of time, each part starting with the
+last right row before it. Finding the hot keys costs one aggregation over the key
+columns; with none, the plain plan is used.
 """
 
 from __future__ import annotations
@@ -43,26 +46,34 @@ def asof_join(
     return asof_by_window(left, right, on, left_time, right_time, right_tie)
 
 
-def asof_by_interval(left, right, on, left_time, right_time, right_tie=None) -> DataFrame:
+def asof_by_interval(left, right, on, left_time, right_time, right_tie=None, parts=None):
     """For right sides with few rows per key, whatever the left side holds."""
     order = [F.col(right_time)] + ([F.col(right_tie)] if right_tie else [])
     until = F.lead(right_time).over(Window.partitionBy(*on).orderBy(*order))
-    spans = right.withColumn("_until", until)
-    here, start = left.alias("l"), spans.alias("r")
-    match = [F.col(f"l.{name}") == F.col(f"r.{name}") for name in on]
+    names, keys = left.columns, list(on)
+    extra, right = _others(right, on), right.withColumn("_until", until)
+    hot = hot_keys(left, on, parts or _shuffle_partitions(left))
+    if hot is not None:
+        marked, copies = F.broadcast(hot), F.coalesce("_copies", F.lit(1))
+        # Equal rows share a salt, so a task that runs again repeats its choice.
+        row_hash = F.xxhash64(*[name for name, kind in left.dtypes if "map<" not in kind])
+        left = left.join(marked, on, "left").withColumn("_salt", F.pmod(row_hash, copies))
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))
+        right = right.join(marked, on, "left").withColumn("_salt", salts)
+        keys.append("_salt")
+    here, span = left.alias("l"), right.alias("r")
+    match = [F.col(f"l.{name}") == F.col(f"r.{name}") for name in keys]
     match.append(F.col(f"l.{left_time}") >= F.col(f"r.{right_time}"))
-    match.append(
-        F.col("r._until").isNull() | (F.col(f"l.{left_time}") < F.col("r._until"))
+    match.append(F.col("r._until").isNull() | (F.col(f"l.{left_time}") < F.col("r._until")))
+    return here.join(span, match).select(
+        *[F.col(f"l.`{name}`") for name in names], *[F.col(f"r.`{name}`") for name in extra]
     )
-    extra = [F.col(f"r.`{name}`") for name in right.columns if name not in on]
-    return here.join(start, match).select("l.*", *extra)
 
 
 def asof_by_window(left, right, on, left_time, right_time, right_tie=None, parts=None) -> DataFrame:
     """For right sides with many rows per key; ``parts`` bounds the share of one task."""
-    spark = left.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    extra = [name for name in right.columns if name not in on]
+    parts = parts or _shuffle_partitions(left)
+    extra = _others(right, on)
     tie = F.col(right_tie) if right_tie else F.lit(0)
     l_row = F.struct(*[F.col(f"`{name}`") for name in left.columns])
     r_row = F.struct(*[F.col(f"`{name}`") for name in extra])
@@ -104,13 +115,26 @@ def asof_by_window(left, right, on, left_time, right_time, right_tie=None, parts
     )
 
 
+def _others(df: DataFrame, on: list[str]) -> list[str]:
+    return [name for name in df.columns if name not in on]
+
+
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def hot_keys(rows: DataFrame, on: list[str], parts: int) -> DataFrame | None:
-    """Keys holding more than 1/parts of all rows, or None. There are fewer than ``parts``."""
+    """Keys holding more than 1/parts of all rows, or None.
+
+    There are fewer than ``parts`` of them. ``_copies`` is how many tasks a key is worth,
+    at most twice ``parts`` over all keys.
+    """
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
     if not total or largest <= total / parts:
         return None
-    return counts.where(F.col("_n") > total / parts).select(*on)
+    copies = F.ceil(F.col("_n") * parts / total).cast("long")
+    return counts.where(F.col("_n") > total / parts).select(*on, copies.alias("_copies"))
 
 
 def ordinal(time: Column, kind: T.DataType) -> Column:
@@ -129,7 +153,7 @@ def ordinal(time: Column, kind: T.DataType) -> Column:
 def _cut_hot_keys(rows, times, hot, on, parts) -> DataFrame:
     """Adds ``_part`` (0 for ordinary keys) and a carried row at the start of each part."""
     # Fewer than ``parts`` rows by the definition of a hot key, so a broadcast is safe.
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    marked = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
     kind = rows.schema["_time"].dataType
     at = ordinal(F.col("_time"), kind)
     shares = [i / parts for i in range(1, parts)]

@@ -7,7 +7,7 @@ per post before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,17 +19,24 @@ from tidemark.functions.scalars import sentiment_value
 _LITERAL_WORDS = 1000
 
 
-def keep_watched(df: DataFrame, watch: Iterable[str] | DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is in the watch list (exact match).
+def _is_table(watch) -> bool:
+    return isinstance(watch, DataFrame) or (watch is not None and len(watch) > _LITERAL_WORDS)
+
+
+def keep_watched(
+    df: DataFrame, watch: Collection[str] | DataFrame | None, column: str
+) -> DataFrame:
+    """Rows whose ``column`` is in the watch list (exact match); without a list, all rows.
 
     A short list becomes a literal set. A long list or a one-column DataFrame is a
     left-semi join without a hint: Spark broadcasts it if its size allows.
     """
+    if watch is None:
+        return df
+    if not _is_table(watch):
+        return df.where(F.col(column).isin(list(watch)))
     if not isinstance(watch, DataFrame):
-        watch = sorted(set(watch))
-        if len(watch) <= _LITERAL_WORDS:
-            return df.where(F.col(column).isin(watch))
-        watch = df.sparkSession.createDataFrame([(w,) for w in watch], "word string")
+        watch = df.sparkSession.createDataFrame([(word,) for word in watch], "word string")
     listed = watch.select(F.col(watch.columns[0]).alias(column))
     return df.join(listed, column, "left_semi")
 
@@ -42,8 +49,9 @@ def mentions(
     Posts with a null or empty keyword array give no row; a keyword that is
     repeated in a post gives a row each time.
     """
-    rows = posts.select(F.explode(tags).alias("hashtag"), *keep)
-    return rows if watch is None else keep_watched(rows, watch, "hashtag")
+    # ``tags`` may be an expression: exploding it in place computes it once, while a column
+    # made beforehand is computed again by the filter Spark infers for it.
+    return keep_watched(posts.select(F.explode(tags).alias("hashtag"), *keep), watch, "hashtag")
 
 
 def _weight(weight: str | None) -> Column:
@@ -55,39 +63,43 @@ def count_mentions(rows: DataFrame, *keys: str, weight: str | None = None) -> Da
     return rows.groupBy(*keys).agg(_weight(weight).alias("total"))
 
 
-def tone_means(
+def tone_sums(
     rows: DataFrame,
-    tones: str = "tones",
+    tones: str | Column = "tones",
     sentiment: str = "sentiment",
     name: str = "tone_name",
-    strict: bool = True,
     weight: str | None = None,
 ) -> DataFrame:
-    """Mean score, mean sentiment and count per keyword and tone.
+    """Score sums and counts per keyword, tone and sentiment.
 
-    ``rows`` are (already filtered) mentions with an array of tones: each mention is
-    paired with each tone of its own post. The sentiment is looked up after that, so
-    an unknown one only fails for a mention that counts.
+    ``rows`` are mentions with an array of tones: each mention is paired with each tone
+    of its own post.
     """
     n = F.lit(1) if weight is None else F.col(weight)
     paired = rows.select(
-        "hashtag", F.col(sentiment).alias("_sentiment"), n.alias("_n"), F.explode(tones).alias("_t")
-    ).select(
-        "hashtag",
-        F.col(f"_t.{name}").alias("tone"),
-        F.col("_t.score").cast("double").alias("_score"),
-        sentiment_value(F.col("_sentiment"), strict).alias("_value"),
-        "_n",
+        "hashtag", F.col(sentiment).alias("sentiment"), n.alias("_n"), F.explode(tones).alias("_t")
+    ).select("hashtag", "sentiment", "_n", F.col("_t").getField(name).alias("tone"), "_t.score")
+    known = F.when(F.col("score").isNotNull(), F.col("_n"))
+    return paired.groupBy("hashtag", "tone", "sentiment").agg(
+        F.sum(F.col("score").cast("double") * F.col("_n")).alias("score_sum"),
+        F.sum(known).alias("scored"),
+        F.sum("_n").alias("total"),
     )
 
-    def mean(column: str) -> Column:
-        known = F.sum(F.when(F.col(column).isNotNull(), F.col("_n")))
-        return F.sum(F.col(column) * F.col("_n")) / known
 
-    return paired.groupBy("hashtag", "tone").agg(
-        mean("_score").alias("mean_score"),
-        mean("_value").alias("mean_sentiment"),
-        F.sum("_n").alias("total"),
+def tone_means(sums: DataFrame, strict: bool = True) -> DataFrame:
+    """Mean score, mean sentiment and count per keyword and tone, from :func:`tone_sums`.
+
+    Sentiments are looked up here, after all filters, so that an unknown one only fails
+    where it counts. Leniently, it stays out of the mean sentiment.
+    """
+    value = sentiment_value(F.col("sentiment"), strict)
+    valued = sums.withColumn("_value", value)
+    known = F.when(F.col("_value").isNotNull(), F.col("total"))
+    return valued.groupBy("hashtag", "tone").agg(
+        (F.sum("score_sum") / F.sum("scored")).alias("mean_score"),
+        (F.sum(F.col("_value") * F.col("total")) / F.sum(known)).alias("mean_sentiment"),
+        F.sum("total").alias("total"),
     )
 
 
@@ -98,8 +110,10 @@ def keyword_sentiment_counts(
     sentiment: str = "tone.sentiment",
 ) -> DataFrame:
     """(hashtag, sentiment, total) in key order, null sentiments first."""
-    rows = mentions(posts, tags, F.col(sentiment).alias("sentiment"), watch=watch)
-    return count_mentions(rows, "hashtag", "sentiment").orderBy("hashtag", "sentiment")
+    early, late = _when_to_filter(watch)
+    rows = mentions(posts, tags, F.col(sentiment).alias("sentiment"), watch=early)
+    counts = keep_watched(count_mentions(rows, "hashtag", "sentiment"), late, "hashtag")
+    return counts.orderBy("hashtag", "sentiment")
 
 
 def keyword_tone_means(
@@ -111,10 +125,18 @@ def keyword_tone_means(
     strict: bool = True,
 ) -> DataFrame:
     """(hashtag, tone, mean_score, mean_sentiment, total) in key order."""
+    early, late = _when_to_filter(watch)
     rows = mentions(
-        posts, tags, F.col(sentiment).alias("sentiment"), F.col(tones).alias("tones"), watch=watch
+        posts, tags, F.col(sentiment).alias("sentiment"), F.col(tones).alias("tones"), watch=early
     )
-    return tone_means(rows, strict=strict).orderBy("hashtag", "tone")
+    sums = keep_watched(tone_sums(rows), late, "hashtag")
+    return tone_means(sums, strict).orderBy("hashtag", "tone")
+
+
+def _when_to_filter(watch):
+    """A literal list filters every mention. A table is joined to the groups instead, so
+    that a frequent keyword is summed up before it is shuffled by keyword."""
+    return (None, watch) if _is_table(watch) else (watch, None)
 
 
 def popularity(rows: DataFrame, key: str = "hashtag", weight: str | None = None) -> DataFrame:
@@ -161,6 +183,7 @@ def value_concat(rows: DataFrame, key: str, value: str, max_chars: int = 1 << 20
         F.sum(F.length(value) * F.col("copies")).alias("n_chars"),
     )
     small = runs.join(sizes.where(F.col("n_chars") <= max_chars).select(key), key, "left_semi")
+    # Distinct values within max_chars characters, so a bounded array.
     pieces = F.sort_array(F.collect_list(F.struct(value, "copies")))
     repeated = F.transform(pieces, lambda p: F.repeat(p[value], p["copies"].cast("int")))
     texts = small.groupBy(key).agg(F.concat_ws("", repeated).alias("text"))

@@ -32,8 +32,7 @@ def millis(time: Column) -> Column:
 
 def document_words(documents: DataFrame, *keep: str, watch=None) -> DataFrame:
     """One mention per word of each document."""
-    tags = documents.select(words(F.col("text")).alias("_tags"), *keep)
-    return mentions(tags, "_tags", *keep, watch=watch)
+    return mentions(documents, words(F.col("text")), *keep, watch=watch)
 
 
 def word_counts(documents: DataFrame, watch=WORDS) -> DataFrame:
@@ -46,16 +45,14 @@ def sentiments(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", sentiment.otherwise("neutral").alias("sentiment"))
 
 
-def tones(embeddings: DataFrame) -> DataFrame:
+def tones(embedding: Column) -> Column:
     """Every entry of an embedding as a tone named after its place."""
-    named = F.transform(
-        "embedding",
+    return F.transform(
+        embedding,
         lambda x, i: F.struct(
-            F.concat(F.lit("d"), i.cast("string")).alias("tone_name"),
-            x.cast("double").alias("score"),
+            F.concat(F.lit("d"), i.cast("string")).alias("tone_name"), x.alias("score")
         ),
     )
-    return embeddings.select(F.col("vec_id").alias("doc_id"), named.alias("tones"))
 
 
 def posts(documents: DataFrame) -> DataFrame:

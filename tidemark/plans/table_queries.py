@@ -18,7 +18,7 @@ from tidemark.plans.scripts import load_result, run_script, run_statement, save_
 from tidemark.schemas import HISTORY, SENTIMENT_POST, TONE_POST
 from tidemark.session import shared_dir
 from tidemark.sources.delimited import append_records, as_strings, save_sorted_csv
-from tidemark.sources.event_log import read_events, stream_events
+from tidemark.sources.event_log import read_events, stream_events, write_events
 from tidemark.sources.posts import read_posts
 from tidemark.sources.tables import dataset, raw_dataset
 from tidemark.streaming import events as S
@@ -44,8 +44,13 @@ def keyword_sentiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_tone_means(spark, sf_dir):
     rows = _weighted(spark, sf_dir, "inner")
-    toned = rows.join(facts.tones(table(spark, sf_dir, "embeddings")), "doc_id")
-    means = K.tone_means(toned, weight="total").orderBy("hashtag", "tone")
+    embeddings = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), "embedding"
+    )
+    sums = K.tone_sums(
+        rows.join(embeddings, "doc_id"), facts.tones(F.col("embedding")), weight="total"
+    )
+    means = K.tone_means(sums).orderBy("hashtag", "tone")
     return _rounded(means, "mean_score", "mean_sentiment")
 
 
@@ -279,7 +284,9 @@ def _feed(spark, sf_dir):
 
 
 def _feed_facts(spark, sf_dir, **options):
-    events = with_app(_feed(spark, sf_dir))
+    path = shared_dir(spark, "events")
+    write_events(with_app(_feed(spark, sf_dir)), path)
+    events = spark.read.parquet(path)
     jobs = P.jobs_from_events(events)
     return jobs, P.stages_from_events(events, jobs, **options)
 
@@ -324,10 +331,9 @@ def _feed_files(spark, sf_dir):
 
 
 def log_progress(spark, sf_dir):
-    events = read_events(spark, _feed_files(spark, sf_dir), APP)
-    jobs = P.jobs_from_events(events)
-    progress = P.job_progress(jobs, P.stages_from_events(events, jobs))
-    return _rounded(progress, "stage_progress", "task_progress")
+    path = shared_dir(spark, "events")
+    write_events(read_events(spark, _feed_files(spark, sf_dir), APP), path)
+    return _rounded(S.progress_of_feed(spark, path), "stage_progress", "task_progress")
 
 
 # Streams

@@ -27,6 +27,15 @@ def stream_events(
     return _with_app(reader.json(path), app_id)
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """The feed as parquet with a folder per kind of event.
+
+    The rollups look at the few job events several times and at the many task events
+    once; written so, each reads only its own kinds and columns, and no JSON.
+    """
+    events.write.mode("append").partitionBy("Event").parquet(path)
+
+
 def _with_app(events: DataFrame, app_id: str | None) -> DataFrame:
     app = F.col("_metadata.file_name") if app_id is None else F.lit(app_id)
     return events.select("*", app.alias("app_id")).where(F.col("Event").isNotNull())

@@ -29,9 +29,9 @@ AVAILABLE_NOW = {"availableNow": True}
 
 
 def ingest(events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW) -> StreamingQuery:
-    """Appends the feed to parquet files, each event exactly once."""
+    """Appends the feed to parquet files, each event exactly once, a folder per kind."""
     writer = events.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(**trigger).start(out)
+    return writer.partitionBy("Event").outputMode("append").trigger(**trigger).start(out)
 
 
 def progress_of_feed(spark: SparkSession, path: str) -> DataFrame:
