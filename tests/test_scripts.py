@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import fields, has_property, now_millis, progress, property_or_blank, token
 from tidemark.operators.history import envelopes, history_events, run_state
 from tidemark.plans.jobs import job, job_names, run_job
 from tidemark.plans.scripts import failure, load_result, outcome, run_and_save, run_script, run_statement
@@ -148,8 +149,19 @@ def test_raw_dataset(spark, tmp_path):
     assert raw_dataset(spark, str(tmp_path) + "/", "raw", 5).rdd.getNumPartitions() == 5
 
 
-def test_shared_dir_follows_the_session(spark, monkeypatch):
+def test_shared_dir_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     path = shared_dir(spark, "x")
     assert path != shared_dir(spark, "x")
     assert root is None or path.startswith(root)
+
+
+def test_small_expressions(spark):
+    row = spark.sql("SELECT map('k', 'v') AS m, ' a  b\\tc ' AS t, '  ' AS blank, 'x\\ty' AS line").select(
+        property_or_blank(F.col("m"), "k"), property_or_blank(F.col("m"), "x"),
+        has_property(F.col("m"), "k"), has_property(F.lit(None).cast("map<string,string>"), "k"),
+        token(F.col("t"), 0), token(F.col("t"), 1), token(F.col("t"), 2), token(F.col("t"), 3),
+        token(F.col("blank"), 0), token(F.col("blank"), 1), fields(F.col("line")),
+        progress(F.lit(1), F.lit(4)), progress(F.lit(0), F.lit(0)), now_millis() > 1_700_000_000_000,
+    ).first()
+    assert tuple(row) == ("v", "", True, False, "a", "b", "c", None, None, None, ["x", "y"], 0.25, 1.0, True)

@@ -28,6 +28,8 @@ def test_ingest_in_steps_equals_batch(spark, tmp_path):
     jobs = P.jobs_from_events(batch)
     expected = rows(P.job_progress(jobs, P.stages_from_events(batch, jobs)))
     assert rows(S.progress_of_feed(spark, out)) == expected
+    # Four jobs run, so one of the three completed ones is kept among five.
+    assert rows(S.progress_of_feed(spark, out, keep=5), "job_id") == [(2,), (3,), (4,), (5,), (6,)]
 
 
 def test_event_counts_grow(spark, tmp_path):

@@ -11,12 +11,16 @@ _BLANKS = " \t\n\x0b\f\r"
 _NULL_MARK = r"\N"
 
 
+def first_tokens(text: Column, count: int) -> Column:
+    """The first ``count`` tokens of whitespace-separated text and, if any, the rest as one."""
+    return F.split(F.trim(text, F.lit(_BLANKS)), r"[ \t\n\x0B\f\r]+", count + 1)
+
+
 def token(text: Column, position: int) -> Column:
-    """The token at ``position`` (from 0) of whitespace-separated text, else null."""
-    stripped = F.ltrim(text, F.lit(_BLANKS))
-    # The limit stops the split after the wanted token; the rest is one last piece.
-    found = F.get(F.split(stripped, r"[ \t\n\x0B\f\r]+", position + 2), F.lit(position))
-    return F.when(found != "", found)
+    """The token at ``position`` (from 0), else null."""
+    found = F.get(first_tokens(text, position + 1), F.lit(position))
+    # Blank text has one empty token and no other.
+    return found if position else F.nullif(found, F.lit(""))
 
 
 def words(text: Column) -> Column:

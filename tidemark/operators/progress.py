@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import at_least_one, progress, property_or_blank
 from tidemark.operators.asof import asof_join
-from tidemark.operators.latest import latest_per_key
+from tidemark.operators.latest import latest_per_key, retained_jobs
+from tidemark.session import checkpointed
 
 APP_START = "SparkListenerApplicationStart"
 JOB_START = "SparkListenerJobStart"
@@ -152,6 +153,21 @@ def stages_from_events(events: DataFrame, jobs: DataFrame, failed_count: bool =
     )
 
 
+def facts_from_events(
+    events: DataFrame, keep: int | None = None, failed_count: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Job and stage facts of a feed, of retained jobs only if ``keep`` is given.
+
+    Job facts are few beside the feed but used four times, so they are checkpointed.
+    """
+    jobs = checkpointed(jobs_from_events(events))
+    stages = stages_from_events(events, jobs, failed_count)
+    if keep is None:
+        return jobs, stages
+    kept = retained_jobs(jobs, keep)
+    return kept, stages.join(kept.select(*JOB), JOB, "left_semi")
+
+
 def tasks_from_events(events: DataFrame) -> DataFrame:
     """Launch and finish time per task, and how long it took."""
     task = F.col("`Task Info`")

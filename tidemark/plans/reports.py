@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import WATCHED
-from tidemark.functions.scalars import token
+from tidemark.functions.scalars import first_tokens
 from tidemark.operators.keywords import (
     count_mentions,
     keyword_sentiment_counts,
     keyword_tone_means,
+    mentions,
     popularity,
     top_per_region,
 )
@@ -34,8 +35,9 @@ def tone_report(
 
 def tag_text_mentions(posts: DataFrame, tags: str = "hashtags", *keep: str) -> DataFrame:
     """The second token of a blank-separated tag text; posts with fewer tokens give no row."""
-    rows = posts.select(token(F.col(tags), 1).alias("hashtag"), *keep)
-    return rows.where(F.col("hashtag").isNotNull())
+    # At most one row per post; a null test on the token would split the text again.
+    second = F.slice(first_tokens(F.col(tags), 2), 2, 1)
+    return mentions(posts, second, *keep)
 
 
 def popularity_report(spark: SparkSession, path: str) -> DataFrame:

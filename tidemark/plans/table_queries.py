@@ -286,9 +286,7 @@ def _feed(spark, sf_dir):
 def _feed_facts(spark, sf_dir, **options):
     path = shared_dir(spark, "events")
     write_events(with_app(_feed(spark, sf_dir)), path)
-    events = spark.read.parquet(path)
-    jobs = P.jobs_from_events(events)
-    return jobs, P.stages_from_events(events, jobs, **options)
+    return P.facts_from_events(spark.read.parquet(path), **options)
 
 
 def feed_apps(spark, sf_dir):

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -25,17 +25,30 @@ def build_session(app_name: str = "tidemark", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, which every executor can reach.
+    """A new path under ``spark.checkpoint.dir``, which every executor can reach."""
+    return f"{_shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows computed once and kept in the shared folder, for results used several times."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared_root(df.sparkSession))
+    return df.checkpoint()
+
+
+def _shared_root(spark: SparkSession) -> str:
+    """The shared folder of the session.
 
     A local session without the setting gets a temporary folder. On a cluster the
     setting is required, since a folder of one machine is lost with that machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_root()
 
 
 @functools.lru_cache(maxsize=1)

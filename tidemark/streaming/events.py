@@ -19,10 +19,9 @@ from tidemark.operators.progress import (
     STAGE_SUBMITTED,
     TASK_END,
     TASK_START,
+    facts_from_events,
     job_progress,
-    jobs_from_events,
     stage_and_task_events,
-    stages_from_events,
 )
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -34,11 +33,9 @@ def ingest(events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW)
     return writer.partitionBy("Event").outputMode("append").trigger(**trigger).start(out)
 
 
-def progress_of_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Progress of all jobs in an ingested feed."""
-    events = spark.read.parquet(path)
-    jobs = jobs_from_events(events)
-    return job_progress(jobs, stages_from_events(events, jobs))
+def progress_of_feed(spark: SparkSession, path: str, keep: int | None = None) -> DataFrame:
+    """Progress of all jobs in an ingested feed, or of the retained ones."""
+    return job_progress(*facts_from_events(spark.read.parquet(path), keep))
 
 
 def event_counts(
