@@ -4,9 +4,15 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof
 from tidemark.operators.asof import asof_by_interval, asof_by_window, asof_join, hot_keys, ordinal
 
 
+@pytest.fixture(autouse=True)
+def small_keys_may_be_hot(monkeypatch):
+    monkeypatch.setattr(asof, "_HOT_ROWS", 1)
+
+
 def brute_force(left, right):
     """(key, time, id) joined to the (key, time, id) that is latest and not later."""
     found = []
@@ -59,11 +65,22 @@ def test_both_ways_and_any_number_of_parts_agree(spark, way, parts):
     assert sorted(tuple(r) for r in joined.collect()) == brute_force(left, right)
 
 
+def test_small_right_side_is_broadcast_and_a_larger_one_is_not(spark):
+    left, right = frames(spark, *sample(3, 200, 30, 50, 0.5))
+    small = asof_by_interval(left, right, ["k"], "t", "start", "owner", small=True)
+    large = asof_by_interval(left, right, ["k"], "t", "start", "owner")
+    assert rows(small) == rows(large)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k" in large._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_keys_are_found_and_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
     assert [tuple(r) for r in hot_keys(df, ["k"], 8).collect()] == [(0, 4)]
     assert hot_keys(df, ["k"], 2) is None
     assert hot_keys(df.where("false"), ["k"], 8) is None
+    asof._HOT_ROWS = 500
+    assert hot_keys(df, ["k"], 8) is None
 
 
 def test_parts_of_a_hot_key_are_even(spark):

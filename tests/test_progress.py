@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof
 from tidemark.operators import progress as P
 from tidemark.operators.history import run_state
 from tidemark.operators.latest import latest_per_key, retained_jobs
@@ -161,16 +162,20 @@ def test_task_times(events):
 
 
 def test_handles(spark, events):
-    progress = P.job_progress(*state(events))
-    history = spark.createDataFrame(
-        [("h1", "job_start", 1), ("h1", "job_complete", 2), ("h1", "job_start", 3), ("h2", "job_start", 1), ("h2", "job_complete", 2)],
-        "job_handle string, event string, ts long",
-    )
-    rows_of = P.handle_progress(progress, run_state(history))
-    assert rows(rows_of, "handle", "job_id", "running") == [("h1", 2, True), ("h2", 1, False)]
-    assert rows(P.handle_progress(progress, run_state(history), "h2"), "job_id") == [(1,)]
-    assert P.handle_progress(progress, run_state(history), "unknown").count() == 0
-    assert rows(P.handle_rollup(progress), "handle", "jobs", "complete_jobs", "stage_progress") == [
+    jobs, stages = state(events)
+    history = [
+        ("h1", "job_start", 1), ("h1", "job_complete", 2), ("h1", "job_start", 3),
+        ("h2", "job_start", 1), ("h2", "job_complete", 2), ("h3", "job_start", 4),
+    ]
+    runs = run_state(spark.createDataFrame(history, "job_handle string, event string, ts long"))
+    found = P.handle_progress(jobs, stages, runs)
+    assert rows(found, "handle", "job_id", "task_progress", "running") == [
+        ("h1", 2, 0.5, True), ("h2", 1, 1.0, False), ("h3", None, None, True)
+    ]
+    assert rows(P.handle_progress(jobs, stages, runs, "h2"), "job_id") == [(1,)]
+    assert P.handle_progress(jobs, stages, runs, "unknown").count() == 0
+    rollup = P.handle_rollup(P.job_progress(jobs, stages))
+    assert rows(rollup, "handle", "jobs", "complete_jobs", "stage_progress") == [
         ("h1", 2, 1, 0.25), ("h2", 1, 1, 0.0)
     ]
 
@@ -192,8 +197,10 @@ def test_event_store_by_kind_gives_the_same(spark, tmp_path, events):
     assert "PartitionFilters: [Event" in plan and "Task Info" not in plan
 
 
-def test_hot_stage_is_spread_and_exact(spark):
+def test_hot_stage_is_spread_and_exact(spark, monkeypatch):
     """One stage with nearly all task events, on a job that another job follows."""
+    monkeypatch.setattr(asof, "_HOT_ROWS", 1)
+    monkeypatch.setattr(asof, "_BROADCAST_ROWS", 0)
     tasks = spark.range(4000).select(
         F.lit("a").alias("app_id"), F.lit(P.TASK_START).alias("Event"), F.lit(1).cast("long").alias("Stage ID"),
         F.struct(F.col("id").alias("Task ID"), F.col("id").alias("Launch Time"), F.lit(None).cast("long").alias("Finish Time"),
@@ -209,6 +216,9 @@ def test_hot_stage_is_spread_and_exact(spark):
     events = tasks.unionByName(starts, allowMissingColumns=True).unionByName(empty, allowMissingColumns=True)
     stages = state(events)[1]
     assert rows(stages, "job_id", "stage_id", "tasks_started") == [(1, 1, 2000), (1, 2, 0), (2, 1, 1000)]
+    # Counted per salt first, so that no task sees the whole stage.
+    text = stages._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in text and "partial_count" in text[text.index("hashpartitioning(app_id"):]
 
 
 def test_retention(spark):

@@ -3,10 +3,11 @@
 Two exact ways, chosen by a count:
 
 * few right rows per key: each right row becomes a time interval and the join is an
-  equi-join with a range condition; Spark may broadcast a small right side.
+  equi-join with a range condition. The right side is broadcast if its counted rows
+  are few, and sorted and merged otherwise, never broadcast on an estimate.
 * many right rows per key: both sides go through one window per key.
 
-A hot key, one with more rows than an average shuffle partition, is spread over
+A hot key, a large one with more rows than an average shuffle partition, is spread over
 several tasks: in the first way its left rows by a hash and its few right rows
 repeated, in the second way both by quantiles of time, each part starting with the
 last right row before it. Finding the hot keys costs one aggregation over the key
@@ -20,7 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import checkpointed
+
 _INTERVAL_ROWS = 16
+_BROADCAST_ROWS = 100_000
+_HOT_ROWS = 100_000
 _LEFT, _RIGHT, _CARRY = 2, 1, 0
 
 
@@ -40,19 +45,23 @@ def asof_join(
         left, right = left.where(F.col(name).isNotNull()), right.where(F.col(name).isNotNull())
     left = left.where(F.col(left_time).isNotNull())
     right = right.where(F.col(right_time).isNotNull())
-    most = right.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
-    if most <= _INTERVAL_ROWS:
-        return asof_by_interval(left, right, on, left_time, right_time, right_tie)
+    most, total = right.groupBy(*on).count().agg(F.max("count"), F.sum("count")).first()
+    if (most or 0) <= _INTERVAL_ROWS:
+        small = (total or 0) <= _BROADCAST_ROWS
+        return asof_by_interval(left, right, on, left_time, right_time, right_tie, small=small)
     return asof_by_window(left, right, on, left_time, right_time, right_tie)
 
 
-def asof_by_interval(left, right, on, left_time, right_time, right_tie=None, parts=None):
-    """For right sides with few rows per key, whatever the left side holds."""
+def asof_by_interval(
+    left, right, on, left_time, right_time, right_tie=None, parts=None, small=False
+) -> DataFrame:
+    """For right sides with few rows per key, and few rows in all if ``small``."""
     order = [F.col(right_time)] + ([F.col(right_tie)] if right_tie else [])
     until = F.lead(right_time).over(Window.partitionBy(*on).orderBy(*order))
     names, keys = left.columns, list(on)
     extra, right = _others(right, on), right.withColumn("_until", until)
-    hot = hot_keys(left, on, parts or _shuffle_partitions(left))
+    # A broadcast leaves the left side where it is, so no key of it can be hot.
+    hot = None if small else hot_keys(left, on, parts or _shuffle_partitions(left))
     if hot is not None:
         marked, copies = F.broadcast(hot), F.coalesce("_copies", F.lit(1))
         # Equal rows share a salt, so a task that runs again repeats its choice.
@@ -61,6 +70,7 @@ def asof_by_interval(left, right, on, left_time, right_time, right_tie=None, par
         salts = F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))
         right = right.join(marked, on, "left").withColumn("_salt", salts)
         keys.append("_salt")
+    right = F.broadcast(right) if small else right.hint("merge")
     here, span = left.alias("l"), right.alias("r")
     match = [F.col(f"l.{name}") == F.col(f"r.{name}") for name in keys]
     match.append(F.col(f"l.{left_time}") >= F.col(f"r.{right_time}"))
@@ -124,17 +134,19 @@ def _shuffle_partitions(df: DataFrame) -> int:
 
 
 def hot_keys(rows: DataFrame, on: list[str], parts: int) -> DataFrame | None:
-    """Keys holding more than 1/parts of all rows, or None.
+    """Large keys holding more than 1/parts of all rows, or None.
 
     There are fewer than ``parts`` of them. ``_copies`` is how many tasks a key is worth,
     at most twice ``parts`` over all keys.
     """
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    if not total or largest <= total / parts:
+    limit = max((total or 0) / parts, _HOT_ROWS)
+    if not total or largest <= limit:
         return None
     copies = F.ceil(F.col("_n") * parts / total).cast("long")
-    return counts.where(F.col("_n") > total / parts).select(*on, copies.alias("_copies"))
+    hot = counts.where(F.col("_n") > limit).select(*on, copies.alias("_copies"))
+    return checkpointed(hot)
 
 
 def ordinal(time: Column, kind: T.DataType) -> Column:

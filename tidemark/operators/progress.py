@@ -274,11 +274,18 @@ def latest_jobs(
     return latest_per_key(jobs, list(keys), list(order))
 
 
-def handle_progress(progress_rows: DataFrame, runs: DataFrame, handle: str | None = None):
-    """Progress of each handle's latest job, with the ``running`` flag of its run history."""
-    latest = latest_jobs(progress_rows, handle)
+def handle_progress(
+    jobs: DataFrame, stages: DataFrame, runs: DataFrame, handle: str | None = None, order=("job_id",)
+) -> DataFrame:
+    """Progress of each handle's latest job, with the ``running`` flag of its run history.
+
+    A run that has started no job yet shows its flag alone.
+    """
+    latest = job_progress(latest_jobs(jobs, handle, order=order), stages)
     flags = runs.select(F.col("job_handle").alias("handle"), "running")
-    return latest.join(flags, "handle", "left").withColumn(
+    if handle is not None:
+        flags = flags.where(F.col("handle") == handle)
+    return latest.join(flags, "handle", "outer").withColumn(
         "running", F.coalesce("running", F.lit(False))
     )
 

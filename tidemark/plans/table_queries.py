@@ -251,8 +251,10 @@ def latest_job_per_handle(spark, sf_dir):
 def progress_by_handle(spark, sf_dir):
     history = facts.order_history(table(spark, sf_dir, "orders"))
     runs = run_state(history, ("ts", "job_id", "step"))
-    rows = P.handle_progress(_progress(spark, sf_dir), runs)
-    return rows.select("handle", "job_id", "stage_progress", "complete", "failed", "running")
+    stages = facts.line_stages(table(spark, sf_dir, "lineitem"))
+    rows = P.handle_progress(_jobs(spark, sf_dir), stages, runs)
+    names = ("handle", "job_id", "stage_progress", "complete", "failed", "running")
+    return _rounded(rows.select(*names), "stage_progress")
 
 
 def handle_rollup(spark, sf_dir):
