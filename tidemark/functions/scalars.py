@@ -68,6 +68,16 @@ def now_millis() -> Column:
     return F.unix_millis(F.current_timestamp())
 
 
+def wall_micros(time: Column) -> Column:
+    """Microseconds of a timestamp without zone since 1970 on the same clock.
+
+    From its calendar fields, since a cast would go through the session time zone.
+    """
+    days = F.unix_date(time.cast("date")).cast("long")
+    seconds = F.hour(time) * 3600 + F.minute(time) * 60 + F.extract(F.lit("SECOND"), time)
+    return days * 86_400_000_000 + (seconds * 1_000_000).cast("long")
+
+
 def fields(line: Column) -> Column:
     """The tab-separated fields of a line."""
     return F.split(line, "\t")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scalars import wall_micros
 from tidemark.session import checkpointed
 
 _INTERVAL_ROWS = 16
@@ -154,9 +155,7 @@ def ordinal(time: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(time).cast("double")
     if isinstance(kind, T.TimestampNTZType):
-        # By calendar fields, since a cast would go through the session time zone.
-        seconds = F.hour(time) * 3600 + F.minute(time) * 60 + F.extract(F.lit("SECOND"), time)
-        return (F.unix_date(time.cast("date")) * F.lit(86400.0) + seconds.cast("double")) * 1e6
+        return wall_micros(time).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(time).cast("double")
     return time.cast("double")

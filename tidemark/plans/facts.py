@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import words
+from tidemark.functions.scalars import wall_micros, words
 from tidemark.operators.keywords import count_mentions, mentions
 from tidemark.operators.progress import (
     APP_START,
@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def millis(time: Column) -> Column:
-    return F.unix_millis(time.cast("timestamp"))
+    return F.floor(wall_micros(time) / 1000).cast("long")
 
 
 def document_words(documents: DataFrame, *keep: str, watch=None) -> DataFrame:

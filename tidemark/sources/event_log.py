@@ -11,8 +11,9 @@ from tidemark.schemas import EVENT
 def read_events(spark: SparkSession, path: str, app_id: str | None = None) -> DataFrame:
     """Events with their application id; lines that are no event are dropped.
 
-    A log file is named after its application, so several logs can be read together.
-    ``app_id`` replaces the file name where a feed of one application is spread over files.
+    A log file is named after its application (a rolled one after a prefix with its
+    number), so several logs can be read together. ``app_id`` replaces the file name
+    where a feed of one application is spread over other files.
     """
     return _with_app(spark.read.schema(EVENT).json(path), app_id)
 
@@ -37,5 +38,6 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def _with_app(events: DataFrame, app_id: str | None) -> DataFrame:
-    app = F.col("_metadata.file_name") if app_id is None else F.lit(app_id)
+    of_file = F.regexp_replace(F.col("_metadata.file_name"), r"^events_\d+_", "")
+    app = of_file if app_id is None else F.lit(app_id)
     return events.select("*", app.alias("app_id")).where(F.col("Event").isNotNull())
