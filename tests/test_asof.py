@@ -10,7 +10,7 @@ from tidemark.operators.asof import asof_by_interval, asof_by_window, asof_join,
 
 @pytest.fixture(autouse=True)
 def small_keys_may_be_hot(monkeypatch):
-    monkeypatch.setattr(asof, "_HOT_ROWS", 1)
+    monkeypatch.setattr(asof, "HOT_ROWS", 1)
 
 
 def brute_force(left, right):
@@ -79,7 +79,7 @@ def test_hot_keys_are_found_and_bounded(spark):
     assert [tuple(r) for r in hot_keys(df, ["k"], 8).collect()] == [(0, 4)]
     assert hot_keys(df, ["k"], 2) is None
     assert hot_keys(df.where("false"), ["k"], 8) is None
-    asof._HOT_ROWS = 500
+    asof.HOT_ROWS = 500
     assert hot_keys(df, ["k"], 8) is None
 
 

@@ -74,6 +74,13 @@ def write_log(folder, events, name="app-1", shuffle=None):
     return str(folder)
 
 
+@pytest.fixture(autouse=True, params=["few listings", "many listings"])
+def size(request, monkeypatch):
+    """Every test runs as if the feed were small and as if it were large."""
+    if request.param == "many listings":
+        monkeypatch.setattr(asof, "BROADCAST_ROWS", 0)
+
+
 @pytest.fixture(scope="module")
 def events(spark, tmp_path_factory):
     return read_events(spark, write_log(tmp_path_factory.mktemp("log"), LOG))
@@ -199,8 +206,8 @@ def test_event_store_by_kind_gives_the_same(spark, tmp_path, events):
 
 def test_hot_stage_is_spread_and_exact(spark, monkeypatch):
     """One stage with nearly all task events, on a job that another job follows."""
-    monkeypatch.setattr(asof, "_HOT_ROWS", 1)
-    monkeypatch.setattr(asof, "_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+    monkeypatch.setattr(asof, "BROADCAST_ROWS", 0)
     tasks = spark.range(4000).select(
         F.lit("a").alias("app_id"), F.lit(P.TASK_START).alias("Event"), F.lit(1).cast("long").alias("Stage ID"),
         F.struct(F.col("id").alias("Task ID"), F.col("id").alias("Launch Time"), F.lit(None).cast("long").alias("Finish Time"),
@@ -218,7 +225,16 @@ def test_hot_stage_is_spread_and_exact(spark, monkeypatch):
     assert rows(stages, "job_id", "stage_id", "tasks_started") == [(1, 1, 2000), (1, 2, 0), (2, 1, 1000)]
     # Counted per salt first, so that no task sees the whole stage.
     text = stages._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in text and "partial_count" in text[text.index("hashpartitioning(app_id"):]
+    assert "_salt" in text and "partial_count" in text
+
+
+def test_owned_events(events):
+    jobs, _ = state(events)
+    owned = P.owned_events(events, jobs).where("stage_id = 6")
+    assert rows(owned, "kind", "at", "job_id") == [
+        (P.STAGE_COMPLETED, 84, 6), (P.STAGE_SUBMITTED, 71, 5), (P.TASK_END, 79, 5),
+        (P.TASK_END, 83, 6), (P.TASK_START, 72, 5), (P.TASK_START, 80, 6),
+    ]
 
 
 def test_retention(spark):

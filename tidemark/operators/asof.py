@@ -25,8 +25,8 @@ from tidemark.functions.scalars import wall_micros
 from tidemark.session import checkpointed
 
 _INTERVAL_ROWS = 16
-_BROADCAST_ROWS = 100_000
-_HOT_ROWS = 100_000
+BROADCAST_ROWS = 100_000
+HOT_ROWS = 100_000
 _LEFT, _RIGHT, _CARRY = 2, 1, 0
 
 
@@ -48,7 +48,7 @@ def asof_join(
     right = right.where(F.col(right_time).isNotNull())
     most, total = right.groupBy(*on).count().agg(F.max("count"), F.sum("count")).first()
     if (most or 0) <= _INTERVAL_ROWS:
-        small = (total or 0) <= _BROADCAST_ROWS
+        small = (total or 0) <= BROADCAST_ROWS
         return asof_by_interval(left, right, on, left_time, right_time, right_tie, small=small)
     return asof_by_window(left, right, on, left_time, right_time, right_tie)
 
@@ -142,7 +142,7 @@ def hot_keys(rows: DataFrame, on: list[str], parts: int) -> DataFrame | None:
     """
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max((total or 0) / parts, _HOT_ROWS)
+    limit = max((total or 0) / parts, HOT_ROWS)
     if not total or largest <= limit:
         return None
     copies = F.ceil(F.col("_n") * parts / total).cast("long")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import at_least_one, progress, property_or_blank
-from tidemark.operators.asof import asof_join
+from tidemark.operators import asof
 from tidemark.operators.latest import latest_per_key, retained_jobs
 from tidemark.session import checkpointed
 
@@ -30,8 +30,10 @@ STAGE_COMPLETED = "SparkListenerStageCompleted"
 TASK_START = "SparkListenerTaskStart"
 TASK_END = "SparkListenerTaskEnd"
 
-JOB = ["app_id", "job_id"]
-STAGE = ["app_id", "job_id", "stage_id"]
+# Numbers come first, since they sort faster than names.
+JOB = ["job_id", "app_id"]
+STAGE = ["stage_id", "job_id", "app_id"]
+LISTED = ["stage_id", "app_id"]
 
 
 def of_kind(events: DataFrame, *kinds: str) -> DataFrame:
@@ -108,10 +110,11 @@ def owned_events(events: DataFrame, jobs: DataFrame) -> DataFrame:
     The owner is the latest job that lists the stage and had started by then; an event
     of a stage no job has listed yet is dropped.
     """
-    owners = stage_listings(jobs).select("app_id", "stage_id", "job_id", "job_started")
-    return asof_join(
-        stage_and_task_events(events), owners, ["app_id", "stage_id"], "at", "job_started", "job_id"
-    )
+    return _owned(stage_and_task_events(events), stage_listings(jobs).drop("position"))
+
+
+def _owned(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    return asof.asof_join(rows, owners, LISTED, "at", "job_started", "job_id")
 
 
 def stages_from_events(events: DataFrame, jobs: DataFrame, failed_count: bool = True) -> DataFrame:
@@ -119,40 +122,70 @@ def stages_from_events(events: DataFrame, jobs: DataFrame, failed_count: bool =
 
     A failed task counts as complete, as does each retry, unless ``failed_count`` is off.
     """
-    kind = F.col("kind")
-    ended = kind == TASK_END
-    counted = ended if failed_count else ended & ~F.col("task_failed")
-    state = (
-        owned_events(events, jobs)
-        .groupBy(*STAGE)
-        .agg(
-            F.max("num_tasks").alias("num_tasks"),
-            F.bool_or(kind == STAGE_SUBMITTED).alias("submitted"),
-            F.min(F.when(kind == STAGE_SUBMITTED, F.col("at"))).alias("submitted_at"),
-            F.count_if(kind == TASK_START).alias("tasks_started"),
-            F.count_if(ended).alias("_ended"),
-            F.count_if(counted).alias("tasks_complete"),
-            F.bool_or(kind == STAGE_COMPLETED).alias("complete"),
-        )
-    )
+    rows, listings = stage_and_task_events(events), stage_listings(jobs)
+    state = _owned_state(rows, listings, _counters(failed_count))
     no, zero = F.lit(False), F.lit(0).cast("long")
     return (
-        stage_listings(jobs)
-        .drop("position", "job_started")
+        listings.drop("position", "job_started")
         .join(state, STAGE, "left")
         .select(
-            *STAGE,
+            "app_id",
+            "job_id",
+            "stage_id",
             F.coalesce("num_tasks", zero).alias("num_tasks"),
             F.coalesce("submitted", no).alias("submitted"),
             "submitted_at",
             F.coalesce("tasks_started", zero).alias("tasks_started"),
-            F.coalesce(F.col("tasks_started") - F.col("_ended"), zero).alias("tasks_in_progress"),
+            F.coalesce(F.col("tasks_started") - F.col("tasks_ended"), zero).alias(
+                "tasks_in_progress"
+            ),
             F.coalesce("tasks_complete", zero).alias("tasks_complete"),
             F.coalesce("complete", no).alias("complete"),
         )
     )
 
 
+def _counters(failed_count: bool) -> list[Column]:
+    kind = F.col("kind")
+    ended = kind == TASK_END
+    counted = ended if failed_count else ended & ~F.col("task_failed")
+    return [
+        F.max("num_tasks").alias("num_tasks"),
+        F.bool_or(kind == STAGE_SUBMITTED).alias("submitted"),
+        F.min(F.when(kind == STAGE_SUBMITTED, F.col("at"))).alias("submitted_at"),
+        F.count_if(kind == TASK_START).alias("tasks_started"),
+        F.count_if(ended).alias("tasks_ended"),
+        F.count_if(counted).alias("tasks_complete"),
+        F.bool_or(kind == STAGE_COMPLETED).alias("complete"),
+    ]
+
+
+def _owned_state(rows: DataFrame, listings: DataFrame, counters: list[Column]) -> DataFrame:
+    """The counters per job and stage, by the ownership rule of :func:`owned_events`.
+
+    With few listings they are broadcast to the events. Otherwise events are summed up per
+    stage before anything is shuffled: a stage whose first event is not earlier than the
+    start of its latest job belongs to that job as a whole, and only the events of other
+    stages are looked at one by one.
+    """
+    rows = rows.where(F.col("at").isNotNull())
+    owners = listings.where(F.col("job_started").isNotNull()).drop("position")
+    if owners.count() <= asof.BROADCAST_ROWS:
+        return _owned(rows, owners).groupBy(*STAGE).agg(*counters)
+    latest = owners.groupBy(*LISTED).agg(F.max(F.struct("job_started", "job_id")).alias("_last"))
+    sums = rows.groupBy(*LISTED).agg(*counters, F.min("at").alias("_first"))
+    sums = checkpointed(sums.join(latest, LISTED))
+    is_whole = F.col("_first") >= F.col("_last.job_started")
+    whole = sums.where(is_whole).select("*", "_last.job_id").drop("_first", "_last")
+    shared = sums.where(~is_whole).select(*LISTED)
+    if shared.isEmpty():
+        return whole
+    owned = _owned(
+        rows.join(shared, LISTED, "left_semi"), owners.join(shared, LISTED, "left_semi")
+    )
+    return whole.unionByName(owned.groupBy(*STAGE).agg(*counters))
+
+
 def facts_from_events(
     events: DataFrame, keep: int | None = None, failed_count: bool = True
 ) -> tuple[DataFrame, DataFrame]:
