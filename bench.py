@@ -1,6 +1,6 @@
 """Times the headline queries; prints one JSON line.
 
-Each query is run once to warm up and then ``BENCH_RUNS`` times (3 by default); its
+Each query is run once to warm up and then ``BENCH_RUNS`` times (2 by default); its
 time is the median, from building the DataFrame to the last row.
 """
 
@@ -52,7 +52,7 @@ def seconds(query, spark, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = build_session(
         "bench",

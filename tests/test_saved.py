@@ -25,6 +25,18 @@ def test_escape_is_reversible(spark):
     assert back.where("NOT (t <=> u)").count() == 0
 
 
+def test_escape_of_every_short_string_is_reversible_and_unique(spark):
+    signs = "\\tnrN\t\n\r"
+    texts = [""]
+    for _ in range(4):
+        texts += [t + c for t in texts for c in signs]
+    df = spark.createDataFrame([(t,) for t in sorted(set(texts))], "t string")
+    safe = df.select("t", escape_field(F.col("t")).alias("e"))
+    assert safe.where("e RLIKE '[\\\\t\\\\n\\\\r]'").count() == 0
+    assert safe.select("e").distinct().count() == df.count()
+    assert safe.where(~F.col("t").eqNullSafe(unescape_field(F.col("e")))).count() == 0
+
+
 def test_all_types_come_back(spark, tmp_path):
     schema = (
         "a tinyint, b double, c decimal(10,4), d boolean, e date, f timestamp, g timestamp_ntz, "

@@ -26,7 +26,8 @@ def retained_jobs(
     """Every incomplete job, and per application the newest completed ones up to ``keep`` in all.
 
     Completed jobs are cut to ``keep`` per application inside each task before they are
-    shuffled; incomplete ones only pass through as a count.
+    shuffled (for ``keep`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``);
+    incomplete ones only pass through as a count.
     """
     newest_first = Window.partitionBy(app).orderBy(*[F.col(name).desc() for name in order])
     candidates = (
