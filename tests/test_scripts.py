@@ -8,7 +8,7 @@ from tidemark.functions.scalars import fields, has_property, now_millis, progres
 from tidemark.operators.history import envelopes, history_events, run_state
 from tidemark.plans.jobs import job, job_names, run_job
 from tidemark.plans.scripts import failure, load_result, outcome, run_and_save, run_script, run_statement
-from tidemark.schemas import HISTORY
+from tidemark.schemas import ENVELOPE, HISTORY
 from tidemark.session import shared_dir
 from tidemark.sources.delimited import append_envelopes, append_records
 from tidemark.sources.tables import cache_table, dataset, list_tables, raw_dataset, uncache_table
@@ -76,7 +76,7 @@ def test_outcomes_are_appended(spark, tmp_path):
     path = str(tmp_path / "outcomes")
     for n in range(2):
         append_envelopes(outcome(spark, f"h{n}", True, {"n": n}), path)
-    back = spark.read.schema("handle string, success boolean, data string, options string").json(path)
+    back = spark.read.schema(ENVELOPE).json(path)
     assert rows(back) == [("h0", True, '{"n": 0}', "{}"), ("h1", True, '{"n": 1}', "{}")]
 
 

@@ -30,7 +30,7 @@ STAGE_COMPLETED = "SparkListenerStageCompleted"
 TASK_START = "SparkListenerTaskStart"
 TASK_END = "SparkListenerTaskEnd"
 
-# Numbers come first, since they sort faster than names.
+# The part that differs most comes first, since it sorts fastest.
 JOB = ["job_id", "app_id"]
 STAGE = ["stage_id", "job_id", "app_id"]
 LISTED = ["stage_id", "app_id"]
@@ -58,7 +58,7 @@ def jobs_from_events(events: DataFrame) -> DataFrame:
 
     merged = (
         of_kind(events, JOB_START, JOB_END)
-        .groupBy("app_id", F.col("Job ID").alias("job_id"))
+        .groupBy(F.col("Job ID").alias("job_id"), "app_id")
         .agg(
             F.bool_or(is_start).alias("_seen"),
             at_start(properties["spark.jobGroup.id"]).alias("handle"),
@@ -299,7 +299,7 @@ def running_count(jobs: DataFrame, *keys: str) -> DataFrame:
 
 
 def latest_jobs(
-    jobs: DataFrame, handle: str | None = None, keys=("app_id", "handle"), order=("job_id",)
+    jobs: DataFrame, handle: str | None = None, keys=("handle", "app_id"), order=("job_id",)
 ) -> DataFrame:
     """The latest job of each handle, or of one; an unknown handle gives no row."""
     if handle is not None:
@@ -308,7 +308,11 @@ def latest_jobs(
 
 
 def handle_progress(
-    jobs: DataFrame, stages: DataFrame, runs: DataFrame, handle: str | None = None, order=("job_id",)
+    jobs: DataFrame,
+    stages: DataFrame,
+    runs: DataFrame,
+    handle: str | None = None,
+    order=("job_id",),
 ) -> DataFrame:
     """Progress of each handle's latest job, with the ``running`` flag of its run history.
 

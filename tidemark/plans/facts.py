@@ -63,11 +63,13 @@ def posts(documents: DataFrame) -> DataFrame:
         .when(F.col("lang") == "de", "negative")
         .otherwise("neutral")
     )
-    tone = F.struct(F.col("source").alias("tone_name"), F.col("n_chars").cast("double").alias("score"))
+    score = F.col("n_chars").cast("double")
+    tone = F.struct(F.col("source").alias("tone_name"), score.alias("score"))
+    document_tone = F.struct(F.array(tone).alias("tones"))
     return documents.select(
         F.struct(hashtags.alias("hashtags")).alias("entities"),
         F.struct(
-            sentiment.alias("sentiment"), F.struct(F.array(tone).alias("tones")).alias("document_tone")
+            sentiment.alias("sentiment"), document_tone.alias("document_tone")
         ).alias("tone"),
     )
 
@@ -187,9 +189,8 @@ def order_feed(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.when(~is_start, F.struct(result.alias("Result"))).alias("Job Result"),
     )
 
-    kinds = F.when(F.col("ended"), F.array(F.lit(STAGE_SUBMITTED), F.lit(STAGE_COMPLETED))).otherwise(
-        F.array(F.lit(STAGE_SUBMITTED))
-    )
+    both = F.array(F.lit(STAGE_SUBMITTED), F.lit(STAGE_COMPLETED))
+    kinds = F.when(F.col("ended"), both).otherwise(F.array(F.lit(STAGE_SUBMITTED)))
     info = F.struct(
         F.col("stage").alias("Stage ID"),
         F.col("tasks").alias("Number of Tasks"),
@@ -200,9 +201,8 @@ def order_feed(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         "Event", info.alias("Stage Info")
     )
 
-    kinds = F.when(F.col("ended"), F.array(F.lit(TASK_START), F.lit(TASK_END))).otherwise(
-        F.array(F.lit(TASK_START))
-    )
+    both = F.array(F.lit(TASK_START), F.lit(TASK_END))
+    kinds = F.when(F.col("ended"), both).otherwise(F.array(F.lit(TASK_START)))
     is_end = F.col("Event") == TASK_END
     info = F.struct(
         F.col("task").alias("Task ID"),

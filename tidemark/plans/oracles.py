@@ -103,7 +103,8 @@ def _history(fields: str, where: str = "true") -> str:
 
 
 def _ids(state: str) -> str:
-    return f"coalesce(string_agg(CAST(stage_id AS VARCHAR), ',' ORDER BY stage_id) FILTER ({state}), '')"
+    ids = "string_agg(CAST(stage_id AS VARCHAR), ',' ORDER BY stage_id)"
+    return f"coalesce({ids} FILTER ({state}), '')"
 
 
 ORACLES = {
@@ -238,7 +239,8 @@ ORACLES = {
                finished - started AS duration
         FROM lineitem GROUP BY 1, 2, 3""",
     "feed_stage_lists": f"""
-        SELECT o_orderkey AS job_id, {_ids('stage_id IS NOT NULL AND NOT submitted AND NOT complete')} AS waiting,
+        SELECT o_orderkey AS job_id,
+               {_ids('stage_id IS NOT NULL AND NOT submitted AND NOT complete')} AS waiting,
                {_ids('submitted AND NOT complete')} AS in_progress, {_ids('complete')} AS complete
         FROM orders LEFT JOIN ({_FEED_STAGES}) s ON s.job_id = o_orderkey GROUP BY o_orderkey""",
     "feed_progress": _FEED_PROGRESS,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import trace_lines
+from tidemark.schemas import ENVELOPE
 from tidemark.sources.delimited import read_delimited, result_columns, save_delimited
 
 
@@ -77,7 +78,7 @@ def run_and_save(
 def outcome(spark: SparkSession, handle: str, success: bool, data: dict, options=None) -> DataFrame:
     """One outcome record (handle, success, data, options), the last two as JSON."""
     row = (handle, success, json.dumps(data), json.dumps(options or {}))
-    return spark.createDataFrame([row], "handle string, success boolean, data string, options string")
+    return spark.createDataFrame([row], ENVELOPE)
 
 
 def failure(spark: SparkSession, handle: str, error: Exception, options=None) -> DataFrame:

@@ -315,8 +315,11 @@ def feed_tasks(spark, sf_dir):
 
 def feed_stage_lists(spark, sf_dir):
     lists = P.stage_lists(*_feed_facts(spark, sf_dir))
-    names = ("waiting", "in_progress", "complete")
-    return lists.select("job_id", *[F.concat_ws(",", F.col(n).cast("array<string>")).alias(n) for n in names])
+
+    def joined(name):
+        return F.concat_ws(",", F.col(name).cast("array<string>")).alias(name)
+
+    return lists.select("job_id", joined("waiting"), joined("in_progress"), joined("complete"))
 
 
 def feed_progress(spark, sf_dir):
@@ -425,7 +428,8 @@ sql_join = _sql(
     "customer", "orders", "nation",
 )
 sql_anti_join = _sql(
-    "SELECT o_orderkey, o_custkey FROM {orders} LEFT ANTI JOIN {lineitem} ON l_orderkey = o_orderkey",
+    """SELECT o_orderkey, o_custkey FROM {orders}
+       LEFT ANTI JOIN {lineitem} ON l_orderkey = o_orderkey""",
     "orders", "lineitem",
 )
 sql_rollup = _sql(
