@@ -76,7 +76,7 @@ def test_small_right_side_is_broadcast_and_a_larger_one_is_not(spark):
 
 def test_hot_keys_are_found_and_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
-    assert [tuple(r) for r in hot_keys(df, ["k"], 8).collect()] == [(0, 4)]
+    assert [tuple(r) for r in hot_keys(df, ["k"], 8).collect()] == [(0, 400, 4)]
     assert hot_keys(df, ["k"], 2) is None
     assert hot_keys(df.where("false"), ["k"], 8) is None
     asof.HOT_ROWS = 500
@@ -92,6 +92,15 @@ def test_parts_of_a_hot_key_are_even(spark):
     assert joined.where("start <> t").count() == 0
 
 
+@pytest.mark.parametrize("rows_per_part", [1, 5])
+def test_sampled_cuts_change_no_result(spark, monkeypatch, rows_per_part):
+    left, right = sample(4, 2000, 1000, 500, 0.6)
+    left, right = [x for x in left if None not in x], [x for x in right if None not in x]
+    monkeypatch.setattr(asof, "CUT_SAMPLE", rows_per_part)
+    joined = asof_by_window(*frames(spark, left, right), ["k"], "t", "start", "owner", parts=6)
+    assert sorted(tuple(r) for r in joined.collect()) == brute_force(left, right)
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "double"])
 def test_other_time_types(spark, kind):
     day = "timestamp_ntz'2024-03-30 22:00:00' + make_dt_interval(0, id % 50, 0, 0.25)"

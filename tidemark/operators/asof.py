@@ -27,6 +27,7 @@ from tidemark.session import checkpointed
 _INTERVAL_ROWS = 16
 BROADCAST_ROWS = 100_000
 HOT_ROWS = 100_000
+CUT_SAMPLE = 1000
 _LEFT, _RIGHT, _CARRY = 2, 1, 0
 
 
@@ -64,7 +65,7 @@ def asof_by_interval(
     # A broadcast leaves the left side where it is, so no key of it can be hot.
     hot = None if small else hot_keys(left, on, parts or _shuffle_partitions(left))
     if hot is not None:
-        marked, copies = F.broadcast(hot), F.coalesce("_copies", F.lit(1))
+        marked, copies = F.broadcast(hot.drop("_n")), F.coalesce("_copies", F.lit(1))
         # Equal rows share a salt, so a task that runs again repeats its choice.
         row_hash = F.xxhash64(*[name for name, kind in left.dtypes if "map<" not in kind])
         left = left.join(marked, on, "left").withColumn("_salt", F.pmod(row_hash, copies))
@@ -137,8 +138,8 @@ def _shuffle_partitions(df: DataFrame) -> int:
 def hot_keys(rows: DataFrame, on: list[str], parts: int) -> DataFrame | None:
     """Large keys holding more than 1/parts of all rows, or None.
 
-    There are fewer than ``parts`` of them. ``_copies`` is how many tasks a key is worth,
-    at most twice ``parts`` over all keys.
+    There are fewer than ``parts`` of them. ``_n`` is the rows of a key and ``_copies`` how
+    many tasks it is worth, at most twice ``parts`` over all keys.
     """
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
@@ -146,7 +147,7 @@ def hot_keys(rows: DataFrame, on: list[str], parts: int) -> DataFrame | None:
     if not total or largest <= limit:
         return None
     copies = F.ceil(F.col("_n") * parts / total).cast("long")
-    hot = counts.where(F.col("_n") > limit).select(*on, copies.alias("_copies"))
+    hot = counts.where(F.col("_n") > limit).withColumn("_copies", copies)
     return checkpointed(hot)
 
 
@@ -161,19 +162,28 @@ def ordinal(time: Column, kind: T.DataType) -> Column:
     return time.cast("double")
 
 
+def _cuts(hot_times: DataFrame, at: Column, hot: DataFrame, parts: int) -> list[float]:
+    """Times that split the rows of the hot keys into about equal parts.
+
+    They decide only which rows share a task, not what is found, so with many rows a
+    sample is enough, as for Spark's own range partitioning. It keeps the quantile
+    sketches of the tasks small.
+    """
+    share = CUT_SAMPLE * parts / hot.agg(F.sum("_n")).first()[0]
+    if share < 1:
+        hot_times = hot_times.sample(share, seed=1)
+    quantiles = [i / parts for i in range(1, parts)] or [0.5]
+    found = hot_times.agg(F.percentile_approx(at, quantiles, max(10_000, 10 * parts))).first()[0]
+    return sorted(set(found or [0.0]))
+
+
 def _cut_hot_keys(rows, times, hot, on, parts) -> DataFrame:
     """Adds ``_part`` (0 for ordinary keys) and a carried row at the start of each part."""
     # Fewer than ``parts`` rows by the definition of a hot key, so a broadcast is safe.
     marked = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
     kind = rows.schema["_time"].dataType
     at = ordinal(F.col("_time"), kind)
-    shares = [i / parts for i in range(1, parts)]
-    cuts = (
-        times.join(marked, on)
-        .agg(F.percentile_approx(at, shares, max(10_000, 10 * parts)))
-        .first()[0]
-    )
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *_cuts(times.join(marked, on), at, hot, parts), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="_at", outputCol="_cut")
     parted = bucketizer.transform(rows.join(marked, on, "left").withColumn("_at", at))
     parted = parted.withColumn(
