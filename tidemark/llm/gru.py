@@ -3,19 +3,22 @@
 A token's probability is that of its class times that within its class, so a step costs
 about two square roots of the vocabulary. Training backpropagates through windows of
 ``WINDOW`` steps; the state is carried from window to window of a document, in training
-and in scoring, so a document's likelihood is that of the whole document.
+and in scoring, so a document's likelihood is that of the whole document. Documents are
+laid one after another into lanes of like length, which take a step together; the state
+of a lane starts at zero with every document.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 
 HIDDEN = 16
 WINDOW = 32
-DOCS = 128
-RATE = 0.004
+LANES = 256
+RATE = 0.008
 
 Params = dict[str, np.ndarray]
 
@@ -44,7 +47,7 @@ def initial(n_tokens: int, hidden: int = HIDDEN, seed: int = 3) -> Params:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return (np.tanh(x * np.float32(0.5)) + np.float32(1)) * np.float32(0.5)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -52,13 +55,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _states(p: Params, inputs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+def _states(p: Params, inputs: np.ndarray, goes_on: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
     """The states after every step, and what the way back needs."""
     hidden = state.shape[1]
     x = p["embed"][inputs]
     from_x = x @ p["w"] + p["b"]
     out, saved = np.empty((len(inputs), *state.shape), dtype=np.float32), []
     for t in range(len(inputs)):
+        state = state * goes_on[t][:, None]
         from_h = state @ p["u"]
         gates = _sigmoid(from_x[t, :, : 2 * hidden] + from_h[:, : 2 * hidden])
         r, z = gates[:, :hidden], gates[:, hidden:]
@@ -108,11 +112,11 @@ def _output(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params |
 
 
 def window_gradient(
-    p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray
+    p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, goes_on: np.ndarray, state: np.ndarray
 ) -> tuple[float, Params, np.ndarray]:
-    """Loss of a window (steps x documents), gradients cut off at its start, and the last state."""
+    """Loss of a window (steps x lanes), gradients cut off at its start, and the last state."""
     hidden = state.shape[1]
-    states, saved, x = _states(p, inputs, state)
+    states, saved, x = _states(p, inputs, goes_on, state)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     logs, back = _output(p, states[mask], targets[mask], grads)
     to_state = np.zeros_like(states)
@@ -128,7 +132,7 @@ def window_gradient(
         from_h = np.concatenate([d_r, d_z, d_n * r], axis=1)
         to_x[t] = np.concatenate([d_r, d_z, d_n], axis=1)
         grads["u"] += before.T @ from_h
-        after = d * z + from_h @ p["u"].T
+        after = (d * z + from_h @ p["u"].T) * goes_on[t][:, None]
     flat = to_x.reshape(-1, 3 * hidden)
     grads["w"] += x.reshape(-1, hidden).T @ flat
     grads["b"] += flat.sum(axis=0)
@@ -136,42 +140,45 @@ def window_gradient(
     return -float(logs.sum()), grads, states[-1]
 
 
-def _windows(docs: list[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Inputs, targets and mask, steps x documents; True where documents begin."""
-    steps = max(map(len, docs)) + 1
+def _windows(docs: list[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Inputs, targets, the document of each cell (-1: none), and 1 where it goes on, steps x lanes.
+
+    The input of a step is the token before its target, at first an end.
+    """
+    lanes: list[tuple[int, int, list[int]]] = [(0, k, []) for k in range(min(LANES, len(docs)))]
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        length, k, held = lanes[0]
+        heapq.heapreplace(lanes, (length + len(docs[i]) + 1, k, [*held, i]))
+    lanes.sort(key=lambda lane: -lane[0])
+    lengths = np.array([length for length, _, _ in lanes])
+    steps = int(lengths[0])
+    inputs = np.full((len(lanes), steps), end, dtype=np.int32)
+    targets, of = inputs.copy(), np.full(inputs.shape, -1, dtype=np.int32)
+    for lane, (_, _, held) in enumerate(lanes):
+        at = 0
+        for i in held:
+            size = len(docs[i])
+            targets[lane, at : at + size] = docs[i]
+            inputs[lane, at + 1 : at + 1 + size] = docs[i]
+            of[lane, at : at + size + 1] = i
+            at += size + 1
+    goes_on = np.zeros(of.shape, dtype=np.float32)
+    goes_on[:, 1:] = of[:, 1:] == of[:, :-1]
     for at in range(0, steps, WINDOW):
-        size = min(WINDOW, steps - at)
-        targets = np.full((size, len(docs)), end, dtype=np.int64)
-        inputs = np.full((size, len(docs)), end, dtype=np.int64)
-        mask = np.zeros((size, len(docs)), dtype=bool)
-        for j, doc in enumerate(docs):
-            part = doc[at : at + size]
-            targets[: len(part), j] = part
-            mask[: max(0, min(size, len(doc) + 1 - at)), j] = True
-            # Each input is the token before its target; the first is an end.
-            skip = 1 if at == 0 else 0
-            before = doc[at - 1 + skip : at + size - 1]
-            inputs[skip : skip + len(before), j] = before
-        yield inputs, targets, mask, at == 0
-
-
-def _groups(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """Documents of like length, by their places."""
-    order = np.argsort([len(d) for d in docs], kind="stable")
-    return [order[k : k + DOCS] for k in range(0, len(order), DOCS)]
+        # Lanes that have ended, the last ones, are left out.
+        n = int((lengths > at).sum())
+        yield tuple(np.ascontiguousarray(x[:n, at : at + WINDOW].T) for x in (inputs, targets, of, goes_on))
 
 
 def scores(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Log10 probability of every document and its end, by the model."""
     total = np.zeros(len(docs))
-    for group in _groups(docs):
-        state = np.zeros((len(group), p["u"].shape[0]), dtype=np.float32)
-        for inputs, targets, mask, _ in _windows([docs[i] for i in group], end):
-            states, _, _ = _states(p, inputs, state)
-            state = states[-1]
-            logs, _ = _output(p, states[mask], targets[mask], None)
-            cells = np.broadcast_to(group, mask.shape)[mask]
-            total += np.bincount(cells, weights=logs, minlength=len(docs))
+    state = np.zeros((min(LANES, len(docs)), p["u"].shape[0]), dtype=np.float32)
+    for inputs, targets, of, goes_on in _windows(docs, end):
+        states, _, _ = _states(p, inputs, goes_on, state[: inputs.shape[1]])
+        state, mask = states[-1], of >= 0
+        logs, _ = _output(p, states[mask], targets[mask], None)
+        total += np.bincount(of[mask], weights=logs, minlength=len(docs))
     return total / np.log(10)
 
 
@@ -185,14 +192,11 @@ class Trainer:
         self.steps, self.tokens = 0, 0
 
     def learn(self, docs: list[np.ndarray], end: int) -> None:
-        groups = _groups(docs)
-        for k in np.random.default_rng(len(docs)).permutation(len(groups)):
-            group = groups[k]
-            state = np.zeros((len(group), self.params["u"].shape[0]), dtype=np.float32)
-            for inputs, targets, mask, _ in _windows([docs[i] for i in group], end):
-                n = int(mask.sum())
-                _, grads, state = window_gradient(self.params, inputs, targets, mask, state)
-                self._step(grads, n)
+        state = np.zeros((min(LANES, len(docs)), self.params["u"].shape[0]), dtype=np.float32)
+        for inputs, targets, of, goes_on in _windows(docs, end):
+            mask = of >= 0
+            _, grads, state = window_gradient(self.params, inputs, targets, mask, goes_on, state[: inputs.shape[1]])
+            self._step(grads, int(mask.sum()))
 
     def _step(self, grads: Params, n: int) -> None:
         self.steps += 1

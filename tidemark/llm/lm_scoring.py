@@ -71,7 +71,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 def _tokens(text: bytes | None, ids: dict[bytes, int], other: int) -> np.ndarray:
     found = words(text)
-    return np.fromiter((ids.get(w, other) for w in found), dtype=np.int64, count=len(found))
+    return np.fromiter((ids.get(w, other) for w in found), dtype=np.int32, count=len(found))
 
 
 def _train(params: gru.Params, ids: dict[bytes, int], end: int, other: int):
@@ -116,7 +116,7 @@ def _score(params: gru.Params, ids: dict[bytes, int], end: int, other: int, coun
             docs = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = words(text.as_py())
-                docs.append(np.fromiter((ids.get(w, other) for w in found), dtype=np.int64, count=len(found)))
+                docs.append(np.fromiter((ids.get(w, other) for w in found), dtype=np.int32, count=len(found)))
                 known, log_counts, other_logs = 0, 0.0, 0.0
                 ends = counts.get(b"", 0)
                 if ends:
