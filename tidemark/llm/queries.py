@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, pii, quality_rules, reply_trees
+from tidemark.llm import (
+    cotraining,
+    decontamination,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    packing,
+    pii,
+    quality_rules,
+    reply_trees,
+)
 from tidemark.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +123,13 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
