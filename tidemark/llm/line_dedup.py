@@ -11,8 +11,8 @@ Two similar sets share a word among the first of either (the prefix filter). Pos
 and a parity filter: the bits in which two 128-bit parities of the hashed words differ
 are no more than the words that only one set has. What passes is verified on full sets.
 
-As removal needs one earlier match and not all of them, the postings of a word are first
-compared with its earliest line of like length, which removes groups of near copies at a
+As removal needs one earlier match and not all of them, the postings of a word that has many
+are first compared with its earliest line of like length, which removes groups of near copies at a
 link per line; then what is left is compared with all earlier lines, removed or not.
 
 Defined results: a null or blank line has no words, is never removed and never matches;
@@ -29,11 +29,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, stored, words_of
+from tidemark.llm.common import bounded_broadcast, let, stored, words_of
 
 PERCENT = 80
 BUCKETS = 8192
 _LEVELS = 127
+#: Postings of a word above which they are first compared with the earliest line of like length.
+HOT = 64
 
 
 def _row_key() -> Column:
@@ -150,26 +152,28 @@ def _late_classes(docs: DataFrame, classes: DataFrame, levels: list[int], percen
     postings = classes.select(
         "k1", "n", "p1", "p2", "place.doc_id", "place.line_no", F.posexplode("prefix").alias("i", "word")
     )
+    counts = classes.select(F.explode("prefix").alias("word")).groupBy("word").count()
+    hot = bounded_broadcast(stored(counts.filter(F.col("count") > HOT).select("word"), "hot-words"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    first = postings.groupBy("word", band.alias("band")).agg(
-        F.min(F.struct("doc_id", "line_no", "k1", "n", "p1", "p2", "i")).alias("f"), F.count("*").alias("members")
-    )
-    first = first.filter("members > 1").select("word", "band", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("doc_id", "line_no", "k1", "n", "p1", "p2", "i")))
-    star = postings.withColumn("band", band).join(first, ["word", "band"])
+    crowded = postings.join(hot, "word").withColumn("band", band)
+    names = ["doc_id", "line_no", "k1", "n", "p1", "p2", "i"]
+    first = crowded.groupBy("word", "band").agg(F.min(F.struct(*names)).alias("f"))
+    first = first.select("word", "band", *(F.col(f"f.{c}").alias(f"f_{c}") for c in names))
+    star = crowded.join(first, ["word", "band"])
     star = star.filter((F.col("k1") != F.col("f_k1")) & _allowed("", "f_", percent))
     star = stored(star.select(F.col("f_k1").alias("early"), F.col("k1").alias("late")).distinct(), "star")
     by_star = stored(
         _verified(star, docs, classes, levels, percent).groupBy("late").agg(F.min("early").alias("early")), "late"
     )
 
-    names = ["k1", "n", "p1", "p2", "doc_id", "line_no", "i"]
-    left = postings.join(by_star.select(F.col("late").alias("k1")), "k1", "left_anti")
+    # Dealt out by word once for both sides of the join.
+    dealt = postings.repartition("word")
+    left = dealt.join(bounded_broadcast(by_star.select(F.col("late").alias("k1"))), "k1", "left_anti")
     left = left.select("word", *(F.col(c).alias(f"l_{c}") for c in names))
-    early = postings.select("word", *(F.col(c).alias(f"e_{c}") for c in names))
+    early = dealt.select("word", *(F.col(c).alias(f"e_{c}") for c in names))
     rest = left.join(early, "word").filter(_earlier("e_", "l_") & _allowed("e_", "l_", percent))
     rest = rest.select(F.col("e_k1").alias("early"), F.col("l_k1").alias("late")).distinct()
-    tried = star.withColumn("tried", F.lit(1))
-    rest = stored(rest.join(tried, ["early", "late"], "left_anti"), "rest")
+    rest = stored(rest.join(star, ["early", "late"], "left_anti"), "rest")
     by_rest = _verified(rest, docs, classes, levels, percent).groupBy("late").agg(F.min("early").alias("early"))
     return stored(by_star.unionByName(by_rest), "late")
 
