@@ -253,7 +253,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     signed = stored(texts.mapInArrow(_signatures(shingle), _SIGNATURE), "signatures")
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
-    members = stored(members.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    members = stored(members.select("doc_id", "n", F.expr("nvl2(doc_id, coalesce(rep, doc_id), null)").alias("rep")), "members")
 
     one = members.select("rep").distinct()
     kinds = signed.filter("n > 0").join(one, F.col("doc_id") == F.col("rep"), "left_semi")

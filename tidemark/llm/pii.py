@@ -211,6 +211,11 @@ class Model:
             np.add.at(after, e[:, 0], one[e[:, 1]])
             np.add.at(before, e[:, 1], one[e[:, 0]])
             near.append((before, after))
+        # Every node once more without what it looks like, so that the edges learn to tell it.
+        bare = np.zeros_like(x)
+        bare[:, 0] = 1
+        x, y = np.concatenate([x, bare]), np.concatenate([y, y])
+        near = [(np.concatenate([b, b]), np.concatenate([a, a])) for b, a in near]
         truth = np.eye(N_LABELS)[y]
         weights = [self.unary, self.chain, self.skip]
         squares = [np.full_like(w, 1e-8) for w in weights]
