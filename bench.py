@@ -25,7 +25,6 @@ HEADLINE = [
     "second_token_counts",
     "keyword_by_source",
     "top_keywords_per_source",
-    "keyword_value_concat",
     "sql_script",
     "saved_result_roundtrip",
     "rows_as_strings",

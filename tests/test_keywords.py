@@ -141,11 +141,9 @@ def test_tag_text_reports(spark, tmp_path):
     assert rows(top, "state", "hashtag", "rank") == [("CA", "#a", 1), ("NY", "#a", 1)]
 
 
-def test_value_concat_and_runs(spark):
+def test_value_runs(spark):
     pairs = [("a", "y"), ("a", "x"), ("a", "y"), ("a", ""), ("b", "zzz"), ("b", None), ("c", "q" * 9)]
     df = spark.createDataFrame(pairs, "k string, v string")
     assert rows(K.value_runs(df, "k", "v")) == [
         ("a", "", 1), ("a", "x", 1), ("a", "y", 2), ("b", "zzz", 1), ("c", "q" * 9, 1)
     ]
-    found = {r["k"]: tuple(r)[1:] for r in K.value_concat(df, "k", "v", max_chars=8).collect()}
-    assert found == {"a": (4, 3, "xyy"), "b": (1, 3, "zzz"), "c": (1, 9, None)}

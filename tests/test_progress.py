@@ -25,8 +25,9 @@ def submitted(stage, tasks, at):
     return {"Event": P.STAGE_SUBMITTED, "Stage Info": {"Stage ID": stage, "Number of Tasks": tasks, "Submission Time": at}}
 
 
-def completed(stage, at):
-    return {"Event": P.STAGE_COMPLETED, "Stage Info": {"Stage ID": stage, "Completion Time": at}}
+def completed(stage, start, at):
+    info = {"Stage ID": stage, "Submission Time": start, "Completion Time": at}
+    return {"Event": P.STAGE_COMPLETED, "Stage Info": info}
 
 
 def task_start(stage, task, at):
@@ -42,7 +43,7 @@ LOG = [
     {"Event": "SparkListenerApplicationStart", "App Name": "demo", "Timestamp": 5},
     # Job 0: stage 1 is skipped, the job ends.
     job_start(0, [0, 1], 10, jobGroup_id="h1", job_type="sql", job_name="first"),
-    submitted(0, 1, 11), task_start(0, 0, 12), task_end(0, 0, 12, 13), completed(0, 14), job_end(0),
+    submitted(0, 1, 11), task_start(0, 0, 12), task_end(0, 0, 12, 13), completed(0, 11, 14), job_end(0),
     # Job 1 fails; a task is retried.
     job_start(1, [2], 20, jobGroup_id="h2", job_type="python"),
     submitted(2, 2, 21), task_start(2, 1, 22), task_start(2, 2, 22), task_end(2, 1, 22, 25, failed=True),
@@ -55,9 +56,9 @@ LOG = [
     job_start(3, [], 50), job_end(3),
     # Job 4: a stage with zero tasks in progress.
     job_start(4, [5], 60), submitted(5, 0, 61),
-    # Jobs 5 and 6 list stage 6; events go to the later one from its start on.
+    # Jobs 5 and 6 list stage 6; what starts from the start of the later one on is its own.
     job_start(5, [6, 7], 70), submitted(6, 3, 71), task_start(6, 7, 72), task_end(6, 7, 72, 79),
-    job_start(6, [6], 80), task_start(6, 8, 80), task_end(6, 8, 80, 83), completed(6, 84),
+    job_start(6, [6], 80), task_start(6, 8, 80), task_end(6, 8, 80, 83), completed(6, 71, 84),
     # Of a stage nobody lists, and of one before its job starts.
     submitted(99, 9, 1), task_start(7, 9, 69),
     # An end without a start, an unknown kind of event.
@@ -119,9 +120,9 @@ STAGES = [
     (2, 3, 4, True, 31, 3, 1, 2, False),
     (2, 4, 0, False, None, 0, 0, 0, False),
     (4, 5, 0, True, 61, 0, 0, 0, False),
-    (5, 6, 3, True, 71, 1, 0, 1, False),
+    (5, 6, 3, True, 71, 1, 0, 1, True),
     (5, 7, 0, False, None, 0, 0, 0, False),
-    (6, 6, 0, False, None, 1, 0, 1, True),
+    (6, 6, 0, False, None, 1, 0, 1, False),
 ]
 
 
@@ -145,8 +146,8 @@ def test_progress(events):
         (2, 2, 0, 0.0, 3, 4, 2, 0.5),
         (3, 1, 1, 1.0, None, None, None, None),
         (4, 1, 0, 0.0, 5, 1, 1, 1.0),
-        (5, 2, 0, 0.0, 6, 3, 1, 1 / 3),
-        (6, 1, 1, 1.0, None, None, None, None),
+        (5, 2, 1, 0.5, None, None, None, None),
+        (6, 1, 0, 0.0, None, None, None, None),
     ]
 
 
@@ -232,8 +233,8 @@ def test_owned_events(events):
     jobs, _ = state(events)
     owned = P.owned_events(events, jobs).where("stage_id = 6")
     assert rows(owned, "kind", "at", "job_id") == [
-        (P.STAGE_COMPLETED, 84, 6), (P.STAGE_SUBMITTED, 71, 5), (P.TASK_END, 79, 5),
-        (P.TASK_END, 83, 6), (P.TASK_START, 72, 5), (P.TASK_START, 80, 6),
+        (P.STAGE_COMPLETED, 71, 5), (P.STAGE_SUBMITTED, 71, 5), (P.TASK_END, 72, 5),
+        (P.TASK_END, 80, 6), (P.TASK_START, 72, 5), (P.TASK_START, 80, 6),
     ]
 
 

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tidemark.plans.oracles import ORACLES
+from tidemark.plans.table_queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {
@@ -33,14 +35,15 @@ def in_order(tuples):
 
 
 def test_every_query_has_its_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_duckdb(spark, duck, name):
     found = driver.queries()[name](spark, SF)
     expected = duck.sql(driver.oracle_sql()[name])
@@ -56,6 +59,19 @@ def test_query_equals_duckdb(spark, duck, name):
         assert operator not in plan(found)
 
 
+def test_no_stage_contradicts_itself(spark):
+    stages = driver.queries()["feed_stages"](spark, SF)
+    assert stages.where("tasks_in_progress < 0 OR (complete AND NOT submitted)").isEmpty()
+
+
+def test_handles_show_their_latest_job(spark):
+    shown = driver.queries()["progress_by_handle"](spark, SF).select("handle", "job_id")
+    latest = driver.queries()["latest_job_per_handle"](spark, SF).select("handle", "job_id")
+    assert shown.exceptAll(latest).isEmpty()
+    both = driver.queries()["progress_by_handle"](spark, SF).where("complete AND running")
+    assert both.isEmpty()
+
+
 def test_entry(spark):
     assert driver.entry(spark).columns == ["hashtag", "sentiment", "total"]
 

@@ -124,12 +124,6 @@ def test_dataset_and_row_cap(spark):
     spark.range(10).createOrReplaceTempView("ten")
     assert dataset(spark, "ten").count() == 10
     assert dataset(spark, "ten", 4).count() == 4
-    spark.conf.set("tidemark.test.rows", "3")
-    try:
-        assert dataset(spark, "ten").count() == 3
-        assert dataset(spark, "ten", 4).count() == 4
-    finally:
-        spark.conf.unset("tidemark.test.rows")
 
 
 def test_list_and_cache(spark):

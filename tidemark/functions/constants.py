@@ -18,7 +18,6 @@ WATCHED = [
 # The number each sentiment stands for in a mean.
 SENTIMENT_VALUES = {"negative": -1.0, "neutral": 0.0, "positive": 1.0}
 
-# Jobs kept by retention and the result delimiter; the row-cap setting.
+# Jobs kept by retention and the result delimiter.
 RETAINED_JOBS = 100
 DELIMITER = "\t"
-ROW_CAP_SETTING = "tidemark.test.rows"

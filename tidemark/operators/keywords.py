@@ -169,22 +169,3 @@ def value_runs(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(
         F.count(F.lit(1)).alias("copies")
     )
-
-
-def value_concat(rows: DataFrame, key: str, value: str, max_chars: int = 1 << 20) -> DataFrame:
-    """Per key the number of values and their concatenation in value order.
-
-    The length is summed first. ``text`` is built only where it fits ``max_chars`` and
-    is null elsewhere: :func:`value_runs` holds the whole of those keys.
-    """
-    runs = value_runs(rows, key, value)
-    sizes = runs.groupBy(key).agg(
-        F.sum("copies").alias("total"),
-        F.sum(F.length(value) * F.col("copies")).alias("n_chars"),
-    )
-    small = runs.join(sizes.where(F.col("n_chars") <= max_chars).select(key), key, "left_semi")
-    # Distinct values within max_chars characters, so a bounded array.
-    pieces = F.sort_array(F.collect_list(F.struct(value, "copies")))
-    repeated = F.transform(pieces, lambda p: F.repeat(p[value], p["copies"].cast("int")))
-    texts = small.groupBy(key).agg(F.concat_ws("", repeated).alias("text"))
-    return sizes.join(texts, key, "left").select(key, "total", "n_chars", "text")

@@ -83,15 +83,19 @@ def stage_listings(jobs: DataFrame) -> DataFrame:
 
 
 def stage_and_task_events(events: DataFrame) -> DataFrame:
-    """The stage and task events with one name for stage id and time of each kind."""
+    """The stage and task events with one name for stage id and time of each kind.
+
+    The time is the start of the stage or task, also for its end, so that both events of
+    one thing have the same owner.
+    """
     kind = F.col("Event")
     info, task = F.col("`Stage Info`"), F.col("`Task Info`")
     of_stage = kind.isin(STAGE_SUBMITTED, STAGE_COMPLETED)
     at = (
         F.when(kind == STAGE_SUBMITTED, info["Submission Time"])
-        .when(kind == STAGE_COMPLETED, info["Completion Time"])
+        .when(kind == STAGE_COMPLETED, F.coalesce(info["Submission Time"], info["Completion Time"]))
         .when(kind == TASK_START, task["Launch Time"])
-        .when(kind == TASK_END, task["Finish Time"])
+        .when(kind == TASK_END, F.coalesce(task["Launch Time"], task["Finish Time"]))
     )
     return of_kind(events, STAGE_SUBMITTED, STAGE_COMPLETED, TASK_START, TASK_END).select(
         "app_id",
@@ -163,15 +167,12 @@ def _counters(failed_count: bool) -> list[Column]:
 def _owned_state(rows: DataFrame, listings: DataFrame, counters: list[Column]) -> DataFrame:
     """The counters per job and stage, by the ownership rule of :func:`owned_events`.
 
-    With few listings they are broadcast to the events. Otherwise events are summed up per
-    stage before anything is shuffled: a stage whose first event is not earlier than the
-    start of its latest job belongs to that job as a whole, and only the events of other
-    stages are looked at one by one.
+    Events are summed up per stage before anything is shuffled: a stage whose first event
+    is not earlier than the start of its latest job belongs to that job as a whole, and
+    only the events of other stages are looked at one by one.
     """
     rows = rows.where(F.col("at").isNotNull())
     owners = listings.where(F.col("job_started").isNotNull()).drop("position")
-    if owners.count() <= asof.BROADCAST_ROWS:
-        return _owned(rows, owners).groupBy(*STAGE).agg(*counters)
     latest = owners.groupBy(*LISTED).agg(F.max(F.struct("job_started", "job_id")).alias("_last"))
     sums = rows.groupBy(*LISTED).agg(*counters, F.min("at").alias("_first"))
     sums = checkpointed(sums.join(latest, LISTED))
@@ -312,7 +313,7 @@ def handle_progress(
     stages: DataFrame,
     runs: DataFrame,
     handle: str | None = None,
-    order=("job_id",),
+    order=("started", "job_id"),
 ) -> DataFrame:
     """Progress of each handle's latest job, with the ``running`` flag of its run history.
 

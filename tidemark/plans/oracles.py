@@ -78,9 +78,9 @@ _FEED_STATES = f"""
            min(launch) >= any_value(job_started) AS submitted,
            CASE WHEN min(launch) >= any_value(job_started) THEN min(launch) END AS submitted_at,
            count(*) FILTER (launch >= job_started) AS tasks_started,
-           count(*) FILTER (ended AND finish >= job_started) AS ended_tasks,
-           count(*) FILTER (ended AND finish >= job_started AND NOT bad) AS good_tasks,
-           bool_and(ended) AND max(finish) >= any_value(job_started) AS complete
+           count(*) FILTER (ended AND launch >= job_started) AS ended_tasks,
+           count(*) FILTER (ended AND launch >= job_started AND NOT bad) AS good_tasks,
+           bool_and(ended) AND min(launch) >= any_value(job_started) AS complete
     FROM ({_FEED_LINES}) GROUP BY job_id, stage_id"""
 _FEED_STAGES = f"""
     SELECT 'orders' AS app_id, listed.job_id, listed.stage_id,
@@ -146,11 +146,6 @@ ORACLES = {
         WHERE rank <= 5""",
     "keyword_value_runs": f"""
         SELECT hashtag, source, count(*) AS copies FROM ({_WORDS}) GROUP BY ALL""",
-    "keyword_value_concat": f"""
-        SELECT hashtag, count(*) AS total, CAST(sum(length(source)) AS BIGINT) AS n_chars,
-               CASE WHEN sum(length(source)) <= 1048576
-                    THEN string_agg(source, '' ORDER BY source) END AS text
-        FROM ({_WORDS}) GROUP BY ALL""",
     "dataset_preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20",
     "row_cap": "SELECT count(*) AS n_rows FROM (SELECT * FROM lineitem LIMIT 5000)",
     "raw_lines": """
@@ -199,8 +194,9 @@ ORACLES = {
                                     ORDER BY o_orderdate DESC, o_orderkey DESC) AS recency
           FROM orders)
         SELECT handle, job_id, stage_progress, complete, failed, status = 'O' AS running
-        FROM ({_PROGRESS}) JOIN history USING (handle) WHERE recency = 1
-        QUALIFY row_number() OVER (PARTITION BY handle ORDER BY job_id DESC) = 1""",
+        FROM ({_PROGRESS}) JOIN history USING (handle) JOIN orders ON o_orderkey = job_id
+        WHERE recency = 1
+        QUALIFY row_number() OVER (PARTITION BY handle ORDER BY o_orderdate DESC, job_id DESC) = 1""",
     "handle_rollup": f"""
         SELECT app_id, handle, count(*) AS jobs, count(*) FILTER (complete) AS complete_jobs,
                count(*) FILTER (failed) AS failed_jobs,

@@ -115,11 +115,6 @@ def keyword_value_runs(spark, sf_dir):
     return K.value_runs(rows, "hashtag", "source")
 
 
-def keyword_value_concat(spark, sf_dir):
-    rows = facts.document_words(table(spark, sf_dir, "documents"), "source", watch=WORDS)
-    return K.value_concat(rows, "hashtag", "source")
-
-
 def keyword_report_csv(spark, sf_dir):
     path = shared_dir(spark, "report")
     save_sorted_csv(keyword_sentiment_counts(spark, sf_dir), path, ["hashtag", "sentiment"])
@@ -466,7 +461,6 @@ QUERIES = {
         keyword_by_source,
         top_keywords_per_source,
         keyword_value_runs,
-        keyword_value_concat,
         keyword_report_csv,
         dataset_preview,
         row_cap,

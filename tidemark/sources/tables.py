@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.functions.constants import ROW_CAP_SETTING
-
 
 def dataset(spark: SparkSession, name: str, limit: int | None = None) -> DataFrame:
-    """All of a table, or ``limit`` rows of it.
-
-    Without a limit the session setting ``tidemark.test.rows``, meant for trial runs,
-    caps the rows if it is set.
-    """
-    if limit is None:
-        limit = spark.conf.get(ROW_CAP_SETTING, None)
+    """All of a table, or ``limit`` rows of it."""
     table = spark.table(name)
-    return table if limit is None else table.limit(int(limit))
+    return table if limit is None else table.limit(limit)
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
