@@ -33,6 +33,25 @@ spark.stop()
 """
 
 
+def test_folder_of_single_rolled_and_running_logs(spark, tmp_path):
+    def line(job):
+        return f'{{"Event":"{P.JOB_START}","Job ID":{job}}}\n'
+
+    logs = tmp_path / "logs"
+    rolled = logs / "eventlog_v2_app-2"
+    rolled.mkdir(parents=True)
+    (logs / "app-1").write_text(line(1))
+    (rolled / "appstatus_app-2").touch()
+    (rolled / "events_1_app-2").write_text(line(2) + line(3))
+    (rolled / "events_2_app-2.inprogress").write_text(line(4))
+    (logs / "app-3.inprogress").write_text(line(5))
+    want = [("app-1", 1), ("app-2", 2), ("app-2", 3), ("app-2", 4), ("app-3", 5)]
+    assert rows(read_events(spark, str(logs)), "app_id", "`Job ID`") == want
+    # The application has ended: its file loses the ending, its id stays.
+    (logs / "app-3.inprogress").rename(logs / "app-3")
+    assert rows(read_events(spark, str(logs)), "app_id", "`Job ID`") == want
+
+
 @pytest.mark.parametrize("rolling", ["false", "true"])
 def test_log_of_a_real_application(spark, tmp_path, rolling):
     folder = tmp_path / "logs"

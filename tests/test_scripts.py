@@ -57,6 +57,18 @@ def test_commands_with_rows_are_saved(spark, tmp_path):
     assert ("shown",) in rows(saved, "tableName")
 
 
+def test_texts_keep_the_rows_of_commands_or_are_refused(spark, tmp_path):
+    spark.range(1).createOrReplaceTempView("shown")
+    for handle, text, column, value in (("h6", "SHOW TABLES;", "tableName", "shown"), ("h7", "DESCRIBE shown", "col_name", "id")):
+        record = run_and_save(spark, text, str(tmp_path), handle).first()
+        assert record["success"] and (value,) in rows(load_result(spark, json.loads(record["data"])["outputDir"]), column)
+    text = "CREATE TEMP VIEW not_made AS SELECT 1 AS x; SHOW TABLES LIKE 'no*'"
+    record = run_and_save(spark, text, str(tmp_path), "h8").first()
+    assert not record["success"] and "list" in json.loads(record["data"])["error"]
+    assert not spark.catalog.tableExists("not_made")
+    assert rows(run_script(spark, "SELECT 1; SELECT '; show me' AS x")) == [("; show me",)]
+
+
 def test_failure_is_recorded(spark, tmp_path):
     record = run_and_save(spark, ["SELECT 1", "SELECT nothing FROM nowhere"], str(tmp_path), "h4").first()
     data = json.loads(record["data"])

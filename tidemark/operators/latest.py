@@ -27,7 +27,9 @@ def retained_jobs(
 
     Completed jobs are cut to ``keep`` per application inside each task before they are
     shuffled (for ``keep`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``);
-    incomplete ones only pass through as a count.
+    incomplete ones only pass through as a count. A single window over all jobs would read
+    them once instead of three times, but would bring all incomplete jobs of an
+    application into one task.
     """
     newest_first = Window.partitionBy(app).orderBy(*[F.col(name).desc() for name in order])
     candidates = (

@@ -53,26 +53,30 @@ def jobs_from_events(events: DataFrame) -> DataFrame:
     is_end = F.col("Event") == JOB_END
     properties = F.col("Properties")
 
-    def at_start(value: Column) -> Column:
-        return F.first(F.when(is_start, value), ignorenulls=True)
-
+    # All of a job's start comes from one event, the latest, so that a start that is
+    # repeated with other values gives the same row in any order of the feed.
+    start = F.struct(
+        F.col("Submission Time").alias("started"),
+        properties["spark.jobGroup.id"].alias("handle"),
+        property_or_blank(properties, "spark.job.name").alias("name"),
+        property_or_blank(properties, "spark.job.type").alias("type"),
+        F.array_distinct("Stage IDs").alias("stage_ids"),
+    )
     merged = (
         of_kind(events, JOB_START, JOB_END)
         .groupBy(F.col("Job ID").alias("job_id"), "app_id")
         .agg(
-            F.bool_or(is_start).alias("_seen"),
-            at_start(properties["spark.jobGroup.id"]).alias("handle"),
-            at_start(property_or_blank(properties, "spark.job.name")).alias("name"),
-            at_start(property_or_blank(properties, "spark.job.type")).alias("type"),
-            F.max(F.when(is_start, F.col("Submission Time"))).alias("started"),
-            at_start(F.array_distinct("Stage IDs")).alias("stage_ids"),
+            F.max(F.when(is_start, start)).alias("_start"),
             F.bool_or(is_end).alias("complete"),
             F.coalesce(
                 F.bool_or(is_end & (F.col("Job Result.Result") == "JobFailed")), F.lit(False)
             ).alias("failed"),
         )
     )
-    return merged.where("_seen").drop("_seen")
+    names = ("handle", "name", "type", "started", "stage_ids")
+    return merged.where(F.col("_start").isNotNull()).select(
+        *JOB, *[F.col(f"_start.{name}") for name in names], "complete", "failed"
+    )
 
 
 def stage_listings(jobs: DataFrame) -> DataFrame:
@@ -219,6 +223,19 @@ def tasks_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def owned_tasks(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The tasks of :func:`tasks_from_events` with the job that each belongs to.
+
+    The owner is that of :func:`owned_events`; null where no job had listed the stage
+    when the task was launched.
+    """
+    tasks = tasks_from_events(events)
+    owners = stage_listings(jobs).drop("position")
+    launched = tasks.select("app_id", "stage_id", "task_id", F.col("started").alias("at"))
+    owned = _owned(launched, owners).select(*LISTED, "task_id", "job_id")
+    return tasks.join(owned, [*LISTED, "task_id"], "left")
+
+
 def stage_states(stages: DataFrame) -> DataFrame:
     """Per job the stages waiting, in progress and complete, as (…, stage_id, state) rows."""
     state = F.when(F.col("complete"), "complete").when(F.col("submitted"), "in_progress")

@@ -62,7 +62,9 @@ _FEED_JOBS = """
            CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS type,
            epoch_ms(o_orderdate) AS started,
            o_orderstatus <> 'O' AS complete, o_orderstatus = 'P' AS failed,
-           coalesce(last_line, 0)::INTEGER AS n_stages
+           coalesce(last_line, 0)::INTEGER AS n_stages,
+           coalesce(array_to_string(list_transform(range(1, last_line + 1),
+             lambda n: o_orderkey * 8 + n), ','), '') AS stages
     FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS last_line
                            FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
 _FEED_LINES = """
@@ -99,7 +101,8 @@ def _history(fields: str, where: str = "true") -> str:
     SELECT o_orderpriority AS account_id, CAST(o_custkey AS VARCHAR) AS user_id, {fields},
            'sql' AS job_type, CAST(NULL AS VARCHAR) AS job_id,
            CAST(o_orderkey AS VARCHAR) AS job_handle,
-           '{{"jobName":"' || o_orderstatus || '"}}' AS data FROM orders WHERE {where}"""
+           '{{"jobName":"' || o_orderstatus || '"}}' AS data,
+           CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders WHERE {where}"""
 
 
 def _ids(state: str) -> str:
@@ -232,8 +235,9 @@ ORACLES = {
                l_partkey * 2147483648 + l_suppkey AS task_id, max(epoch_ms(l_shipdate)) AS started,
                max(CASE WHEN l_linestatus = 'F' THEN
                  epoch_ms(l_shipdate) + CAST(l_quantity AS BIGINT) * 3600000 END) AS finished,
-               finished - started AS duration
-        FROM lineitem GROUP BY 1, 2, 3""",
+               finished - started AS duration,
+               any_value(CASE WHEN l_shipdate >= o_orderdate THEN o_orderkey END) AS job_id
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3""",
     "feed_stage_lists": f"""
         SELECT o_orderkey AS job_id,
                {_ids('stage_id IS NOT NULL AND NOT submitted AND NOT complete')} AS waiting,

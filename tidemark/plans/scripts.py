@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import traceback
 from collections.abc import Sequence
 
@@ -14,6 +15,11 @@ from tidemark.functions.scalars import trace_lines
 from tidemark.schemas import ENVELOPE
 from tidemark.sources.delimited import read_delimited, result_columns, save_delimited
 
+# A last statement whose rows a script block does not give.
+_LISTED_LAST = re.compile(
+    r"""(?is);\s*(?:show|desc|describe|explain)\b(?:[^;'"]|'[^']*'|"[^"]*")*$"""
+)
+
 
 def run_statement(spark: SparkSession, statement: str) -> DataFrame:
     return spark.sql(statement)
@@ -23,12 +29,18 @@ def run_script(spark: SparkSession, script: str | Sequence[str]) -> DataFrame:
     """Runs statements in order and returns the result of the last one.
 
     A list is run one by one. A text is run as one SQL script block, so Spark itself
-    finds where its statements end.
+    finds where its statements end; a text of one statement is run as it is. A block keeps
+    no rows of a SHOW, DESCRIBE or EXPLAIN, so a text of several statements that ends
+    with one is refused before anything is run; as a list it works.
     """
     if isinstance(script, str):
         text = script.strip().rstrip(";")
         if not text:
             raise ValueError("the script is empty")
+        if ";" not in text:
+            return spark.sql(text)
+        if _LISTED_LAST.search(text):
+            raise ValueError("a text cannot end with SHOW, DESCRIBE or EXPLAIN; pass its statements as a list")
         return spark.sql(f"BEGIN\n{text}\n;\nEND")
     result = None
     for statement in script:
@@ -65,10 +77,10 @@ def run_and_save(
         data = {"outputDir": path, "handle": handle}
         if result.columns:
             save_result(result, path)
-            data["message"] = "Query complete, use load_result to retrieve results"
+            data["message"] = "saved, see load_result"
             data["columns"] = [row.asDict() for row in result_columns(result).collect()]
         else:
-            data["message"] = "Query complete"
+            data["message"] = "done, without a result"
             data["result"] = []
         return outcome(spark, handle, True, data, options)
     except Exception as error:

@@ -292,7 +292,8 @@ def feed_apps(spark, sf_dir):
 
 def feed_jobs(spark, sf_dir):
     jobs = P.jobs_from_events(with_app(_feed(spark, sf_dir)))
-    return jobs.withColumn("n_stages", F.size("stage_ids")).drop("stage_ids")
+    ids = F.concat_ws(",", F.col("stage_ids").cast("array<string>"))
+    return jobs.withColumns({"n_stages": F.size("stage_ids"), "stages": ids}).drop("stage_ids")
 
 
 def feed_stages(spark, sf_dir):
@@ -305,7 +306,10 @@ def feed_stages_without_failures(spark, sf_dir):
 
 
 def feed_tasks(spark, sf_dir):
-    return P.tasks_from_events(with_app(_feed(spark, sf_dir)))
+    path = shared_dir(spark, "events")
+    write_events(with_app(_feed(spark, sf_dir)), path)
+    events = spark.read.parquet(path)
+    return P.owned_tasks(events, P.jobs_from_events(events))
 
 
 def feed_stage_lists(spark, sf_dir):
@@ -383,7 +387,8 @@ def history_roundtrip(spark, sf_dir):
     append_records(history_events(orders, "job_start", **common), path)
     ended = orders.where("o_orderstatus <> 'O'")
     append_records(history_events(ended, "job_complete", **common), path)
-    return spark.read.schema(HISTORY).parquet(path).drop("ts")
+    # The wall time, which does not depend on the zone of the session.
+    return spark.read.schema(HISTORY).parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def envelope_json(spark, sf_dir):

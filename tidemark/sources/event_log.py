@@ -12,17 +12,19 @@ def read_events(spark: SparkSession, path: str, app_id: str | None = None) -> Da
     """Events with their application id; lines that are no event are dropped.
 
     A log file is named after its application (a rolled one after a prefix with its
-    number), so several logs can be read together. ``app_id`` replaces the file name
+    number, one still written to with ``.inprogress`` at its end), so that a folder of
+    single, rolled and running logs can be read at once. ``app_id`` replaces the file name
     where a feed of one application is spread over other files.
     """
-    return _with_app(spark.read.schema(EVENT).json(path), app_id)
+    reader = spark.read.schema(EVENT).option("recursiveFileLookup", "true")
+    return _with_app(reader.json(path), app_id)
 
 
 def stream_events(
     spark: SparkSession, path: str, app_id: str | None = None, files_per_trigger: int | None = None
 ) -> DataFrame:
     """The same as a stream over the files that arrive in a folder."""
-    reader = spark.readStream.schema(EVENT)
+    reader = spark.readStream.schema(EVENT).option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return _with_app(reader.json(path), app_id)
@@ -38,6 +40,7 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def _with_app(events: DataFrame, app_id: str | None) -> DataFrame:
-    of_file = F.regexp_replace(F.col("_metadata.file_name"), r"^events_\d+_", "")
+    # The empty ``appstatus`` file beside a rolled log has no events.
+    of_file = F.regexp_replace(F.col("_metadata.file_name"), r"^events_\d+_|\.inprogress$", "")
     app = of_file if app_id is None else F.lit(app_id)
     return events.select("*", app.alias("app_id")).where(F.col("Event").isNotNull())
