@@ -250,3 +250,20 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.count() == docs.count()
+
+
+def test_near_dedup_pair_at_the_threshold_stays_together_down_to_the_last_level(spark):
+    rng, n = np.random.default_rng(5), 300
+    a = rng.integers(0, 2**31, (n, near_dedup.POSITIONS))
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**31, a.shape))
+    x, y = (
+        spark.createDataFrame([(k, [int(v) for v in m]) for k, m in enumerate(mins)], "pair int, mins array<int>")
+        .select("pair", near_dedup._paths().alias(f"{side}_keys"), F.col("mins").alias(side))
+        for side, mins in (("a", a), ("b", b))
+    )
+    walk = x.join(y, "pair").select("pair", "a", "b", F.explode(F.array_intersect("a_keys", "b_keys")).alias("key"))
+    for _ in range(near_dedup.LEVELS - 1):
+        below = (near_dedup._branched(F.col("key"), F.col(side)) for side in ("a", "b"))
+        walk = walk.select("pair", "a", "b", F.explode(F.array_intersect(*below)).alias("key")).localCheckpoint()
+    together = walk.select("pair").distinct().count()
+    assert together >= 0.93 * n, together

@@ -12,7 +12,7 @@ is compared with a few of its documents only, others in every node, and of all i
 document goes with the nearest one; the links found are confirmed on the full sets and merged. Where a large node then holds few documents outside its largest component,
 these are compared with all of the node; a node of ``BLOCK`` documents at most is compared
 exhaustively on the full sets, within a task; any other branches on into ``CHILDREN`` nodes by
-``STEP`` further tokens each. So a group
+``STEP`` further tokens each, of which a pair at the threshold shares more than one on average. So a group
 of near copies, however large, costs a link per document and not all its pairs. Nodes
 that are still large and divided at the last level are compared exhaustively.
 
@@ -43,7 +43,7 @@ from tidemark.llm.shingles import shingle_set
 SHINGLE = 5
 PERCENT = 80
 TREES = 16
-POSITIONS, SKETCH = 64, 128
+POSITIONS, SKETCH = 128, 128
 #: Bits of a sketch that agree in a pair at the threshold but for a chance of about 1e-8.
 AGREE = 93
 SMALL = 8
@@ -52,9 +52,11 @@ BLOCK = 384
 #: Documents of a large node that all others of it are compared with.
 CENTRES = 3
 LEVELS = 9
-#: Later branchings: children of a node, and selected tokens that lead to each. Of a pair at
-#: the threshold 0.8 children are shared on average, of one within a group of closer copies 1.3.
-CHILDREN, STEP = 2, 4
+#: Later branchings: children of a node, and selected tokens that lead to each. A pair at the
+#: threshold shares CHILDREN * 0.8 ** STEP = 1.23 children on average; below 1 links at the
+#: threshold would fade with depth. The more positions, the less a pair's share of equal
+#: tokens strays from its similarity.
+CHILDREN, STEP = 3, 4
 _CHUNK = 1024
 
 _SIGNATURE = "doc_id bigint, n int, h1 bigint, h2 bigint, mins array<int>, s1 bigint, s2 bigint"
