@@ -202,6 +202,16 @@ def test_license_spans(spark):
     assert got[1, "mit"]["start"] == 2 and 0.9 < got[1, "mit"]["coverage"] < 1
 
 
+def test_license_spans_of_lines_repeated_back_to_back():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name, n in (("all-rights-reserved", 3), ("mit-line", 5), ("cc-by-nc-4.0-line", 7), ("apache-2.0-line", 8)):
+        assert len(index.words[name]) == n
+        for copies in (1, 2, 3, 7, 40):
+            text = "see also " + " ".join([license_scan.TEMPLATES[name]] * copies) + " thanks"
+            got = [(k[1], k[2]) for k in index.matches(text.encode(), license_scan.COVERAGE) if k[0] == name]
+            assert got == [(2 + n * k, 1 + n * (k + 1)) for k in range(copies)], (name, copies)
+
+
 def test_gradients_and_probabilities(monkeypatch):
     monkeypatch.setattr(gru, "LANES", 2)
     rng = np.random.default_rng(0)

@@ -5,7 +5,9 @@ triples the least is a fingerprint, kept in an inverted index with its template
 place. The templates are a fixed list, so the index is bounded and goes to every task.
 All triples of a document are looked up, so any stretch of ``WINNOW + GRAM - 1`` words
 shared with a template is found. Hits that lie within a band of one diagonal are a candidate; a
-local alignment within the band gives the words matched and the span.
+local alignment within the band gives the words matched and the span. Once a match is taken,
+candidates that overlap it are aligned again over the words that it leaves free, as long as
+these hold a hit, so that occurrences within one band are all found.
 
 A match is reported with its coverage, the matched share of the template's words, from
 ``COVERAGE`` on; of overlapping matches of one template the best one, the first of
@@ -19,8 +21,10 @@ than doc_id and text are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -126,21 +130,52 @@ class Index:
         grams = windows(word_hashes(found), GRAM)
         at = np.searchsorted(self.known, grams)
         at[at == len(self.known)] = 0
-        bands: dict[tuple[str, int], int] = {}
-        for place in np.flatnonzero(self.known[at] == grams):
+        bands: dict[str, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for place in map(int, np.flatnonzero(self.known[at] == grams)):
             for name, offset in self.postings[int(grams[place])]:
-                bands.setdefault((name, (int(place) - offset) // BAND), int(place) - offset)
-        aligned_all = []
-        for (name, _), diagonal in bands.items():
-            score, matched, first, last = aligned(self.words[name], found, diagonal)
-            if score and matched >= coverage * len(self.words[name]):
-                aligned_all.append((-score, first, last, name, matched))
-        kept: list[tuple[str, int, int, int, float]] = []
-        for _, first, last, name, matched in sorted(aligned_all):
-            if all(k[0] != name or last < k[1] or first > k[2] for k in kept):
-                kept.append((name, first, last, matched, matched / len(self.words[name])))
+                bands[name][(place - offset) // BAND].append((place, place - offset))
+        kept = [(name, *match) for name, hits in bands.items() for match in self._best(name, found, hits, coverage)]
         return sorted(kept, key=lambda k: (k[1], k[2], k[0]))
 
+    def _best(
+        self, name: str, found: list[bytes], bands: dict[int, list[tuple[int, int]]], coverage: float
+    ) -> list[tuple[int, int, int, float]]:
+        """The matches of one template, best first, none overlapping another; hits of a band are (place, diagonal)."""
+        template = self.words[name]
+
+        def proposed(band: int, low: int, high: int) -> tuple[int, ...] | None:
+            hits = bands[band]
+            k = bisect_left(hits, (low,))
+            if k == len(hits) or hits[k][0] + GRAM > high:
+                return None
+            score, matched, first, last = aligned(template, found[low:high], hits[k][1] - low)
+            if not score or matched < coverage * len(template):
+                return None
+            return -score, first + low, last + low, matched, band, low, high
+
+        whole = ((k, max(0, k * BAND - BAND), min(len(found), (k + 2) * BAND + len(template))) for k in bands)
+        queue = [p for p in (proposed(*w) for w in whole) if p]
+        heapify(queue)
+        taken: list[tuple[int, int]] = []
+        kept = []
+        while queue:
+            _, first, last, matched, band, low, high = heappop(queue)
+            at = bisect_left(taken, (first,))
+            if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
+                insort(taken, (first, last))
+                kept.append((first, last, matched, matched / len(template)))
+            # What the matches taken leave free of the words that were aligned.
+            free, at = low, max(0, bisect_left(taken, (low,)) - 1)
+            gaps = []
+            while at < len(taken) and taken[at][0] < high:
+                gaps.append((free, taken[at][0]))
+                free, at = max(free, taken[at][1] + 1), at + 1
+            for start, end in [*gaps, (free, high)]:
+                again = proposed(band, start, end) if end - start >= GRAM else None
+                if again:
+                    heappush(queue, again)
+        return kept
+
 
 def _scan(templates: dict[str, str], coverage: float):
     names = ["doc_id", "template", "start", "end", "matched_words", "coverage"]
