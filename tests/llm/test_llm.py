@@ -181,6 +181,19 @@ def test_pii_base_and_added_spans(docs):
     assert model.added("12 eggs and 7 spoons", pii.base_spans("12 eggs and 7 spoons")) == []
 
 
+def _phone_lines(n):
+    train = [f"reach +4915{k:08d} now\nor write n{k}@host{k}.example.com about {k} things, {k % 9}" for k in range(10**7, 10**7 + n)]
+    return [*train, *(t + f"\nagain {t.split()[1]}" for t in train)]
+
+
+def test_pii_long_documents_are_one_field_and_are_learned_from(spark):
+    model = pii.Model().fit(_phone_lines(200))
+    text = "phone +491512345678 is good. " + "then 7 x " * 21_000 + "Later: 491512345678 rings"
+    assert ("phone", text.index(" 4915") + 1, text.index(" rings")) in model.added(text, pii.base_spans(text))
+    long = [(k, t + " x" * 12_000) for k, t in enumerate(_phone_lines(20))]
+    assert pii.fitted(spark.createDataFrame(long, "doc_id bigint, text string")).skip.any()
+
+
 def test_marginals_are_exact_on_a_chain():
     rng = np.random.default_rng(0)
     unary, pair = rng.normal(size=(4, 3)), rng.normal(size=(3, 3))

@@ -10,8 +10,11 @@ punctuation are dropped). Loopy belief propagation gives every node's marginals;
 added span is a run of nodes of one label, of at least ``SURE`` probability each, which
 touches no base span. Nodes inside base spans are clamped to their label.
 
-The weights are fitted by pseudo-likelihood on at most ``FIT_DOCS`` documents that have
-base spans, chosen by a hash of id and text; base spans are the labels.
+The weights are fitted by pseudo-likelihood on ``FIT_DOCS`` documents, of any length, that
+have likely base spans, chosen by a hash of id and text (and repeats of the last one); base
+spans are the labels. Their nodes are counted in tasks, by what the fit sees of them, so
+that only distinct ones and their counts come together. A document is one field, whatever
+its length: its edges span all of it, and messages are worked on in blocks of edges.
 
 Defined results: a null or empty text has no spans; repeated rows are each given alike; a
 null doc_id stays null; ties do not arise, as spans of a kind do not overlap; an empty
@@ -24,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9
 FIT_DOCS = 1500
 ROUNDS = 12
-#: Nodes of one document that a task takes into one field; longer documents are cut between tokens.
-_FIELD = 20_000
+#: Nodes and messages worked on at a time; memory beyond that is linear in a document's nodes.
+_BLOCK = 1 << 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -137,7 +141,7 @@ def _labels(spans: list[Span], base: dict[str, list[Span]]) -> np.ndarray:
     return labels
 
 
-def edges(text: str, spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
+def edges(text: str, spans: list[Span], base: dict[str, list[Span]]) -> tuple[np.ndarray, np.ndarray]:
     """Chain edges between neighbours apart by one space, and skip edges to the next similar node."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 1]
     last: dict[str, int] = {}
@@ -166,20 +170,52 @@ def marginals(unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], rou
     """Node marginals by loopy belief propagation over edges, each kind with its own potentials."""
     source = np.concatenate([np.concatenate([e[:, 0], e[:, 1]]) for e, _ in pairs])
     target = np.concatenate([np.concatenate([e[:, 1], e[:, 0]]) for e, _ in pairs])
-    potential = np.concatenate([np.concatenate([np.repeat(w[None], len(e), 0), np.repeat(w.T[None], len(e), 0)]) for e, w in pairs])
     back = np.concatenate([np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))]) + 2 * sum(len(x) for x, _ in pairs[:k]) for k, (e, _) in enumerate(pairs)])
+    blocks, start = [], 0
+    for e, w in pairs:
+        for potential in (w, w.T):
+            blocks += [(at, min(at + _BLOCK, start + len(e)), potential) for at in range(start, start + len(e), _BLOCK)]
+            start += len(e)
     messages = np.zeros((len(source), unary.shape[1]))
     belief = unary.copy()
     for _ in range(rounds if len(source) else 0):
-        ahead = belief[source] - messages[back]
-        new = _log_sum(ahead[:, :, None] + potential, 1)
-        new -= _log_sum(new, 1)[:, None]
-        messages = 0.5 * messages + 0.5 * new
+        fresh = np.empty_like(messages)
+        for at, end, potential in blocks:
+            ahead = belief[source[at:end]] - messages[back[at:end]]
+            new = _log_sum(ahead[:, :, None] + potential, 1)
+            new -= _log_sum(new, 1)[:, None]
+            fresh[at:end] = 0.5 * messages[at:end] + 0.5 * new
+        messages = fresh
         belief = unary.copy()
         np.add.at(belief, target, messages)
     return np.exp(belief - _log_sum(belief, 1)[:, None])
 
 
+def _examples(text: str) -> Counter[bytes]:
+    """A document's distinct nodes and how often each occurs: features, label, labels before and after by kind of edge."""
+    spans = nodes(text)
+    if not spans:
+        return Counter()
+    base = base_spans(text)
+    labels = _labels(spans, base)
+    sides = []
+    for e in edges(text, spans, base):
+        after, before = (np.zeros((len(spans), N_LABELS), dtype=np.int64) for _ in range(2))
+        np.add.at(after, (e[:, 0], labels[e[:, 1]]), 1)
+        np.add.at(before, (e[:, 1], labels[e[:, 0]]), 1)
+        sides += [before, after]
+    rows: Counter[bytes] = Counter()
+    for at in range(0, len(spans), _BLOCK):
+        part = spans[at : at + _BLOCK]
+        x = np.zeros((len(part), N_FEATURES), dtype=np.uint8)
+        for row, span in zip(x, part, strict=True):
+            row[features(text, span)] = 1
+        end = at + len(part)
+        near = [np.minimum(s[at:end], 255).astype(np.uint8) for s in sides]
+        rows.update(map(bytes, np.column_stack([x, labels[at:end].astype(np.uint8), *near])))
+    return rows
+
+
 class Model:
     """Weights of the features and of chain and skip edges, by label."""
 
@@ -190,27 +226,22 @@ class Model:
 
     def fit(self, texts: list[str], steps: int = 150, rate: float = 0.5) -> Model:
         """Pseudo-likelihood ascent: each node given the true labels of its neighbours."""
-        found, labels, chains, skips = [], [], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        rows = Counter()
         for text in texts:
-            spans = nodes(text)
-            chain, skip = edges(text, spans)
-            chains.append(chain + len(found))
-            skips.append(skip + len(found))
-            found += [features(text, s) for s in spans]
-            labels.append(_labels(spans, base_spans(text)))
-        if not found:
+            rows.update(_examples(text))
+        return self.learn(rows, steps, rate)
+
+    def learn(self, examples: dict[bytes, int], steps: int = 150, rate: float = 0.5) -> Model:
+        """Ascent over distinct examples (see ``_examples``) and how often each occurs."""
+        if not examples:
             return self
-        y = np.concatenate(labels)
-        x = np.zeros((len(found), N_FEATURES))
-        for row, places in zip(x, found, strict=True):
-            row[places] = 1
-        near = []
-        for e in (np.concatenate(chains), np.concatenate(skips)):
-            one = np.eye(N_LABELS)[y]
-            after, before = np.zeros_like(one), np.zeros_like(one)
-            np.add.at(after, e[:, 0], one[e[:, 1]])
-            np.add.at(before, e[:, 1], one[e[:, 0]])
-            near.append((before, after))
+        rows = sorted(examples)
+        table = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+        x, y = table[:, :N_FEATURES].astype(float), table[:, N_FEATURES].astype(np.int64)
+        sides = [table[:, k : k + N_LABELS].astype(float) for k in range(N_FEATURES + 1, table.shape[1], N_LABELS)]
+        near = [(sides[0], sides[1]), (sides[2], sides[3])]
+        share = np.array([examples[r] for r in rows], dtype=float)
+        share = np.concatenate([share, share]) / (2 * share.sum())
         # Every node once more without what it looks like, so that the edges learn to tell it.
         bare = np.zeros_like(x)
         bare[:, 0] = 1
@@ -224,7 +255,7 @@ class Model:
             for (before, after), w in zip(near, weights[1:], strict=True):
                 score = score + before @ w + after @ w.T
             p = np.exp(score - _log_sum(score, 1)[:, None])
-            d = (truth - p) / len(y)
+            d = (truth - p) * share[:, None]
             grads = [x.T @ d] + [b.T @ d + (a.T @ d).T for b, a in near]
             for w, g, s in zip(weights, grads, squares, strict=True):
                 g -= 1e-4 * w
@@ -235,20 +266,16 @@ class Model:
     def added(self, text: str, base: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
         """Spans beyond the base ones."""
         spans = nodes(text)
-        out = []
-        for at in range(0, len(spans), _FIELD):
-            out += self._added(text, spans[at : at + _FIELD], base)
-        return out
-
-    def _added(self, text: str, spans: list[Span], base: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
         labels = _labels(spans, base)
         if labels.all():
             return []
-        unary = _scores([features(text, s) for s in spans], self.unary)
+        unary = np.concatenate(
+            [_scores([features(text, s) for s in spans[at : at + _BLOCK]], self.unary) for at in range(0, len(spans), _BLOCK)]
+        )
         fixed = labels > 0
         unary[fixed] = -50
         unary[fixed, labels[fixed]] = 50
-        chain, skip = edges(text, spans)
+        chain, skip = edges(text, spans, base)
         p = marginals(unary, [(chain, self.chain), (skip, self.skip)])
         best = p.argmax(axis=1)
         runs: list[tuple[str, int, int]] = []
@@ -265,11 +292,23 @@ class Model:
 
 def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """The model of at most ``fit_docs`` documents with likely personal data."""
-    likely = docs.select("doc_id", F.col("text").alias("text")).filter(
-        F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9]|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.|[0-9]([ -]?[0-9]){15}") & (F.length("text") < 20_000)
+    likely = docs.select(F.xxhash64("doc_id", "text").alias("deal"), F.col("text").cast("string").alias("text")).filter(
+        F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9]|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.|[0-9]([ -]?[0-9]){15}")
     )
-    rows = likely.orderBy(F.xxhash64("doc_id", "text")).limit(fit_docs).select("text").collect()
-    return Model().fit(sorted(r["text"] for r in rows))
+    deals = [r["deal"] for r in likely.select("deal").orderBy("deal").limit(fit_docs).collect()]
+    if not deals:
+        return Model()
+    rows = likely.filter(F.col("deal") <= max(deals)).select("text").mapInArrow(_counted, "example binary, n bigint")
+    counts = rows.groupBy("example").agg(F.sum("n").alias("n")).collect()
+    return Model().learn({bytes(r["example"]): r["n"] for r in counts})
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: Counter[bytes] = Counter()
+        for value in batch.column(0):
+            rows.update(_examples(value.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.int64())], names=["example", "n"])
 
 
 def _found(model: Model):
