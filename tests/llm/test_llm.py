@@ -194,6 +194,24 @@ def test_pii_long_documents_are_one_field_and_are_learned_from(spark):
     assert pii.fitted(spark.createDataFrame(long, "doc_id bigint, text string")).skip.any()
 
 
+def test_pii_spaced_numbers_repeated_without_prefix():
+    train = [f"reach +49 1{k % 90 + 10} {k % 8999 + 1000} {k * 7 % 8999 + 1000} now\nor write n{k}@host{k}.example.com, {k % 70} of {k % 9}" + f" in {k}" * (k % 3 == 0) for k in range(3000, 3200)]
+    train += [f"{t}\nagain {t[6:23]}" for t in train]
+    model = pii.Model().fit(train)
+    for first, again in (("+49 151 2345 6789", "49 151 2345 6789"), ("+491512345678", "49 151 234 5678"), ("+49 151 2345 6789", "4915123456789")):
+        text = f"phone {first} is good, 49 eggs of 2345. Later: 12 things rang {again} twice"
+        base, spans = pii.base_spans(text), pii.nodes(text)
+        at = text.index(f"rang {again} ") + 5
+        clamped = {i for i, x in enumerate(pii._labels(spans, base)) if x}
+        reached = {int(j) for i, j in pii.edges(text, spans, base)[1] if i in clamped}
+        assert reached == {j for j, (s, e) in enumerate(spans) if at <= s and e <= at + len(again)}, again
+        assert model.added(text, base) == [("phone", at, at + len(again))], (again, model.added(text, base))
+    card = "card 4111 1111 1111 1111 here; later 4111-1111 1111-1111 and 4111 1111 1111 1112"
+    base, spans = pii.base_spans(card), pii.nodes(card)
+    assert len(base["card"]) == 2
+    assert sorted(map(tuple, pii.edges(card, spans, base)[1].tolist())) == [(0, 4), (1, 4), (2, 5), (3, 5)]
+
+
 def test_marginals_are_exact_on_a_chain():
     rng = np.random.default_rng(0)
     unary, pair = rng.normal(size=(4, 3)), rng.normal(size=(3, 3))

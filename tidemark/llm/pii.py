@@ -6,7 +6,9 @@ a number without its prefix. Its nodes are the tokens with a digit or ``@``; tok
 without are fixed to "other", which cuts the chain, so that they need no messages. Its
 edges join neighbouring nodes (the chain) and each mention of a token to the next
 similar one anywhere in the document (the skips; similar: alike once case and
-punctuation are dropped). Loopy belief propagation gives every node's marginals; an
+punctuation are dropped, from 5 characters on, or places of a number of 5 digits or more
+that is written over a run of nodes, with the same digits; a short part of a number, such as
+its country code, is similar to nothing by itself, and an IPv4 address is a token of its own). Loopy belief propagation gives every node's marginals; an
 added span is a run of nodes of one label, of at least ``SURE`` probability each, which
 touches no base span. Nodes inside base spans are clamped to their label.
 
@@ -49,6 +51,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9@][^ \t-\r]*")
 _PLAIN = re.compile(r"[^0-9a-z@]+")
+_OTHER = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int]
 
@@ -141,18 +144,78 @@ def _labels(spans: list[Span], base: dict[str, list[Span]]) -> np.ndarray:
     return labels
 
 
+def _mentions(text: str, spans: list[Span], base: dict[str, list[Span]]) -> list[tuple[str, int, list[str]]]:
+    """Numbers written over one or more nodes, as (all digits, first node, digits of each node), in order.
+
+    These are the base spans of cards and phones, any run of neighbouring nodes elsewhere
+    with the digits of one of them, and whole runs.
+    """
+    starts, ends = [s for s, _ in spans], [e for _, e in spans]
+    out, taken = [], [False] * len(spans)
+    for kind in ("card", "phone"):
+        for s, e in base[kind]:
+            low, high = bisect_right(ends, s), bisect_left(starts, e)
+            parts = [_OTHER.sub("", text[max(s, starts[i]) : min(e, ends[i])]) for i in range(low, high)]
+            out.append(("".join(parts), low, parts))
+            taken[low:high] = [True] * (high - low)
+    wanted = {digits for digits, _, _ in out}
+    longest = max(map(len, wanted), default=0)
+    # A token with letters or @, or of a base span, ends a run.
+    pieces = ["" if t or any(c.isalpha() or c == "@" for c in text[s:e]) else _OTHER.sub("", text[s:e]) for t, (s, e) in zip(taken, spans, strict=True)]
+    at = 0
+    while at < len(spans):
+        end = at
+        while end < len(spans) and pieces[end] and (end == at or starts[end] - ends[end - 1] <= 1):
+            end += 1
+        known = set()
+        for i in range(at, end):
+            digits = ""
+            for j in range(i, end):
+                digits += pieces[j]
+                if len(digits) > longest:
+                    break
+                if digits in wanted:
+                    out.append((digits, i, pieces[i : j + 1]))
+                    known.add((i, j + 1))
+        if end - at > 1 and (at, end) not in known:
+            out.append(("".join(pieces[at:end]), at, pieces[at:end]))
+        at = max(end, at + 1)
+    return sorted(out, key=lambda m: m[1])
+
+
 def edges(text: str, spans: list[Span], base: dict[str, list[Span]]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain edges between neighbours apart by one space, and skip edges to the next similar node."""
+    """Chain edges between neighbours apart by one space, and skip edges to the next similar node.
+
+    Similar are tokens of at least 5 letters and digits that agree in these, and the
+    places of two mentions of a number that hold the same digits, however it is spaced.
+    """
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 1]
     last: dict[str, int] = {}
-    skips = []
+    skips = set()
     for i, (s, e) in enumerate(spans):
         key = _PLAIN.sub("", text[s:e].lower())
         if len(key) >= 5 and key in last:
-            skips.append((last[key], i))
+            skips.add((last[key], i))
         last[key] = i
+    before: dict[str, tuple[int, list[str]]] = {}
+    for digits, first, parts in _mentions(text, spans, base):
+        if len(digits) < 5:
+            continue
+        if digits in before and before[digits][0] + len(before[digits][1]) <= first:
+            start, others = before[digits]
+            # Both mentions are cut at their own places; nodes are joined that share a digit.
+            i = j = of_i = of_j = 0
+            while i < len(others) and j < len(parts):
+                end_i, end_j = of_i + len(others[i]), of_j + len(parts[j])
+                if min(end_i, end_j) > max(of_i, of_j):
+                    skips.add((start + i, first + j))
+                if end_i <= end_j:
+                    i, of_i = i + 1, end_i
+                if end_j <= end_i:
+                    j, of_j = j + 1, end_j
+        before[digits] = first, parts
     shape = lambda x: np.array(x, dtype=np.int64).reshape(-1, 2)
-    return shape(chain), shape(skips)
+    return shape(chain), shape(sorted(skips))
 
 
 def _scores(found: list[list[int]], weights: np.ndarray) -> np.ndarray:
