@@ -135,6 +135,13 @@ def test_packing_boundaries_are_optimal():
     assert padded(packing.boundaries(edges, counts, 3)) == best
 
 
+def test_packing_pads_to_lengths_that_occur(spark):
+    lengths = [9] * 4 + [30] * 3 + [10_001] * 2 + [10_003]
+    docs = spark.createDataFrame([(k, "w " * n) for k, n in enumerate(lengths)], "doc_id bigint, text string")
+    got = {(r["n_tokens"], r["padded_len"]) for r in packing.packed(docs, buckets=3).collect()}
+    assert got == {(9, 9), (30, 30), (10_001, 10_003), (10_003, 10_003)}
+
+
 def test_packing_fills_batches(docs):
     rows = packing.packed(docs, buckets=3, token_budget=400, shard_rows=2).collect()
     assert len(rows) == len(TEXTS)

@@ -1,9 +1,9 @@
 """Optimal length buckets: the boundaries of least padding, and token-budget batches in each.
 
-The lengths of all documents are counted into cells, 8 tokens wide up to 8192 and 1/128
-of the length above, so that the global histogram has a few thousand rows at most for
-any corpus. Dynamic programming over it finds the boundaries of ``buckets`` buckets for
-which documents, padded to their bucket's boundary, are padded least. Each bucket is then
+The lengths of all documents are counted, each by itself up to 8192 and in cells 1/128 of
+the length wide above, so that the global histogram has about ten thousand rows at most for
+any corpus. The edge of a cell is the greatest length that occurs in it. Dynamic programming over it finds the boundaries of ``buckets`` buckets for
+which documents, padded to their bucket's boundary, are padded least, among boundaries at edges. Each bucket is then
 cut into batches of as many documents as the token budget holds at that length.
 
 To number the documents of a bucket without gathering them, they are dealt into shards of
@@ -24,18 +24,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, words_of
 
-ALIGN = 8
 FINE = 8192
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
 SHARD_ROWS = 50_000
 
 
-def cell_edge(length: Column) -> Column:
-    """The greatest length in the cell of a length; exact in whole numbers."""
+def cell(length: Column) -> Column:
+    """The greatest length that the cell of a length may hold; exact in whole numbers."""
     # 128 cells for each doubling: the step is the leading power of two, divided by 128.
     step = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.length(F.bin(length - 1)) - 8, F.lit(3)))
-    width = F.when(length <= FINE, F.lit(ALIGN).cast("bigint")).otherwise(step)
+    width = F.when(length <= FINE, F.lit(1).cast("bigint")).otherwise(step)
     return F.ceil(length / width).cast("bigint") * width
 
 
@@ -80,7 +79,8 @@ def packed(
         "lengths",
     )
     worded = lengths.filter("n_tokens > 0")
-    histogram = worded.groupBy(cell_edge(F.col("n_tokens")).alias("edge")).count().orderBy("edge").collect()
+    cells = worded.groupBy(cell(F.col("n_tokens")).alias("cell"))
+    histogram = cells.agg(F.max("n_tokens").alias("edge"), F.count("*").alias("count")).orderBy("edge").collect()
     ends = boundaries([r["edge"] for r in histogram], [r["count"] for r in histogram], buckets)
     shards = 1 + sum(r["count"] for r in histogram) // shard_rows
 
