@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    conversation_repair,
     cotraining,
     decontamination,
     license_scan,
@@ -17,9 +18,12 @@ from tidemark.llm import (
     packing,
     pii,
     quality_rules,
+    ranked_search,
     reply_trees,
+    token_shards,
 )
 from tidemark.llm.common import stored, table
+from tidemark.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +137,45 @@ def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = token_shards.written(docs, shared_dir(spark, "token-shards"))
+    return token_shards.fetched(store, docs.select("doc_id")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_RANKED_TERMS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_RANKED_TERMS} AS w FROM documents),
+n AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+q AS (
+  SELECT q, item_id, t, count(*) AS times
+  FROM (SELECT q, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS q, item_id, {_RANKED_TERMS} AS w FROM benchmark))
+  GROUP BY ALL),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t, n_docs),
+s AS (
+  SELECT q, item_id, r, n.doc_id,
+    CAST(sum(times * f.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN f USING (t) JOIN n USING (r), c GROUP BY ALL),
+k AS (
+  SELECT item_id, doc_id, score,
+    CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.reports(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
