@@ -13,9 +13,8 @@ Files of a store, all written by tasks into one shared folder:
 
 A key is (doc_id, copy): rows that share a doc_id are copies 0, 1, ... in the order stored, by
 the hash of their text. A null doc_id is a key too and comes first; a null or empty text has the
-end id alone. Texts may have any length. Pieces between spaces and line feeds are encoded once
-each and remembered; the tokenizer splits there in any case, so the ids are those of the whole
-text. Empty table: a store without documents. Other columns are ignored.
+end id alone. Texts may have any length. Pieces of texts are encoded once each and remembered,
+where the tokenizer splits in any case, so the ids are those of the whole text. Empty table: a store without documents. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,10 @@ TOKENIZER = "word_bpe_49k.json"
 KEYS_PER_FILE = 1 << 16
 #: Bits per key left on a level of the hash function; more bits, fewer levels.
 GAMMA = 2
-#: Pieces remembered by a task, and the longest of them.
-_PIECES, _PIECE = 1 << 18, 64
+#: Pieces remembered by a process, and the longest of them.
+_PIECES, _PIECE = 1 << 20, 64
+#: Characters that are split into pieces at a time.
+_CHARS = 1 << 20
 _LEVELS = 64
 _SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("n", "<u8")])
 _PRIME, _MIX, _64 = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), (1 << 64) - 1
@@ -98,25 +100,87 @@ def _read(path: str, offset: int = 0, size: int | None = None) -> bytes:
 
 
 class Encoder:
-    """The ids of texts as raw bytes, each different piece encoded once."""
+    """The ids of texts as raw bytes, each different piece encoded once.
+
+    Pieces stand between spaces and line feeds; one that ends with a letter and one mark is two,
+    and a capital before a letter is taken as small. A tokenizer that does not split there, drop
+    the space and lower the case, as probes show, gets whole texts.
+    """
 
     def __init__(self, path: str, width: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.kind, self.known = _tokenizer(path), f"<u{width}", {"": b""}
+        self.tokenizer, self.kind, self.width = _tokenizer(path), f"<u{width}", width
+        self.known: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.bar_id, self.bar = special[0] if special else (None, None)
+        probes = [" Ab  c.\nDe,\n\n", "ab c. de,", "ab", "c", ".", "de", ","]
+        ids = [self._ids(probe).tolist() for probe in probes]
+        self.by_piece = bool(special) and ids[0] == ids[1] == sum(ids[2:], [])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _learn(self, pieces: set[str]) -> None:
+        parts = {piece: _parts(piece) for piece in pieces}
+        new = list({part for split in parts.values() for part in split}.difference(self.known))
+        plain = [part for part in new if self.bar not in part]
+        for low in range(0, len(plain), 1000):
+            some = plain[low : low + 1000]
+            ids = self._ids(self.bar.join(some))
+            bars = np.flatnonzero(ids == self.bar_id) * self.width
+            data = ids.tobytes()
+            starts = [0, *(bars + self.width).tolist()]
+            self.known.update((part, data[a:b]) for part, a, b in zip(some, starts, [*bars.tolist(), len(data)], strict=True))
+        for part in new:
+            if self.bar in part:
+                self.known[part] = self._ids(part).tobytes()
+        self.known.update((piece, b"".join(map(self.known.__getitem__, split))) for piece, split in parts.items() if len(split) != 1 or split[0] != piece)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end id."""
+        if not self.by_piece:
+            return [self._ids(text).tobytes() + self.end for text in texts]
+        split = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > _PIECES:
-            self.known = {"": b""}
-        if new := list(set(pieces).difference(self.known)):
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(new, found, strict=True))
-        data = b"".join(map(self.known.__getitem__, pieces))
+            self.known = {}
+        new = set().union(*split).difference(self.known)
+        self._learn(new)
+        found = [b"".join(map(self.known.__getitem__, pieces)) + self.end for pieces in split]
         for piece in new:
             if len(piece) > _PIECE:
-                del self.known[piece]
-        return data + self.end
+                self.known.pop(piece, None)
+                for part in _parts(piece):
+                    self.known.pop(part, None)
+        return found
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, width: int) -> Encoder:
+    """One for all tasks that a worker process runs after each other, with what it remembers."""
+    return Encoder(path, width)
+
+
+def _parts(piece: str) -> list[str]:
+    """The piece without a mark behind its last letter, and the mark."""
+    mark = []
+    if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[-2].isalpha():
+        piece, mark = piece[:-1], [piece[-1]]
+    if len(piece) > 1 and "A" <= piece[0] <= "Z" and piece[1].isalpha():
+        piece = piece[0].lower() + piece[1:]
+    return [piece, *mark] if piece else []
+
+
+def _some(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``_CHARS`` bytes or one text."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size > _CHARS:
+            yield some
+            some, size = [], 0
+    yield some
 
 
 # The hash function
@@ -224,7 +288,7 @@ def key_hash_of(doc_id: int | None, copy: int = 0) -> int:
 
 def _write_shards(path: str, tokenizer: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encoder = TaskContext.get().partitionId(), Encoder(tokenizer, width)
+        shard, encoder = TaskContext.get().partitionId(), _encoder(tokenizer, width)
         # Each attempt has a file of its own; the rows of the one that counts name it.
         file = f"ids-{shard:06d}-{uuid.uuid4().hex}"
         system, folder = _files(path)
@@ -232,8 +296,8 @@ def _write_shards(path: str, tokenizer: str, width: int) -> Callable[[Iterator[p
         for batch in batches:
             out = out or system.open_output_stream(f"{folder}/{file}")
             firsts, counts, runs = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = encoder.encode(text.as_py() or "")
+            encoded = chain.from_iterable(map(encoder.encode, _some(batch.column(1))))
+            for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 out.write(data)
                 firsts.append(first)
                 counts.append(len(data) // width)
