@@ -86,11 +86,11 @@ def stage_listings(jobs: DataFrame) -> DataFrame:
     ).select(*JOB, F.col("col").alias("stage_id"), F.col("pos").alias("position"), "job_started")
 
 
-def stage_and_task_events(events: DataFrame) -> DataFrame:
+def stage_and_task_events(events: DataFrame, *also: str) -> DataFrame:
     """The stage and task events with one name for stage id and time of each kind.
 
     The time is the start of the stage or task, also for its end, so that both events of
-    one thing have the same owner.
+    one thing have the same owner. ``also`` names further columns to keep.
     """
     kind = F.col("Event")
     info, task = F.col("`Stage Info`"), F.col("`Task Info`")
@@ -109,6 +109,7 @@ def stage_and_task_events(events: DataFrame) -> DataFrame:
         F.when(kind == STAGE_SUBMITTED, info["Number of Tasks"]).alias("num_tasks"),
         task["Task ID"].alias("task_id"),
         F.coalesce(task["Failed"], F.lit(False)).alias("task_failed"),
+        *also,
     )
 
 
@@ -131,7 +132,7 @@ def stages_from_events(events: DataFrame, jobs: DataFrame, failed_count: bool =
     A failed task counts as complete, as does each retry, unless ``failed_count`` is off.
     """
     rows, listings = stage_and_task_events(events), stage_listings(jobs)
-    state = _owned_state(rows, listings, _counters(failed_count))
+    state = _owned_state(rows, listings, counters(failed_count))
     no, zero = F.lit(False), F.lit(0).cast("long")
     return (
         listings.drop("position", "job_started")
@@ -153,7 +154,8 @@ def stages_from_events(events: DataFrame, jobs: DataFrame, failed_count: bool =
     )
 
 
-def _counters(failed_count: bool) -> list[Column]:
+def counters(failed_count: bool = True) -> list[Column]:
+    """The state of a stage as aggregates over its :func:`stage_and_task_events`."""
     kind = F.col("kind")
     ended = kind == TASK_END
     counted = ended if failed_count else ended & ~F.col("task_failed")
@@ -168,7 +170,7 @@ def _counters(failed_count: bool) -> list[Column]:
     ]
 
 
-def _owned_state(rows: DataFrame, listings: DataFrame, counters: list[Column]) -> DataFrame:
+def _owned_state(rows: DataFrame, listings: DataFrame, sums_of: list[Column]) -> DataFrame:
     """The counters per job and stage, by the ownership rule of :func:`owned_events`.
 
     Events are summed up per stage before anything is shuffled: a stage whose first event
@@ -178,7 +180,7 @@ def _owned_state(rows: DataFrame, listings: DataFrame, counters: list[Column]) -
     rows = rows.where(F.col("at").isNotNull())
     owners = listings.where(F.col("job_started").isNotNull()).drop("position")
     latest = owners.groupBy(*LISTED).agg(F.max(F.struct("job_started", "job_id")).alias("_last"))
-    sums = rows.groupBy(*LISTED).agg(*counters, F.min("at").alias("_first"))
+    sums = rows.groupBy(*LISTED).agg(*sums_of, F.min("at").alias("_first"))
     sums = checkpointed(sums.join(latest, LISTED))
     is_whole = F.col("_first") >= F.col("_last.job_started")
     whole = sums.where(is_whole).select("*", "_last.job_id").drop("_first", "_last")
@@ -188,7 +190,7 @@ def _owned_state(rows: DataFrame, listings: DataFrame, counters: list[Column]) -
     owned = _owned(
         rows.join(shared, LISTED, "left_semi"), owners.join(shared, LISTED, "left_semi")
     )
-    return whole.unionByName(owned.groupBy(*STAGE).agg(*counters))
+    return whole.unionByName(owned.groupBy(*STAGE).agg(*sums_of))
 
 
 def facts_from_events(

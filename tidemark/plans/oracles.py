@@ -253,6 +253,32 @@ ORACLES = {
                count(*) FILTER (l_linestatus = 'F') AS tasks_complete,
                bool_and(l_linestatus = 'F') AS complete
         FROM lineitem GROUP BY 1, 2""",
+    "followed_log_progress": _FEED_PROGRESS,
+    "closed_stages_stream": """
+        WITH l AS (
+          SELECT l_orderkey * 8 + l_linenumber AS stage_id, epoch_ms(l_shipdate) AS launch,
+                 epoch_ms(l_shipdate) + CAST(l_quantity AS BIGINT) * 3600000 AS finish,
+                 l_linestatus = 'F' AS ended, l_returnflag = 'R' AS bad FROM lineitem),
+        s AS (
+          SELECT stage_id, count(*) AS num_tasks, bool_and(ended) AS complete, count(*) AS tasks_started,
+                 count(*) FILTER (ended) AS tasks_complete, count(*) FILTER (ended AND bad) AS tasks_failed,
+                 max(CASE WHEN ended THEN finish ELSE launch END) AS last_event,
+                 CASE WHEN bool_and(ended) THEN max(finish) END AS ended_at FROM l GROUP BY stage_id)
+        SELECT 'orders' AS app_id, stage_id, num_tasks, true AS submitted, complete, tasks_started,
+               tasks_complete, tasks_failed, last_event, ended_at FROM s
+        QUALIFY coalesce(ended_at, last_event + 30 * 86400000::BIGINT) < max(last_event) OVER () - 86400000""",
+    "owned_events_stream": """
+        WITH l AS (
+          SELECT l_orderkey AS job_id, l_orderkey * 8 + l_linenumber AS stage_id, epoch_ms(l_shipdate) AS launch,
+                 epoch_ms(o_orderdate) AS started, l_linestatus = 'F' AS ended
+          FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+        s AS (SELECT stage_id, min(launch) AS submitted, count(*) AS tasks, bool_and(ended) AS over FROM l GROUP BY stage_id),
+        t AS (SELECT *, submitted BETWEEN started AND started + 60 * 86400000::BIGINT AS own,
+                     launch BETWEEN started AND started + 60 * 86400000::BIGINT AS own_task FROM l JOIN s USING (stage_id))
+        SELECT job_id, stage_id, max(CASE WHEN own THEN tasks END) AS num_tasks,
+               min(CASE WHEN own THEN submitted END) AS submitted_at, count(*) FILTER (own_task) AS tasks_started,
+               count(*) FILTER (own_task AND ended) AS tasks_complete, bool_or(own AND over) AS complete
+        FROM t WHERE own OR own_task GROUP BY job_id, stage_id""",
     "history_running": """
         SELECT user_id AS job_handle, event_type = 'signup' AS running FROM events
         WHERE event_type IN ('signup', 'purchase')

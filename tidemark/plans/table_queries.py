@@ -18,10 +18,11 @@ from tidemark.plans.scripts import load_result, run_script, run_statement, save_
 from tidemark.schemas import HISTORY, SENTIMENT_POST, TONE_POST
 from tidemark.session import shared_dir
 from tidemark.sources.delimited import append_records, as_strings, save_sorted_csv
-from tidemark.sources.event_log import read_events, stream_events, write_events
+from tidemark.sources.event_log import follow_logs, read_events, stream_events, write_events
 from tidemark.sources.posts import read_posts
 from tidemark.sources.tables import dataset, raw_dataset
 from tidemark.streaming import events as S
+from tidemark.streaming import stages as stage_streams
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -358,6 +359,34 @@ def progress_stream(spark, sf_dir):
     return _rounded(S.progress_of_feed(spark, out), "stage_progress", "task_progress")
 
 
+def followed_log_progress(spark, sf_dir):
+    """The feed arrives in two parts as logs that are followed, the second after a first run."""
+    feed, path = _feed(spark, sf_dir), shared_dir(spark, "logs")
+    out, checkpoint = shared_dir(spark, "ingested"), shared_dir(spark, "checkpoint")
+    job = F.coalesce("Job ID", F.floor(F.coalesce("Stage ID", F.col("Stage Info")["Stage ID"]) / 8))
+    late = F.coalesce(job % 2, F.lit(0)) == 1
+    for part in (feed.where(~late), feed.where(late)):
+        part.write.mode("append").json(path)
+        S.ingest(follow_logs(spark, path, APP), out, checkpoint).awaitTermination()
+    return _rounded(S.progress_of_feed(spark, out), "stage_progress", "task_progress")
+
+
+def closed_stages_stream(spark, sf_dir):
+    events = stream_events(spark, _feed_files(spark, sf_dir), APP)
+    out, checkpoint = shared_dir(spark, "closed"), shared_dir(spark, "checkpoint")
+    month = 30 * 24 * 3_600_000
+    stage_streams.closed_stages(events, out, checkpoint, "1 day", month).awaitTermination()
+    return stage_streams.closed_stage_rows(spark, out)
+
+
+def owned_events_stream(spark, sf_dir):
+    events = stream_events(spark, _feed_files(spark, sf_dir), APP)
+    out, checkpoint = shared_dir(spark, "owned"), shared_dir(spark, "checkpoint")
+    stage_streams.owned_stream(events, out, checkpoint, "1 day", "60 days").awaitTermination()
+    states = stage_streams.owned_states(spark, out, P.counters())
+    return states.select("job_id", "stage_id", "num_tasks", "submitted_at", "tasks_started", "tasks_complete", "complete")
+
+
 def stage_state_stream(spark, sf_dir):
     events = stream_events(spark, _feed_files(spark, sf_dir), APP)
     out, checkpoint = shared_dir(spark, "states"), shared_dir(spark, "checkpoint")
@@ -497,6 +526,9 @@ QUERIES = {
         event_counts_stream,
         progress_stream,
         stage_state_stream,
+        followed_log_progress,
+        closed_stages_stream,
+        owned_events_stream,
         history_running,
         history_roundtrip,
         envelope_json,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import EVENT
+from tidemark.sources.files import qualified
+from tidemark.sources.live_logs import FORMAT, RUNNING, SLICE_BYTES, LiveLogs
 
 
 def read_events(spark: SparkSession, path: str, app_id: str | None = None) -> DataFrame:
@@ -23,11 +25,32 @@ def read_events(spark: SparkSession, path: str, app_id: str | None = None) -> Da
 def stream_events(
     spark: SparkSession, path: str, app_id: str | None = None, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The same as a stream over the files that arrive in a folder."""
+    """The same as a stream over the complete files that arrive in a folder.
+
+    A file is read once, so one that is still written to is left out until its ``.inprogress``
+    is gone. :func:`follow_logs` reads running logs.
+    """
     reader = spark.readStream.schema(EVENT).option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _with_app(reader.json(path), app_id)
+    complete = ~F.col("_metadata.file_name").endswith(RUNNING)
+    return _with_app(reader.json(path).where(complete), app_id)
+
+
+def follow_logs(
+    spark: SparkSession, path: str, app_id: str | None = None, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
+    """The events of a folder of logs that grow, roll and are renamed, as a stream.
+
+    Each line is read once, as soon as its line feed is written; see :mod:`.live_logs`.
+    """
+    spark.dataSource.register(LiveLogs)
+    reader = spark.readStream.format(FORMAT).option("sliceBytes", slice_bytes)
+    lines = reader.load(qualified(spark, path))
+    of_log = F.regexp_replace("log", r"^(.*/)?(events_\d+_)?", "")
+    app = of_log if app_id is None else F.lit(app_id)
+    events = lines.select(F.from_json("line", EVENT).alias("event"), app.alias("app_id"))
+    return events.select("event.*", "app_id").where(F.col("Event").isNotNull())
 
 
 def write_events(events: DataFrame, path: str) -> None:
