@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof
-from tidemark.operators.asof import asof_by_interval, asof_by_window, asof_join, hot_keys, ordinal
+from tidemark.operators.asof import asof_join, hot_keys, with_parts
 
 
 @pytest.fixture(autouse=True)
@@ -55,62 +55,94 @@ def test_join_equals_brute_force(spark, span, hot_share):
     assert rows(joined) == [tuple(x) for x in sorted(brute_force(left, right), key=lambda t: [(False, str(v)) for v in t])]
 
 
-@pytest.mark.parametrize("way", [asof_by_interval, asof_by_window])
 @pytest.mark.parametrize("parts", [1, 4, 64])
-def test_both_ways_and_any_number_of_parts_agree(spark, way, parts):
+def test_any_number_of_parts_agrees(spark, parts):
     left, right = sample(2, 500, 80, 50, 0.5)
-    left = [x for x in left if None not in x]
-    right = [x for x in right if None not in x]
-    joined = way(*frames(spark, left, right), ["k"], "t", "start", "owner", parts=parts)
+    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", parts=parts)
     assert sorted(tuple(r) for r in joined.collect()) == brute_force(left, right)
 
 
-def test_small_right_side_is_broadcast_and_a_larger_one_is_not(spark):
-    left, right = frames(spark, *sample(3, 200, 30, 50, 0.5))
-    small = asof_by_interval(left, right, ["k"], "t", "start", "owner", small=True)
-    large = asof_by_interval(left, right, ["k"], "t", "start", "owner")
-    assert rows(small) == rows(large)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin [k" in large._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("parts", [1, 16])
+def test_left_join_keeps_rows_without_an_owner(spark, parts):
+    left, right = sample(5, 300, 40, 60, 0.5)
+    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", how="left", parts=parts)
+    owned = brute_force(left, right)
+    missing = [(*x, None, None) for x in left if x not in [o[:3] for o in owned]]
+    assert rows(joined) == sorted(owned + missing, key=lambda t: [(x is None, str(x)) for x in t])
+
+
+def test_null_ties_and_repeated_rows(spark):
+    left = spark.createDataFrame([(1, 5, 1)] * 3, "k long, t long, id long")
+    right = spark.createDataFrame([(1, 4, None), (1, 2, 7), (1, 2, 7)], "k long, start long, owner long")
+    assert rows(asof_join(left, right, ["k"], "t", "start", "owner")) == [(1, 5, 1, 4, None)] * 3
+    assert rows(asof_join(left, right.where("start = 2"), ["k"], "t", "start", "owner")) == [(1, 5, 1, 2, 7)] * 3
+    assert asof_join(left.where("false"), right, ["k"], "t", "start").count() == 0
+    assert asof_join(left, right.where("false"), ["k"], "t", "start").count() == 0
 
 
 def test_hot_keys_are_found_and_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
     assert [tuple(r) for r in hot_keys(df, ["k"], 8).collect()] == [(0, 400, 4)]
-    assert hot_keys(df, ["k"], 2) is None
-    assert hot_keys(df.where("false"), ["k"], 8) is None
+    assert hot_keys(df, ["k"], 2).isEmpty()
+    assert hot_keys(df.where("false"), ["k"], 8).isEmpty()
     asof.HOT_ROWS = 500
-    assert hot_keys(df, ["k"], 8) is None
+    assert hot_keys(df, ["k"], 8).isEmpty()
 
 
-def test_parts_of_a_hot_key_are_even(spark):
-    """With a third of all rows on one key no window group gets more than a small share."""
-    left = spark.range(9000).select((F.col("id") % 3 * F.col("id")).alias("k"), F.col("id").alias("t"))
-    right = left.select("k", F.col("t").alias("start"))
-    joined = asof_by_window(left, right, ["k"], "t", "start", parts=10)
-    assert joined.count() == 9000
-    assert joined.where("start <> t").count() == 0
+def test_parts_of_a_hot_key_are_even(spark, monkeypatch):
+    monkeypatch.setattr(asof, "CUT_SAMPLE", 50)
+    times = spark.range(9000).select((F.col("id") % 3 * F.col("id")).alias("k"), (F.col("id") * F.col("id")).alias("_time"))
+    sizes = with_parts(times, ["k"], 10).where("k = 0").groupBy("_part").count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1.3 * 3000 / 4
 
 
-@pytest.mark.parametrize("rows_per_part", [1, 5])
-def test_sampled_cuts_change_no_result(spark, monkeypatch, rows_per_part):
+@pytest.mark.parametrize("per_part", [1, 5])
+def test_sampled_cuts_change_no_result(spark, monkeypatch, per_part):
     left, right = sample(4, 2000, 1000, 500, 0.6)
-    left, right = [x for x in left if None not in x], [x for x in right if None not in x]
-    monkeypatch.setattr(asof, "CUT_SAMPLE", rows_per_part)
-    joined = asof_by_window(*frames(spark, left, right), ["k"], "t", "start", "owner", parts=6)
+    monkeypatch.setattr(asof, "CUT_SAMPLE", per_part)
+    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", parts=6)
     assert sorted(tuple(r) for r in joined.collect()) == brute_force(left, right)
 
 
-@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "double"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "double", "string"])
 def test_other_time_types(spark, kind):
     day = "timestamp_ntz'2024-03-30 22:00:00' + make_dt_interval(0, id % 50, 0, 0.25)"
     time = "CAST(id % 50 AS double)" if kind == "double" else f"CAST({day} AS {kind})"
     left = spark.range(300).selectExpr("0 AS k", f"{time} AS t", "id")
     right = spark.range(0, 300, 7).selectExpr("0 AS k", f"{time} AS start", "id AS owner")
-    hot = asof_by_window(left, right, ["k"], "t", "start", "owner", parts=5)
-    plain = asof_by_interval(left, right, ["k"], "t", "start", "owner", parts=1)
-    assert rows(hot) == rows(plain)
-    kind_of = left.schema["t"].dataType
-    order = left.select("t", ordinal(F.col("t"), kind_of).alias("o")).distinct().orderBy("t")
-    found = [r["o"] for r in order.collect()]
-    assert found == sorted(set(found))
+    hot = asof_join(left, right, ["k"], "t", "start", "owner", parts=5)
+    plain = asof_join(left, right, ["k"], "t", "start", "owner", parts=1)
+    assert rows(hot) == rows(plain) and hot.count() == 300
+
+
+def test_a_hot_instant_is_spread_over_tasks(spark):
+    """All rows of a hot key at one time: one instant until the last join, which Spark splits."""
+    left = spark.range(0, 200_000, 1, 8).selectExpr("IF(id % 3 = 0, 0, id) AS k", "IF(id % 3 = 0, 5, id) AS t", "sha2(CAST(id AS string), 256) AS c")
+    right = spark.range(0, 200_000, 2, 8).selectExpr("id AS k", "4 AS start", "id AS owner")
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        joined = asof_join(left, right, ["k"], "t", "start", "owner")
+        tasks = joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count_if(F.col("k") == 0).alias("hot"), F.max("c"))
+        hot = [r["hot"] for r in tasks.collect() if r["hot"]]
+        assert sum(hot) == 66_667 and len(hot) > 4 and max(hot) < 66_667 / 3
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+
+
+def test_nothing_runs_until_the_rows_are_wanted(spark):
+    tracker = spark.sparkContext.statusTracker()
+    group = "as-of plan"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        asof_join(*frames(spark, *sample(1, 50, 50, 8, 0.4)), ["k"], "t", "start", "owner")
+        assert not tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

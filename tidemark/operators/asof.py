@@ -1,34 +1,29 @@
 """As-of join: each left row meets the latest right row of its key that is not later.
 
-Two exact ways, chosen by a count:
-
-* few right rows per key: each right row becomes a time interval and the join is an
-  equi-join with a range condition. The right side is broadcast if its counted rows
-  are few, and sorted and merged otherwise, never broadcast on an estimate.
-* many right rows per key: both sides go through one window per key.
-
-A hot key, a large one with more rows than an average shuffle partition, is spread over
-several tasks: in the first way its left rows by a hash and its few right rows
-repeated, in the second way both by quantiles of time, each part starting with the
-last right row before it. Finding the hot keys costs one aggregation over the key
-columns; with none, the plain plan is used.
+One lazy plan for any number of rows per key:
+
+1. Left rows are reduced to the different (key, time) they have and right rows to the best of
+   each (key, time), in one aggregation. However many rows share an instant, it is one row.
+2. A key with more instants than an average shuffle partition is cut into parts by time. The
+   cuts are quantiles of a sample chosen by the hash of (key, time), so that they come out
+   the same whenever they are computed.
+3. Within each part the latest right row runs along in time. A part of a cut key goes on
+   from the latest right row of the parts before it; there is one such row for each part.
+4. The left rows are joined to their instants. Of an instant that a large share of them has,
+   Spark splits the left rows over tasks by its handling of skewed joins.
+
+Left rows are shuffled once, for the last join, and carry nothing through the others.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.functions.scalars import wall_micros
-from tidemark.session import checkpointed
-
-_INTERVAL_ROWS = 16
-BROADCAST_ROWS = 100_000
+#: Instants of a key that one task takes in any case.
 HOT_ROWS = 100_000
-CUT_SAMPLE = 1000
-_LEFT, _RIGHT, _CARRY = 2, 1, 0
+#: Sampled instants for each part of a cut key.
+CUT_SAMPLE = 200
 
 
 def asof_join(
@@ -38,169 +33,106 @@ def asof_join(
     left_time: str,
     right_time: str,
     right_tie: str | None = None,
+    how: str = "inner",
+    parts: int | None = None,
 ) -> DataFrame:
-    """Inner as-of join; among right rows of one time the largest ``right_tie`` wins.
+    """As-of join; among right rows of one time the largest ``right_tie`` wins.
 
-    Both sides share the ``on`` columns and no other name. Null keys and times match nothing.
+    Both sides share the ``on`` columns and no other name. Null keys and times match nothing:
+    such left rows are dropped, or kept without a match if ``how`` is ``left``. ``parts``
+    bounds the share of the instants that one task takes, by default the shuffle partitions.
     """
-    for name in on:
-        left, right = left.where(F.col(name).isNotNull()), right.where(F.col(name).isNotNull())
-    left = left.where(F.col(left_time).isNotNull())
-    right = right.where(F.col(right_time).isNotNull())
-    most, total = right.groupBy(*on).count().agg(F.max("count"), F.sum("count")).first()
-    if (most or 0) <= _INTERVAL_ROWS:
-        small = (total or 0) <= BROADCAST_ROWS
-        return asof_by_interval(left, right, on, left_time, right_time, right_tie, small=small)
-    return asof_by_window(left, right, on, left_time, right_time, right_tie)
-
-
-def asof_by_interval(
-    left, right, on, left_time, right_time, right_tie=None, parts=None, small=False
-) -> DataFrame:
-    """For right sides with few rows per key, and few rows in all if ``small``."""
-    order = [F.col(right_time)] + ([F.col(right_tie)] if right_tie else [])
-    until = F.lead(right_time).over(Window.partitionBy(*on).orderBy(*order))
-    names, keys = left.columns, list(on)
-    extra, right = _others(right, on), right.withColumn("_until", until)
-    # A broadcast leaves the left side where it is, so no key of it can be hot.
-    hot = None if small else hot_keys(left, on, parts or _shuffle_partitions(left))
-    if hot is not None:
-        marked, copies = F.broadcast(hot.drop("_n")), F.coalesce("_copies", F.lit(1))
-        # Equal rows share a salt, so a task that runs again repeats its choice.
-        row_hash = F.xxhash64(*[name for name, kind in left.dtypes if "map<" not in kind])
-        left = left.join(marked, on, "left").withColumn("_salt", F.pmod(row_hash, copies))
-        salts = F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))
-        right = right.join(marked, on, "left").withColumn("_salt", salts)
-        keys.append("_salt")
-    right = F.broadcast(right) if small else right.hint("merge")
-    here, span = left.alias("l"), right.alias("r")
-    match = [F.col(f"l.{name}") == F.col(f"r.{name}") for name in keys]
-    match.append(F.col(f"l.{left_time}") >= F.col(f"r.{right_time}"))
-    match.append(F.col("r._until").isNull() | (F.col(f"l.{left_time}") < F.col("r._until")))
-    return here.join(span, match).select(
-        *[F.col(f"l.`{name}`") for name in names], *[F.col(f"r.`{name}`") for name in extra]
+    extra = [name for name in right.columns if name not in on]
+    found = _owners_of_instants(left, right, on, left_time, right_time, right_tie, extra, parts or shuffle_partitions(left))
+    here, there = left.alias("l"), found.alias("f")
+    match = [F.col(f"l.`{name}`") == F.col(f"f.`{name}`") for name in on]
+    match.append(F.col(f"l.`{left_time}`") == F.col("f._time"))
+    return here.join(there, match, how).select(
+        *[F.col(f"l.`{name}`") for name in left.columns], *[F.col(f"f._r.`{name}`") for name in extra]
     )
 
 
-def asof_by_window(left, right, on, left_time, right_time, right_tie=None, parts=None) -> DataFrame:
-    """For right sides with many rows per key; ``parts`` bounds the share of one task."""
-    parts = parts or _shuffle_partitions(left)
-    extra = _others(right, on)
-    tie = F.col(right_tie) if right_tie else F.lit(0)
-    l_row = F.struct(*[F.col(f"`{name}`") for name in left.columns])
-    r_row = F.struct(*[F.col(f"`{name}`") for name in extra])
-    l_type = left.select(l_row.alias("x")).schema[0].dataType
-    r_type = right.select(r_row.alias("x")).schema[0].dataType
-    tie_type = right.select(tie.alias("x")).schema[0].dataType
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _owners_of_instants(left, right, on, left_time, right_time, right_tie, extra, parts) -> DataFrame:
+    """(on, _time, _r) of each different instant of the left side that has an owner."""
+    rows = _instants(left, right, on, left_time, right_time, right_tie, extra)
+    cut = with_parts(rows, on, parts)
+    order = Window.partitionBy(*on, "_part").orderBy("_time")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = cut.withColumn("_r", F.last("_r", ignorenulls=True).over(running)).where("_wanted")
+    carried = _carried(cut, on).select(*[F.col(name).alias(f"_c_{name}") for name in on], F.col("_part").alias("_c_part"), "_carry")
+    same = [F.col(name) == F.col(f"_c_{name}") for name in on] + [F.col("_part") == F.col("_c_part")]
+    # One row per part of a cut key, of which there are at most twice ``parts``.
+    found = own.join(F.broadcast(carried), same, "left").withColumn("_r", F.coalesce("_r", "_carry"))
+    return found.where(F.col("_r").isNotNull()).select(*on, "_time", "_r")
+
+
+def _instants(left, right, on, left_time, right_time, right_tie, extra) -> DataFrame:
+    """(on, _time, _r, _wanted): each instant once, with its best right row if it has one."""
+    row = F.struct(*[F.col(f"`{name}`") for name in extra])
+    # A struct, since a tie that is null still is a row.
+    tie = F.struct(F.col(f"`{right_tie}`") if right_tie else F.lit(0))
+    keys = [F.col(f"`{name}`").alias(name) for name in on]
+    rights = right.select(*keys, F.col(f"`{right_time}`").alias("_time"), tie.alias("_tie"), row.alias("_r"), F.lit(False).alias("_wanted"))
+    types = rights.schema
     lefts = left.select(
-        *on,
-        F.col(left_time).alias("_time"),
-        F.lit(_LEFT).alias("_side"),
-        F.lit(None).cast(tie_type).alias("_tie"),
-        l_row.alias("_l"),
-        F.lit(None).cast(r_type).alias("_r"),
-    )
-    rights = right.select(
-        *on,
-        F.col(right_time).alias("_time"),
-        F.lit(_RIGHT).alias("_side"),
-        tie.alias("_tie"),
-        F.lit(None).cast(l_type).alias("_l"),
-        r_row.alias("_r"),
+        *keys,
+        F.col(f"`{left_time}`").alias("_time"),
+        F.lit(None).cast(types["_tie"].dataType).alias("_tie"),
+        F.lit(None).cast(types["_r"].dataType).alias("_r"),
+        F.lit(True).alias("_wanted"),
     )
     rows = lefts.unionByName(rights)
-    group = list(on)
-    times = left.select(*on, F.col(left_time).alias("_time")).unionByName(
-        right.select(*on, F.col(right_time).alias("_time"))
-    )
-    hot = hot_keys(times, on, parts)
-    if hot is not None:
-        rows = _cut_hot_keys(rows, times, hot, on, parts)
-        group.append("_part")
-    order = Window.partitionBy(*group).orderBy("_part_time", "_side", "_tie")
-    # A carried row stands before every row of its part.
-    rows = rows.withColumn("_part_time", F.when(F.col("_side") != _CARRY, F.col("_time")))
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.withColumn("_r", F.last("_r", ignorenulls=True).over(running))
-    return found.where((F.col("_side") == _LEFT) & F.col("_r").isNotNull()).select(
-        "_l.*", *[F.col(f"_r.`{name}`") for name in extra]
-    )
-
+    for name in [*on, "_time"]:
+        rows = rows.where(F.col(name).isNotNull())
+    return rows.groupBy(*on, "_time").agg(F.max_by("_r", "_tie").alias("_r"), F.max("_wanted").alias("_wanted"))
 
-def _others(df: DataFrame, on: list[str]) -> list[str]:
-    return [name for name in df.columns if name not in on]
 
+def hot_keys(rows: DataFrame, on: list[str], parts: int) -> DataFrame:
+    """Large keys with more than 1/parts of all rows: ``_n`` rows each, worth ``_copies`` tasks.
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def hot_keys(rows: DataFrame, on: list[str], parts: int) -> DataFrame | None:
-    """Large keys holding more than 1/parts of all rows, or None.
-
-    There are fewer than ``parts`` of them. ``_n`` is the rows of a key and ``_copies`` how
-    many tasks it is worth, at most twice ``parts`` over all keys.
+    There are fewer than ``parts`` of them, with at most twice ``parts`` copies in all.
     """
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max((total or 0) / parts, HOT_ROWS)
-    if not total or largest <= limit:
-        return None
-    copies = F.ceil(F.col("_n") * parts / total).cast("long")
-    hot = counts.where(F.col("_n") > limit).withColumn("_copies", copies)
-    return checkpointed(hot)
-
-
-def ordinal(time: Column, kind: T.DataType) -> Column:
-    """A time as a double that keeps its order."""
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(time).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return wall_micros(time).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(time).cast("double")
-    return time.cast("double")
-
-
-def _cuts(hot_times: DataFrame, at: Column, hot: DataFrame, parts: int) -> list[float]:
-    """Times that split the rows of the hot keys into about equal parts.
-
-    They decide only which rows share a task, not what is found, so with many rows a
-    sample is enough, as for Spark's own range partitioning. It keeps the quantile
-    sketches of the tasks small.
-    """
-    share = CUT_SAMPLE * parts / hot.agg(F.sum("_n")).first()[0]
-    if share < 1:
-        hot_times = hot_times.sample(share, seed=1)
-    quantiles = [i / parts for i in range(1, parts)] or [0.5]
-    found = hot_times.agg(F.percentile_approx(at, quantiles, max(10_000, 10 * parts))).first()[0]
-    return sorted(set(found or [0.0]))
+    total = counts.agg(F.sum("_n")).scalar()
+    limit = F.greatest(total / parts, F.lit(HOT_ROWS))
+    copies = F.ceil(F.col("_n") * parts / total).cast("int")
+    return counts.where(F.col("_n") > limit).withColumn("_copies", copies)
 
 
-def _cut_hot_keys(rows, times, hot, on, parts) -> DataFrame:
-    """Adds ``_part`` (0 for ordinary keys) and a carried row at the start of each part."""
+def cuts(rows: DataFrame, on: list[str], parts: int) -> DataFrame:
+    """(on, _cuts): times that split the instants of each hot key into about equal parts.
+
+    A sample by hash is the same set of instants in any run, so no cut depends on where or
+    how often it is computed. It holds some ``CUT_SAMPLE`` instants for each part.
+    """
+    hot = hot_keys(rows, on, parts).select(*[F.col(name).alias(f"_h_{name}") for name in on], "_n", "_copies")
+    same = [F.col(name) == F.col(f"_h_{name}") for name in on]
+    every = F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_copies") * CUT_SAMPLE)))
     # Fewer than ``parts`` rows by the definition of a hot key, so a broadcast is safe.
-    marked = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-    kind = rows.schema["_time"].dataType
-    at = ordinal(F.col("_time"), kind)
-    splits = [float("-inf"), *_cuts(times.join(marked, on), at, hot, parts), float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="_at", outputCol="_cut")
-    parted = bucketizer.transform(rows.join(marked, on, "left").withColumn("_at", at))
-    parted = parted.withColumn(
-        "_part", F.when(F.col("_hot"), F.col("_cut").cast("int")).otherwise(0)
-    )
-    in_hot = parted.where("_hot")
-    parted = parted.drop("_hot", "_at", "_cut")
-
-    # At most one row per hot key and part: the last right row of that part, if any.
-    newest = F.when(F.col("_side") == _RIGHT, F.struct("_time", "_tie"))
-    lasts = in_hot.groupBy(*on, "_part").agg(F.max_by("_r", newest).alias("_r"))
-    before = (
-        Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        lasts.withColumn("_r", F.last("_r", ignorenulls=True).over(before))
-        .where(F.col("_r").isNotNull())
-        .withColumn("_side", F.lit(_CARRY))
-    )
-    return parted.unionByName(carried, allowMissingColumns=True)
+    sampled = rows.join(F.broadcast(hot), same).where(F.pmod(F.xxhash64(*on, "_time"), every) == 0)
+    times = sampled.groupBy(*on).agg(F.sort_array(F.collect_list("_time")).alias("_times"), F.first("_copies").alias("_copies"))
+    at = F.sequence(F.lit(1), F.greatest(F.col("_copies") - 1, F.lit(1)))
+    places = F.transform(at, lambda i: F.floor(i * F.size("_times") / F.col("_copies")).cast("int"))
+    picked = F.transform(places, lambda i: F.get("_times", i))
+    return times.select(*on, F.filter(picked, lambda t: t.isNotNull()).alias("_cuts"))
+
+
+def with_parts(rows: DataFrame, on: list[str], parts: int) -> DataFrame:
+    """Adds ``_part``: 0 for ordinary keys, else the number of cuts that are not later."""
+    found = cuts(rows, on, parts).select(*[F.col(name).alias(f"_k_{name}") for name in on], "_cuts")
+    same = [F.col(name) == F.col(f"_k_{name}") for name in on]
+    before: Column = F.size(F.filter("_cuts", lambda t: t <= F.col("_time")))
+    marked = rows.join(F.broadcast(found), same, "left")
+    return marked.select(*rows.columns, F.when(F.col("_cuts").isNull(), 0).otherwise(before).alias("_part"), F.col("_cuts").isNotNull().alias("_is_cut"))
+
+
+def _carried(cut: DataFrame, on: list[str]) -> DataFrame:
+    """(on, _part, _carry): the latest right row before each part of a cut key that has one."""
+    newest = F.when(F.col("_r").isNotNull(), F.col("_time"))
+    lasts = cut.where("_is_cut").groupBy(*on, "_part").agg(F.max_by("_r", newest).alias("_r"))
+    before = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return lasts.select(*on, "_part", F.last("_r", ignorenulls=True).over(before).alias("_carry")).where(F.col("_carry").isNotNull())

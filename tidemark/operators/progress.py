@@ -231,11 +231,11 @@ def owned_tasks(events: DataFrame, jobs: DataFrame) -> DataFrame:
     The owner is that of :func:`owned_events`; null where no job had listed the stage
     when the task was launched.
     """
-    tasks = tasks_from_events(events)
     owners = stage_listings(jobs).drop("position")
-    launched = tasks.select("app_id", "stage_id", "task_id", F.col("started").alias("at"))
-    owned = _owned(launched, owners).select(*LISTED, "task_id", "job_id")
-    return tasks.join(owned, [*LISTED, "task_id"], "left")
+    owned = asof.asof_join(
+        tasks_from_events(events), owners, LISTED, "started", "job_started", "job_id", how="left"
+    )
+    return owned.drop("job_started")
 
 
 def stage_states(stages: DataFrame) -> DataFrame:
