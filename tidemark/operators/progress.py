@@ -47,14 +47,21 @@ def app_starts(events: DataFrame) -> DataFrame:
     )
 
 
-def jobs_from_events(events: DataFrame) -> DataFrame:
-    """One row per started job, its end merged in; an end without a start is left out."""
+JOB_CHANGE = (
+    "job_id long, app_id string, _start struct<started: long, handle: string, name: string, "
+    "type: string, stage_ids: array<long>>, complete boolean, failed boolean"
+)
+
+
+def job_changes(events: DataFrame) -> DataFrame:
+    """What events tell of jobs: per job its start, if any, and whether it ended and failed.
+
+    All of a job's start comes from one event, the latest, so that a start that is repeated
+    with other values gives the same row in any order of the feed.
+    """
     is_start = F.col("Event") == JOB_START
     is_end = F.col("Event") == JOB_END
     properties = F.col("Properties")
-
-    # All of a job's start comes from one event, the latest, so that a start that is
-    # repeated with other values gives the same row in any order of the feed.
     start = F.struct(
         F.col("Submission Time").alias("started"),
         properties["spark.jobGroup.id"].alias("handle"),
@@ -62,23 +69,35 @@ def jobs_from_events(events: DataFrame) -> DataFrame:
         property_or_blank(properties, "spark.job.type").alias("type"),
         F.array_distinct("Stage IDs").alias("stage_ids"),
     )
-    merged = (
-        of_kind(events, JOB_START, JOB_END)
-        .groupBy(F.col("Job ID").alias("job_id"), "app_id")
-        .agg(
-            F.max(F.when(is_start, start)).alias("_start"),
-            F.bool_or(is_end).alias("complete"),
-            F.coalesce(
-                F.bool_or(is_end & (F.col("Job Result.Result") == "JobFailed")), F.lit(False)
-            ).alias("failed"),
-        )
+    failed = is_end & (F.col("Job Result.Result") == "JobFailed")
+    changes = of_kind(events, JOB_START, JOB_END).select(
+        F.col("Job ID").alias("job_id"),
+        "app_id",
+        F.when(is_start, start).alias("_start"),
+        is_end.alias("complete"),
+        F.coalesce(failed, F.lit(False)).alias("failed"),
     )
+    return merged_changes(changes)
+
+
+def merged_changes(changes: DataFrame) -> DataFrame:
+    """One row per job of several."""
+    flags = [F.bool_or(name).alias(name) for name in ("complete", "failed")]
+    return changes.groupBy(*JOB).agg(F.max("_start").alias("_start"), *flags)
+
+
+def jobs_of_changes(changes: DataFrame) -> DataFrame:
     names = ("handle", "name", "type", "started", "stage_ids")
-    return merged.where(F.col("_start").isNotNull()).select(
+    return changes.where(F.col("_start").isNotNull()).select(
         *JOB, *[F.col(f"_start.{name}") for name in names], "complete", "failed"
     )
 
 
+def jobs_from_events(events: DataFrame) -> DataFrame:
+    """One row per started job, its end merged in; an end without a start is left out."""
+    return jobs_of_changes(job_changes(events))
+
+
 def stage_listings(jobs: DataFrame) -> DataFrame:
     """One row per stage a job lists: its ``position`` in the list and the job's start."""
     return jobs.select(
@@ -132,7 +151,11 @@ def stages_from_events(events: DataFrame, jobs: DataFrame, failed_count: bool =
     A failed task counts as complete, as does each retry, unless ``failed_count`` is off.
     """
     rows, listings = stage_and_task_events(events), stage_listings(jobs)
-    state = _owned_state(rows, listings, counters(failed_count))
+    return stage_facts(listings, _owned_state(rows, listings, counters(failed_count)))
+
+
+def stage_facts(listings: DataFrame, state: DataFrame) -> DataFrame:
+    """Stage facts of listed stages from the counters per job and stage."""
     no, zero = F.lit(False), F.lit(0).cast("long")
     return (
         listings.drop("position", "job_started")

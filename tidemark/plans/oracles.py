@@ -254,6 +254,7 @@ ORACLES = {
                bool_and(l_linestatus = 'F') AS complete
         FROM lineitem GROUP BY 1, 2""",
     "followed_log_progress": _FEED_PROGRESS,
+    "tracked_progress_stream": _FEED_PROGRESS,
     "closed_stages_stream": """
         WITH l AS (
           SELECT l_orderkey * 8 + l_linenumber AS stage_id, epoch_ms(l_shipdate) AS launch,

@@ -22,6 +22,7 @@ from tidemark.sources.event_log import follow_logs, read_events, stream_events,
 from tidemark.sources.posts import read_posts
 from tidemark.sources.tables import dataset, raw_dataset
 from tidemark.streaming import events as S
+from tidemark.streaming import increments
 from tidemark.streaming import stages as stage_streams
 
 
@@ -371,6 +372,16 @@ def followed_log_progress(spark, sf_dir):
     return _rounded(S.progress_of_feed(spark, out), "stage_progress", "task_progress")
 
 
+def tracked_progress_stream(spark, sf_dir):
+    """The feed in several batches, the sums of which are merged on the way."""
+    path = _feed_files(spark, sf_dir)
+    files = len([f for f in spark.read.text(path).inputFiles() if f.endswith(".json")])
+    events = stream_events(spark, path, APP, files_per_trigger=max(1, -(-files // 3)))
+    store, checkpoint = shared_dir(spark, "tracked"), shared_dir(spark, "checkpoint")
+    increments.track(events, store, checkpoint, every=2).awaitTermination()
+    return _rounded(increments.tracked_progress(spark, store), "stage_progress", "task_progress")
+
+
 def closed_stages_stream(spark, sf_dir):
     events = stream_events(spark, _feed_files(spark, sf_dir), APP)
     out, checkpoint = shared_dir(spark, "closed"), shared_dir(spark, "checkpoint")
@@ -527,6 +538,7 @@ QUERIES = {
         progress_stream,
         stage_state_stream,
         followed_log_progress,
+        tracked_progress_stream,
         closed_stages_stream,
         owned_events_stream,
         history_running,
