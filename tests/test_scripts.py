@@ -57,16 +57,31 @@ def test_commands_with_rows_are_saved(spark, tmp_path):
     assert ("shown",) in rows(saved, "tableName")
 
 
-def test_texts_keep_the_rows_of_commands_or_are_refused(spark, tmp_path):
+def test_texts_keep_the_rows_of_commands(spark, tmp_path):
     spark.range(1).createOrReplaceTempView("shown")
-    for handle, text, column, value in (("h6", "SHOW TABLES;", "tableName", "shown"), ("h7", "DESCRIBE shown", "col_name", "id")):
-        record = run_and_save(spark, text, str(tmp_path), handle).first()
-        assert record["success"] and (value,) in rows(load_result(spark, json.loads(record["data"])["outputDir"]), column)
-    text = "CREATE TEMP VIEW not_made AS SELECT 1 AS x; SHOW TABLES LIKE 'no*'"
-    record = run_and_save(spark, text, str(tmp_path), "h8").first()
-    assert not record["success"] and "list" in json.loads(record["data"])["error"]
-    assert not spark.catalog.tableExists("not_made")
-    assert rows(run_script(spark, "SELECT 1; SELECT '; show me' AS x")) == [("; show me",)]
+    texts = [
+        ("SHOW TABLES;", "tableName", "shown"),
+        ("DESCRIBE shown", "col_name", "id"),
+        ("SELECT 1 AS a; -- the tables\nSHOW TABLES", "tableName", "shown"),
+        ("SELECT 1 AS a; /* x; y */ SHOW TABLES -- end;", "tableName", "shown"),
+        ("SELECT ';' AS `\U0001f600`; DESC shown;", "col_name", "id"),
+        ("CREATE OR REPLACE TEMP VIEW shown_2 AS SELECT 'a;b' AS x; SHOW TABLES LIKE 'shown_2'", "tableName", "shown_2"),
+    ]
+    for n, (text, column, value) in enumerate(texts):
+        record = run_and_save(spark, text, str(tmp_path), f"h6-{n}").first()
+        saved = load_result(spark, json.loads(record["data"])["outputDir"])
+        assert (value,) in rows(saved, column)
+    assert "Project" in run_script(spark, "SELECT 1; EXPLAIN SELECT 'a;b' AS x").first()[0]
+
+
+def test_no_other_statement_passes_for_the_last(spark, tmp_path):
+    record = run_and_save(spark, "SELECT 1 AS a; CREATE OR REPLACE TEMP VIEW made AS SELECT 7 AS q;", str(tmp_path), "h8").first()
+    assert json.loads(record["data"])["result"] == [] and spark.table("made").first()[0] == 7
+    assert rows(run_script(spark, "DECLARE x INT DEFAULT 3; SELECT x + 1 AS y")) == [(4,)]
+    assert rows(run_script(spark, "BEGIN SELECT 1; SELECT 4 AS f; END;")) == [(4,)]
+    assert rows(run_script(spark, "SELECT 'it''s; x' AS s; -- end")) == [("it's; x",)]
+    with pytest.raises(ValueError, match="empty"):
+        run_script(spark, "/* nothing */")
 
 
 def test_failure_is_recorded(spark, tmp_path):

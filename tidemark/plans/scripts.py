@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import re
 import traceback
 from collections.abc import Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,39 +15,66 @@ from tidemark.functions.scalars import trace_lines
 from tidemark.schemas import ENVELOPE
 from tidemark.sources.delimited import read_delimited, result_columns, save_delimited
 
-# A last statement whose rows a script block does not give.
-_LISTED_LAST = re.compile(
-    r"""(?is);\s*(?:show|desc|describe|explain)\b(?:[^;'"]|'[^']*'|"[^"]*")*$"""
-)
-
-
 def run_statement(spark: SparkSession, statement: str) -> DataFrame:
     return spark.sql(statement)
 
 
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
+
+
 def run_script(spark: SparkSession, script: str | Sequence[str]) -> DataFrame:
     """Runs statements in order and returns the result of the last one.
 
-    A list is run one by one. A text is run as one SQL script block, so Spark itself
-    finds where its statements end; a text of one statement is run as it is. A block keeps
-    no rows of a SHOW, DESCRIBE or EXPLAIN, so a text of several statements that ends
-    with one is refused before anything is run; as a list it works.
+    A list is run one by one. A text is run as one SQL script block, so Spark itself finds
+    where its statements end. A block gives the rows of its last query, whatever follows it;
+    so Spark's parser is asked what the last statement is. One that lists something (SHOW,
+    DESCRIBE, EXPLAIN, ...) is run by itself behind the others, and behind one that gives no
+    rows (CREATE, INSERT, ...) the result is empty.
     """
-    if isinstance(script, str):
-        text = script.strip().rstrip(";")
-        if not text:
+    if not isinstance(script, str):
+        result = None
+        for statement in script:
+            result = spark.sql(statement)
+        if result is None:
             raise ValueError("the script is empty")
-        if ";" not in text:
-            return spark.sql(text)
-        if _LISTED_LAST.search(text):
-            raise ValueError("a text cannot end with SHOW, DESCRIBE or EXPLAIN; pass its statements as a list")
-        return spark.sql(f"BEGIN\n{text}\n;\nEND")
-    result = None
-    for statement in script:
-        result = spark.sql(statement)
-    if result is None:
+        return result
+    block, statements = _parsed(spark, script) if script.strip("; \t\r\n") else ("", [])
+    if not statements:
         raise ValueError("the script is empty")
-    return result
+    last = statements[-1]
+    if last.getClass().getSimpleName() != "SingleStatement":
+        return spark.sql(block)
+    # The parser counts code points, as Python does.
+    start, end = last.origin().startIndex().get(), last.origin().stopIndex().get() + 1
+    if len(statements) == 1:
+        return spark.sql(block[start:end])
+    plan = last.parsedPlan()
+    if not (_is(spark, plan, "Command") or _is(spark, plan, "ParsedStatement")):
+        return spark.sql(block)
+    if not plan.output().isEmpty():
+        spark.sql(f"{block[:start]}\nEND")
+        return spark.sql(block[start:end])
+    spark.sql(block)
+    return spark.createDataFrame([], "")
+
+
+def _parsed(spark: SparkSession, script: str) -> tuple[str, list]:
+    """The text as a block, and its statements as Spark's parser tells them apart."""
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    error = None
+    # The last statement may or may not have its semicolon, also before a comment.
+    for end in ("\n;\nEND", "\nEND"):
+        block = f"BEGIN\n{script}{end}"
+        try:
+            found = parser.parsePlan(block).collection()
+            return block, [found.apply(i) for i in range(found.size())]
+        except ParseException as refused:
+            error = error or refused
+    raise error
+
+
+def _is(spark: SparkSession, plan, kind: str) -> bool:
+    return spark._jvm.java.lang.Class.forName(f"{_LOGICAL}.{kind}").isInstance(plan)
 
 
 def save_result(df: DataFrame, path: str) -> None:
