@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 from conftest import rows
 from test_progress import LOG, STAGES, write_log
@@ -60,3 +61,34 @@ def test_stage_states_by_update(spark, tmp_path):
     assert by_stage[3] == (4, 3, 2, False)
     assert by_stage[6] == (3, 2, 2, True)
     assert found.count() == len(by_stage)
+
+
+def test_results_of_many_batches_stay_few_folders(spark, tmp_path):
+    """Also a batch that runs again, as after a crash before its commit, changes nothing."""
+    logs = tmp_path / "log"
+    logs.mkdir()
+    for step in range(14):
+        lines = [json.dumps(e) for e in LOG[step::14]]
+        (logs / f"p{step}").write_text("\n".join(lines))
+    feed = stream_events(spark, str(logs), "app-1", files_per_trigger=1)
+    found = {}
+    for name, start in (("counts", S.event_counts), ("states", S.stage_states)):
+        out, checkpoint = str(tmp_path / name), tmp_path / f"{name}-checkpoint"
+        options = {"every": 4} if name == "states" else {}
+        start(feed, out, str(checkpoint), **options).awaitTermination()
+
+        def shown():
+            return rows(S.latest_result(spark, out) if name == "counts" else S.latest_rows(spark, out, ["app_id", "stage_id"]))
+
+        found[name] = shown()
+        assert len(list(Path(out).iterdir())) <= (2 if name == "counts" else 9)
+        last = max(int(p.name) for p in (checkpoint / "commits").iterdir() if p.name.isdigit())
+        for file in (checkpoint / "commits").glob(f"*{last}*"):
+            file.unlink()
+        start(feed, out, str(checkpoint), **options).awaitTermination()
+        assert shown() == found[name]
+    counts = read_events(spark, str(logs), "app-1").groupBy("Event").count()
+    assert found["counts"] == rows(counts)
+    whole = str(tmp_path / "whole"), str(tmp_path / "whole-checkpoint")
+    S.stage_states(stream_events(spark, str(logs), "app-1"), *whole).awaitTermination()
+    assert found["states"] == rows(S.latest_rows(spark, whole[0], ["app_id", "stage_id"]))

@@ -23,8 +23,10 @@ from tidemark.operators.progress import (
     job_progress,
     stage_and_task_events,
 )
+from tidemark.sources import generations
 
 AVAILABLE_NOW = {"availableNow": True}
+_BATCH = "_batch"
 
 
 def ingest(events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW) -> StreamingQuery:
@@ -43,14 +45,23 @@ def event_counts(
 ) -> StreamingQuery:
     """Running number of events of each kind; see :func:`latest_result`."""
     counts = events.groupBy(kind).agg(F.count(F.lit(1)).alias("total"))
-    return _start(counts, "complete", out, checkpoint, trigger)
+
+    def write(batch: DataFrame, number: int) -> None:
+        # A whole result each time, of which the one before stays for its readers.
+        generations.write(batch, out, "gen", number)
+        generations.forget(batch.sparkSession, out, number)
+
+    return _start(counts, "complete", write, checkpoint, trigger)
 
 
 def stage_states(
-    events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW
+    events: DataFrame, out: str, checkpoint: str, every: int = 20, trigger=AVAILABLE_NOW
 ) -> StreamingQuery:
     """Running state of each stage; see :func:`latest_rows`.
 
+    A batch writes the stages that it changed; after ``every`` batches they are merged into
+    one generation, so that the folders and rows kept are bounded.
+
     Keyed by application and stage, so one busy application spreads over all tasks and
     the state of a stage is one row of counters. Which job owns the stage is left to
     the batch rollups.
@@ -67,28 +78,34 @@ def stage_states(
             F.bool_or(kind == STAGE_COMPLETED).alias("complete"),
         )
     )
-    return _start(state, "update", out, checkpoint, trigger)
 
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        generations.write(batch.withColumn(_BATCH, F.lit(number)), out, "batch", number)
+        if number % every == every - 1:
+            rows = spark.read.parquet(*generations.current(spark, out, number))
+            generations.write(_newest(rows, ["app_id", "stage_id"]), out, "gen", number)
+            generations.forget(spark, out, number)
+
+    return _start(state, "update", write, checkpoint, trigger)
 
-def _start(rows: DataFrame, mode: str, out: str, checkpoint: str, trigger) -> StreamingQuery:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # A folder per batch, so that a batch that runs twice replaces itself.
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+def _start(rows: DataFrame, mode: str, write, checkpoint: str, trigger) -> StreamingQuery:
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     return writer.foreachBatch(write).trigger(**trigger).start()
 
 
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    payload = F.struct(*[F.col(name) for name in rows.columns if name not in keys])
+    newest = rows.groupBy(*keys).agg(F.max_by(payload, F.col(_BATCH)).alias("_row"))
+    return newest.select(*keys, "_row.*")
+
+
 def latest_result(spark: SparkSession, out: str) -> DataFrame:
     """The rows of the last batch, for a query that writes its whole result each time."""
-    rows = spark.read.parquet(out)
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == last).drop("batch")
+    return spark.read.parquet(*generations.current(spark, out))
 
 
 def latest_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """The last version of each key, for a query that writes only changed rows."""
-    rows = spark.read.parquet(out)
-    payload = F.struct(*[name for name in rows.columns if name not in [*keys, "batch"]])
-    newest = rows.groupBy(*keys).agg(F.max_by(payload, F.col("batch")).alias("_row"))
-    return newest.select(*keys, "_row.*")
+    return _newest(spark.read.parquet(*generations.current(spark, out)), keys).drop(_BATCH)
