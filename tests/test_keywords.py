@@ -7,6 +7,7 @@ from golden import SENTIMENT_TOTALS, TONE_MEANS
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import WATCHED
+from tidemark.operators import asof
 from tidemark.operators import keywords as K
 from tidemark.plans import reports
 from tidemark.schemas import TONE_POST
@@ -147,3 +148,20 @@ def test_value_runs(spark):
     assert rows(K.value_runs(df, "k", "v")) == [
         ("a", "", 1), ("a", "x", 1), ("a", "y", 2), ("b", "zzz", 1), ("c", "q" * 9, 1)
     ]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_positions_of_runs_give_any_slice(spark, monkeypatch, parts):
+    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+    monkeypatch.setattr(asof, "CUT_SAMPLE", 5)
+    pairs = [("a", f"v{n % 211:x}é") for n in range(0, 3000, 7)] + [("b", "xy")] * 5 + [("b", ""), (None, "n"), (None, "m"), ("c", None)]
+    runs = K.value_runs(spark.createDataFrame(pairs, "k string, v string"), "k", "v")
+    placed = K.run_positions(runs, "k", "v", parts=parts)
+    assert placed.columns == ["k", "v", "copies", "start", "n_chars"]
+    for key in ("a", "b", None):
+        text = "".join(sorted(v for k, v in pairs if k == key and v is not None))
+        own = placed.where(F.col("k").eqNullSafe(F.lit(key)))
+        assert {r["n_chars"] for r in own.collect()} == {len(text)}
+        assert all(text[r["start"] :].startswith(r["v"] * r["copies"]) for r in own.collect())
+        for low, high in ((0, len(text)), (3, 8), (2, 3), (len(text) - 2, len(text) + 9), (5, 5)):
+            assert "".join(r["piece"] for r in K.text_slice(own, "v", low, high).collect()) == text[low:high]

@@ -12,6 +12,8 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import shuffle_partitions, with_parts
+
 from tidemark.functions.constants import WATCHED
 from tidemark.functions.scalars import sentiment_value
 
@@ -169,3 +171,54 @@ def value_runs(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(
         F.count(F.lit(1)).alias("copies")
     )
+
+
+def run_positions(
+    runs: DataFrame, key: str, value: str, copies: str = "copies", parts: int | None = None
+) -> DataFrame:
+    """The runs of :func:`value_runs` with their place in the text that a key's values make.
+
+    ``start`` counts the characters of the runs before it, and ``n_chars`` all of the key. The
+    sums run along within ranges of values; a key with more runs than a shuffle partition has
+    several of them, each of which goes on from the sum of those before it.
+    """
+    sized = runs.withColumnsRenamed({key: "_key", value: "_time"}).withColumn(
+        "_size", F.length("_time").cast("long") * F.col(copies)
+    )
+    cut = with_parts(sized, ["_key"], parts or shuffle_partitions(runs))
+    before = Window.partitionBy("_key", "_part").orderBy("_time")
+    zero = F.lit(0).cast("long")
+    within = F.coalesce(F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    totals = cut.where("_is_cut").groupBy("_key", "_part").agg(F.sum("_size").alias("_total"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        F.col("_key").alias("_c_key"), F.col("_part").alias("_c_part"), F.sum("_total").over(earlier).alias("_carry")
+    )
+    # One row per range of a key that has several, at most twice the shuffle partitions.
+    placed = cut.withColumn("_within", within).join(
+        F.broadcast(carried), (F.col("_key") == F.col("_c_key")) & (F.col("_part") == F.col("_c_part")), "left"
+    )
+    lengths = sized.groupBy(F.col("_key").alias("_l_key")).agg(F.sum("_size").alias("n_chars"))
+    return placed.join(lengths, F.col("_key").eqNullSafe(F.col("_l_key"))).select(
+        *[F.col({key: "_key", value: "_time"}.get(name, name)).alias(name) for name in runs.columns],
+        (F.col("_within") + F.coalesce("_carry", zero)).alias("start"),
+        "n_chars",
+    )
+
+
+def text_slice(positions: DataFrame, value: str, low: int, high: int, copies: str = "copies") -> DataFrame:
+    """The pieces (``start``, ``piece``) of one key's text between two characters, in order.
+
+    A run is only repeated as far as the slice reaches, and runs outside of it are not read.
+    """
+    size = F.length(value).cast("long")
+    end = F.col("start") + size * F.col(copies)
+    first, last = F.greatest("start", F.lit(low)) - F.col("start"), F.least(end, F.lit(high)) - F.col("start")
+    offset = first % size
+    text = F.expr("repeat(_value, CAST(ceil((_offset + _n) / length(_value)) AS int))")
+    return (
+        positions.where((F.col("start") < high) & (end > low))
+        .select((F.col("start") + first).alias("start"), F.col(value).alias("_value"), offset.alias("_offset"), (last - first).alias("_n"))
+        .select("start", F.substring(text, F.col("_offset").cast("int") + 1, F.col("_n").cast("int")).alias("piece"))
+        .orderBy("start")
+    )

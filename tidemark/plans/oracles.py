@@ -149,6 +149,12 @@ ORACLES = {
         WHERE rank <= 5""",
     "keyword_value_runs": f"""
         SELECT hashtag, source, count(*) AS copies FROM ({_WORDS}) GROUP BY ALL""",
+    "keyword_text_positions": f"""
+        SELECT source, hashtag, copies,
+               CAST(coalesce(sum(length(hashtag) * copies) OVER (
+                 PARTITION BY source ORDER BY hashtag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+               CAST(sum(length(hashtag) * copies) OVER (PARTITION BY source) AS BIGINT) AS n_chars
+        FROM (SELECT source, hashtag, count(*) AS copies FROM ({_ALL_WORDS}) GROUP BY ALL)""",
     "dataset_preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20",
     "row_cap": "SELECT count(*) AS n_rows FROM (SELECT * FROM lineitem LIMIT 5000)",
     "raw_lines": """

@@ -117,6 +117,13 @@ def keyword_value_runs(spark, sf_dir):
     return K.value_runs(rows, "hashtag", "source")
 
 
+def keyword_text_positions(spark, sf_dir):
+    """Where each run of a word stands in the text that all words of a source make."""
+    rows = facts.document_words(table(spark, sf_dir, "documents"), "source")
+    runs = K.value_runs(rows, "source", "hashtag")
+    return K.run_positions(runs, "source", "hashtag")
+
+
 def keyword_report_csv(spark, sf_dir):
     path = shared_dir(spark, "report")
     save_sorted_csv(keyword_sentiment_counts(spark, sf_dir), path, ["hashtag", "sentiment"])
@@ -506,6 +513,7 @@ QUERIES = {
         keyword_by_source,
         top_keywords_per_source,
         keyword_value_runs,
+        keyword_text_positions,
         keyword_report_csv,
         dataset_preview,
         row_cap,
