@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof
 from tidemark.operators import progress as P
 from tidemark.operators.history import run_state
-from tidemark.operators.latest import latest_per_key, retained_jobs
+from tidemark.operators.asof import with_parts
+from tidemark.operators.latest import best_per_group, latest_per_key, retained_jobs
 from tidemark.sources.event_log import read_events, write_events
 
 
@@ -75,11 +76,11 @@ def write_log(folder, events, name="app-1", shuffle=None):
     return str(folder)
 
 
-@pytest.fixture(autouse=True, params=["few listings", "many listings"])
+@pytest.fixture(autouse=True, params=["whole keys", "cut keys"])
 def size(request, monkeypatch):
-    """Every test runs as if the feed were small and as if it were large."""
-    if request.param == "many listings":
-        monkeypatch.setattr(asof, "BROADCAST_ROWS", 0)
+    """Every test runs with the keys of as-of joins as they are and cut into parts."""
+    if request.param == "cut keys":
+        monkeypatch.setattr(asof, "HOT_ROWS", 1)
 
 
 @pytest.fixture(scope="module")
@@ -208,7 +209,6 @@ def test_event_store_by_kind_gives_the_same(spark, tmp_path, events):
 def test_hot_stage_is_spread_and_exact(spark, monkeypatch):
     """One stage with nearly all task events, on a job that another job follows."""
     monkeypatch.setattr(asof, "HOT_ROWS", 1)
-    monkeypatch.setattr(asof, "BROADCAST_ROWS", 0)
     tasks = spark.range(4000).select(
         F.lit("a").alias("app_id"), F.lit(P.TASK_START).alias("Event"), F.lit(1).cast("long").alias("Stage ID"),
         F.struct(F.col("id").alias("Task ID"), F.col("id").alias("Launch Time"), F.lit(None).cast("long").alias("Finish Time"),
@@ -224,9 +224,9 @@ def test_hot_stage_is_spread_and_exact(spark, monkeypatch):
     events = tasks.unionByName(starts, allowMissingColumns=True).unionByName(empty, allowMissingColumns=True)
     stages = state(events)[1]
     assert rows(stages, "job_id", "stage_id", "tasks_started") == [(1, 1, 2000), (1, 2, 0), (2, 1, 1000)]
-    # Counted per salt first, so that no task sees the whole stage.
+    # Dealt out by parts of its times, so that no task sees the whole stage.
     text = stages._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in text and "partial_count" in text
+    assert "_part" in text and "partial_count" in text
 
 
 def test_owned_events(events):
@@ -252,6 +252,31 @@ def test_retention(spark):
     assert "WindowGroupLimit" in retained_jobs(jobs)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+def test_many_rows_of_a_group_are_chosen_in_several_tasks(spark, monkeypatch, ascending):
+    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+    df = spark.range(0, 9000, 1, 4).selectExpr("IF(id < 7000, 'hot', IF(id < 8995, 'mid', NULL)) AS g", "id * 7919 % 9001 AS v", "id")
+    found = best_per_group(df, ["g"], F.struct("v", "id"), 5000, ascending, parts=12)
+    want = []
+    for group in ("hot", "mid", None):
+        own = sorted((r["v"], r["id"]) for r in df.where(F.col("g").eqNullSafe(F.lit(group))).collect())
+        want += [(group, v, i, n) for n, (v, i) in enumerate((own if ascending else own[::-1])[:5000], 1)]
+    assert rows(found) == sorted(want, key=lambda t: [(x is None, str(x)) for x in t])
+    assert rows(best_per_group(df, ["g"], F.struct("v", "id"), 700, ascending)) == [r for r in rows(found) if r[3] <= 700]
+    # No task ranks a whole hot group, and what stands behind the k-th row is not ranked.
+    cut = with_parts(df.withColumn("_time", F.struct("v", "id")), ["g"], 12).where("g = 'hot'")
+    sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 2000
+
+
+def test_retention_of_more_rows_than_tasks_cut(spark, monkeypatch):
+    jobs = spark.range(6000).selectExpr("'a' AS app_id", "id AS job_id", "id DIV 4 AS started", "id % 10 <> 0 AS complete")
+    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+    kept = sorted(r["job_id"] for r in retained_jobs(jobs, keep=2000).collect())
+    running = [i for i in range(6000) if i % 10 == 0]
+    assert kept == sorted(running + [i for i in range(6000) if i % 10][-(2000 - len(running)) :])
+
+
 def test_latest_per_key(spark):
     df = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 2, "y"), ("a", 0, 9, "z"), (None, 5, 5, "n")], "k string, d int, i int, v string")
     assert rows(latest_per_key(df, ["k"], ["d", "i"])) == [("a", 1, 2, "y")]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import shuffle_partitions, with_parts
+from tidemark.operators.latest import best_per_group
 
 from tidemark.functions.constants import WATCHED
 from tidemark.functions.scalars import sentiment_value
@@ -154,12 +155,9 @@ def most_popular(rows: DataFrame, k: int, key: str = "hashtag") -> DataFrame:
 def top_per_region(counts: DataFrame, k: int, region: str, key: str = "hashtag") -> DataFrame:
     """The k most counted keys of each region, with their ``rank``.
 
-    Spark cuts each region to k rows within every task before it shuffles (k up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a large region is cheap.
+    For any k; see :func:`.latest.best_per_group`.
     """
-    order = Window.partitionBy(region).orderBy(F.col("total").desc(), key)
-    ranked = counts.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k)
+    return best_per_group(counts, [region], F.struct(-F.col("total"), F.col(key)), k)
 
 
 def value_runs(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -147,6 +147,11 @@ ORACLES = {
           SELECT *, row_number() OVER (PARTITION BY source ORDER BY total DESC, hashtag) AS rank
           FROM (SELECT source, hashtag, count(*) AS total FROM ({_ALL_WORDS}) GROUP BY ALL))
         WHERE rank <= 5""",
+    "many_keywords_per_source": f"""
+        SELECT source, hashtag, total, CAST(rank AS INTEGER) AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY source ORDER BY total DESC, hashtag) AS rank
+          FROM (SELECT source, hashtag, count(*) AS total FROM ({_ALL_WORDS}) GROUP BY ALL))
+        WHERE rank <= 5000""",
     "keyword_value_runs": f"""
         SELECT hashtag, source, count(*) AS copies FROM ({_WORDS}) GROUP BY ALL""",
     "keyword_text_positions": f"""

@@ -112,6 +112,10 @@ def top_keywords_per_source(spark, sf_dir):
     return K.top_per_region(_by_source(spark, sf_dir), 5, "source")
 
 
+def many_keywords_per_source(spark, sf_dir):
+    return K.top_per_region(_by_source(spark, sf_dir), 5000, "source")
+
+
 def keyword_value_runs(spark, sf_dir):
     rows = facts.document_words(table(spark, sf_dir, "documents"), "source", watch=WORDS)
     return K.value_runs(rows, "hashtag", "source")
@@ -512,6 +516,7 @@ QUERIES = {
         second_token_counts,
         keyword_by_source,
         top_keywords_per_source,
+        many_keywords_per_source,
         keyword_value_runs,
         keyword_text_positions,
         keyword_report_csv,
