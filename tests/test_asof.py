@@ -10,7 +10,7 @@ from tidemark.operators.asof import asof_join, hot_keys, with_parts
 
 @pytest.fixture(autouse=True)
 def small_keys_may_be_hot(monkeypatch):
-    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+    monkeypatch.setattr(asof, "HOT_ROWS", 20)
 
 
 def brute_force(left, right):
@@ -55,17 +55,17 @@ def test_join_equals_brute_force(spark, span, hot_share):
     assert rows(joined) == [tuple(x) for x in sorted(brute_force(left, right), key=lambda t: [(False, str(v)) for v in t])]
 
 
-@pytest.mark.parametrize("parts", [1, 4, 64])
-def test_any_number_of_parts_agrees(spark, parts):
+@pytest.mark.parametrize("part_rows", [1, 7, 10_000])
+def test_any_number_of_parts_agrees(spark, part_rows):
     left, right = sample(2, 500, 80, 50, 0.5)
-    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", parts=parts)
+    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", part_rows=part_rows)
     assert sorted(tuple(r) for r in joined.collect()) == brute_force(left, right)
 
 
-@pytest.mark.parametrize("parts", [1, 16])
-def test_left_join_keeps_rows_without_an_owner(spark, parts):
+@pytest.mark.parametrize("part_rows", [4, 10_000])
+def test_left_join_keeps_rows_without_an_owner(spark, part_rows):
     left, right = sample(5, 300, 40, 60, 0.5)
-    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", how="left", parts=parts)
+    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", how="left", part_rows=part_rows)
     owned = brute_force(left, right)
     missing = [(*x, None, None) for x in left if x not in [o[:3] for o in owned]]
     assert rows(joined) == sorted(owned + missing, key=lambda t: [(x is None, str(x)) for x in t])
@@ -82,17 +82,15 @@ def test_null_ties_and_repeated_rows(spark):
 
 def test_hot_keys_are_found_and_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
-    assert [tuple(r) for r in hot_keys(df, ["k"], 8).collect()] == [(0, 400, 4)]
-    assert hot_keys(df, ["k"], 2).isEmpty()
+    assert [tuple(r) for r in hot_keys(df, ["k"], 125).collect()] == [(0, 400, 4)]
+    assert hot_keys(df, ["k"], 400).isEmpty()
     assert hot_keys(df.where("false"), ["k"], 8).isEmpty()
-    asof.HOT_ROWS = 500
-    assert hot_keys(df, ["k"], 8).isEmpty()
 
 
 def test_parts_of_a_hot_key_are_even(spark, monkeypatch):
     monkeypatch.setattr(asof, "CUT_SAMPLE", 50)
     times = spark.range(9000).select((F.col("id") % 3 * F.col("id")).alias("k"), (F.col("id") * F.col("id")).alias("_time"))
-    sizes = with_parts(times, ["k"], 10).where("k = 0").groupBy("_part").count().collect()
+    sizes = with_parts(times, ["k"], 750).where("k = 0").groupBy("_part").count().collect()
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1.3 * 3000 / 4
 
 
@@ -100,7 +98,7 @@ def test_parts_of_a_hot_key_are_even(spark, monkeypatch):
 def test_sampled_cuts_change_no_result(spark, monkeypatch, per_part):
     left, right = sample(4, 2000, 1000, 500, 0.6)
     monkeypatch.setattr(asof, "CUT_SAMPLE", per_part)
-    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", parts=6)
+    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", part_rows=300)
     assert sorted(tuple(r) for r in joined.collect()) == brute_force(left, right)
 
 
@@ -110,8 +108,8 @@ def test_other_time_types(spark, kind):
     time = "CAST(id % 50 AS double)" if kind == "double" else f"CAST({day} AS {kind})"
     left = spark.range(300).selectExpr("0 AS k", f"{time} AS t", "id")
     right = spark.range(0, 300, 7).selectExpr("0 AS k", f"{time} AS start", "id AS owner")
-    hot = asof_join(left, right, ["k"], "t", "start", "owner", parts=5)
-    plain = asof_join(left, right, ["k"], "t", "start", "owner", parts=1)
+    hot = asof_join(left, right, ["k"], "t", "start", "owner", part_rows=9)
+    plain = asof_join(left, right, ["k"], "t", "start", "owner", part_rows=1000)
     assert rows(hot) == rows(plain) and hot.count() == 300
 
 

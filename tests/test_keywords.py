@@ -150,13 +150,12 @@ def test_value_runs(spark):
     ]
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_positions_of_runs_give_any_slice(spark, monkeypatch, parts):
-    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+@pytest.mark.parametrize("part_rows", [20, 1000])
+def test_positions_of_runs_give_any_slice(spark, monkeypatch, part_rows):
     monkeypatch.setattr(asof, "CUT_SAMPLE", 5)
     pairs = [("a", f"v{n % 211:x}é") for n in range(0, 3000, 7)] + [("b", "xy")] * 5 + [("b", ""), (None, "n"), (None, "m"), ("c", None)]
     runs = K.value_runs(spark.createDataFrame(pairs, "k string, v string"), "k", "v")
-    placed = K.run_positions(runs, "k", "v", parts=parts)
+    placed = K.run_positions(runs, "k", "v", part_rows=part_rows)
     assert placed.columns == ["k", "v", "copies", "start", "n_chars"]
     for key in ("a", "b", None):
         text = "".join(sorted(v for k, v in pairs if k == key and v is not None))

@@ -208,7 +208,7 @@ def test_event_store_by_kind_gives_the_same(spark, tmp_path, events):
 
 def test_hot_stage_is_spread_and_exact(spark, monkeypatch):
     """One stage with nearly all task events, on a job that another job follows."""
-    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+    monkeypatch.setattr(asof, "HOT_ROWS", 500)
     tasks = spark.range(4000).select(
         F.lit("a").alias("app_id"), F.lit(P.TASK_START).alias("Event"), F.lit(1).cast("long").alias("Stage ID"),
         F.struct(F.col("id").alias("Task ID"), F.col("id").alias("Launch Time"), F.lit(None).cast("long").alias("Finish Time"),
@@ -254,9 +254,9 @@ def test_retention(spark):
 
 @pytest.mark.parametrize("ascending", [True, False])
 def test_many_rows_of_a_group_are_chosen_in_several_tasks(spark, monkeypatch, ascending):
-    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+    monkeypatch.setattr(asof, "HOT_ROWS", 1000)
     df = spark.range(0, 9000, 1, 4).selectExpr("IF(id < 7000, 'hot', IF(id < 8995, 'mid', NULL)) AS g", "id * 7919 % 9001 AS v", "id")
-    found = best_per_group(df, ["g"], F.struct("v", "id"), 5000, ascending, parts=12)
+    found = best_per_group(df, ["g"], F.struct("v", "id"), 5000, ascending, part_rows=1000)
     want = []
     for group in ("hot", "mid", None):
         own = sorted((r["v"], r["id"]) for r in df.where(F.col("g").eqNullSafe(F.lit(group))).collect())
@@ -264,14 +264,14 @@ def test_many_rows_of_a_group_are_chosen_in_several_tasks(spark, monkeypatch, as
     assert rows(found) == sorted(want, key=lambda t: [(x is None, str(x)) for x in t])
     assert rows(best_per_group(df, ["g"], F.struct("v", "id"), 700, ascending)) == [r for r in rows(found) if r[3] <= 700]
     # No task ranks a whole hot group, and what stands behind the k-th row is not ranked.
-    cut = with_parts(df.withColumn("_time", F.struct("v", "id")), ["g"], 12).where("g = 'hot'")
+    cut = with_parts(df.withColumn("_time", F.struct("v", "id")), ["g"], 1000).where("g = 'hot'")
     sizes = [r["count"] for r in cut.groupBy("_part").count().collect()]
     assert len(sizes) > 5 and max(sizes) < 2000
 
 
 def test_retention_of_more_rows_than_tasks_cut(spark, monkeypatch):
     jobs = spark.range(6000).selectExpr("'a' AS app_id", "id AS job_id", "id DIV 4 AS started", "id % 10 <> 0 AS complete")
-    monkeypatch.setattr(asof, "HOT_ROWS", 1)
+    monkeypatch.setattr(asof, "HOT_ROWS", 500)
     kept = sorted(r["job_id"] for r in retained_jobs(jobs, keep=2000).collect())
     running = [i for i in range(6000) if i % 10 == 0]
     assert kept == sorted(running + [i for i in range(6000) if i % 10][-(2000 - len(running)) :])

@@ -4,9 +4,9 @@ One lazy plan for any number of rows per key:
 
 1. Left rows are reduced to the different (key, time) they have and right rows to the best of
    each (key, time), in one aggregation. However many rows share an instant, it is one row.
-2. A key with more instants than an average shuffle partition is cut into parts by time. The
-   cuts are quantiles of a sample chosen by the hash of (key, time), so that they come out
-   the same whenever they are computed.
+2. A key with more than a million instants is cut into parts by time. The cuts are quantiles
+   of a sample chosen by the hash of (key, time), so that they come out the same whenever they
+   are computed.
 3. Within each part the latest right row runs along in time. A part of a cut key goes on
    from the latest right row of the parts before it; there is one such row for each part.
 4. The left rows are joined to their instants. Of an instant that a large share of them has,
@@ -20,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Instants of a key that one task takes in any case.
-HOT_ROWS = 100_000
+#: Instants of a key that one task takes; a key with more is cut. One row for so many
+#: instants is broadcast, some tens of bytes each.
+HOT_ROWS = 1_000_000
 #: Sampled instants for each part of a cut key.
 CUT_SAMPLE = 200
 
@@ -34,16 +35,16 @@ def asof_join(
     right_time: str,
     right_tie: str | None = None,
     how: str = "inner",
-    parts: int | None = None,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """As-of join; among right rows of one time the largest ``right_tie`` wins.
 
     Both sides share the ``on`` columns and no other name. Null keys and times match nothing:
-    such left rows are dropped, or kept without a match if ``how`` is ``left``. ``parts``
-    bounds the share of the instants that one task takes, by default the shuffle partitions.
+    such left rows are dropped, or kept without a match if ``how`` is ``left``. ``part_rows``
+    are the instants of a key that one task takes, ``HOT_ROWS`` by default.
     """
     extra = [name for name in right.columns if name not in on]
-    found = _owners_of_instants(left, right, on, left_time, right_time, right_tie, extra, parts or shuffle_partitions(left))
+    found = _owners_of_instants(left, right, on, left_time, right_time, right_tie, extra, part_rows)
     here, there = left.alias("l"), found.alias("f")
     match = [F.col(f"l.`{name}`") == F.col(f"f.`{name}`") for name in on]
     match.append(F.col(f"l.`{left_time}`") == F.col("f._time"))
@@ -52,20 +53,16 @@ def asof_join(
     )
 
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _owners_of_instants(left, right, on, left_time, right_time, right_tie, extra, parts) -> DataFrame:
+def _owners_of_instants(left, right, on, left_time, right_time, right_tie, extra, part_rows) -> DataFrame:
     """(on, _time, _r) of each different instant of the left side that has an owner."""
     rows = _instants(left, right, on, left_time, right_time, right_tie, extra)
-    cut = with_parts(rows, on, parts)
+    cut = with_parts(rows, on, part_rows)
     order = Window.partitionBy(*on, "_part").orderBy("_time")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = cut.withColumn("_r", F.last("_r", ignorenulls=True).over(running)).where("_wanted")
     carried = _carried(cut, on).select(*[F.col(name).alias(f"_c_{name}") for name in on], F.col("_part").alias("_c_part"), "_carry")
     same = [F.col(name) == F.col(f"_c_{name}") for name in on] + [F.col("_part") == F.col("_c_part")]
-    # One row per part of a cut key, of which there are at most twice ``parts``.
+    # One row per part of a cut key.
     found = own.join(F.broadcast(carried), same, "left").withColumn("_r", F.coalesce("_r", "_carry"))
     return found.where(F.col("_r").isNotNull()).select(*on, "_time", "_r")
 
@@ -91,28 +88,22 @@ def _instants(left, right, on, left_time, right_time, right_tie, extra) -> DataF
     return rows.groupBy(*on, "_time").agg(F.max_by("_r", "_tie").alias("_r"), F.max("_wanted").alias("_wanted"))
 
 
-def hot_keys(rows: DataFrame, on: list[str], parts: int) -> DataFrame:
-    """Large keys with more than 1/parts of all rows: ``_n`` rows each, worth ``_copies`` tasks.
-
-    There are fewer than ``parts`` of them, with at most twice ``parts`` copies in all.
-    """
+def hot_keys(rows: DataFrame, on: list[str], part_rows: int) -> DataFrame:
+    """Keys with more than ``part_rows`` rows: ``_n`` rows each, to be cut into ``_copies`` parts."""
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    limit = F.greatest(total / parts, F.lit(HOT_ROWS))
-    copies = F.ceil(F.col("_n") * parts / total).cast("int")
-    return counts.where(F.col("_n") > limit).withColumn("_copies", copies)
+    return counts.where(F.col("_n") > part_rows).withColumn("_copies", F.ceil(F.col("_n") / part_rows).cast("int"))
 
 
-def cuts(rows: DataFrame, on: list[str], parts: int) -> DataFrame:
+def cuts(rows: DataFrame, on: list[str], part_rows: int) -> DataFrame:
     """(on, _cuts): times that split the instants of each hot key into about equal parts.
 
     A sample by hash is the same set of instants in any run, so no cut depends on where or
     how often it is computed. It holds some ``CUT_SAMPLE`` instants for each part.
     """
-    hot = hot_keys(rows, on, parts).select(*[F.col(name).alias(f"_h_{name}") for name in on], "_n", "_copies")
+    hot = hot_keys(rows, on, part_rows).select(*[F.col(name).alias(f"_h_{name}") for name in on], "_n", "_copies")
     same = [F.col(name) == F.col(f"_h_{name}") for name in on]
     every = F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_copies") * CUT_SAMPLE)))
-    # Fewer than ``parts`` rows by the definition of a hot key, so a broadcast is safe.
+    # At most one row for each ``part_rows`` of the rows.
     sampled = rows.join(F.broadcast(hot), same).where(F.pmod(F.xxhash64(*on, "_time"), every) == 0)
     times = sampled.groupBy(*on).agg(F.sort_array(F.collect_list("_time")).alias("_times"), F.first("_copies").alias("_copies"))
     at = F.sequence(F.lit(1), F.greatest(F.col("_copies") - 1, F.lit(1)))
@@ -121,9 +112,9 @@ def cuts(rows: DataFrame, on: list[str], parts: int) -> DataFrame:
     return times.select(*on, F.filter(picked, lambda t: t.isNotNull()).alias("_cuts"))
 
 
-def with_parts(rows: DataFrame, on: list[str], parts: int) -> DataFrame:
+def with_parts(rows: DataFrame, on: list[str], part_rows: int | None = None) -> DataFrame:
     """Adds ``_part``: 0 for ordinary keys, else the number of cuts that are not later."""
-    found = cuts(rows, on, parts).select(*[F.col(name).alias(f"_k_{name}") for name in on], "_cuts")
+    found = cuts(rows, on, part_rows or HOT_ROWS).select(*[F.col(name).alias(f"_k_{name}") for name in on], "_cuts")
     same = [F.col(name) == F.col(f"_k_{name}") for name in on]
     before: Column = F.size(F.filter("_cuts", lambda t: t <= F.col("_time")))
     marked = rows.join(F.broadcast(found), same, "left")

@@ -12,7 +12,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import shuffle_partitions, with_parts
+from tidemark.operators.asof import with_parts
 from tidemark.operators.latest import best_per_group
 
 from tidemark.functions.constants import WATCHED
@@ -172,18 +172,18 @@ def value_runs(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def run_positions(
-    runs: DataFrame, key: str, value: str, copies: str = "copies", parts: int | None = None
+    runs: DataFrame, key: str, value: str, copies: str = "copies", part_rows: int | None = None
 ) -> DataFrame:
     """The runs of :func:`value_runs` with their place in the text that a key's values make.
 
     ``start`` counts the characters of the runs before it, and ``n_chars`` all of the key. The
-    sums run along within ranges of values; a key with more runs than a shuffle partition has
-    several of them, each of which goes on from the sum of those before it.
+    sums run along within ranges of values; a key with more than a million runs has several of
+    them, each of which goes on from the sum of those before it.
     """
     sized = runs.withColumnsRenamed({key: "_key", value: "_time"}).withColumn(
         "_size", F.length("_time").cast("long") * F.col(copies)
     )
-    cut = with_parts(sized, ["_key"], parts or shuffle_partitions(runs))
+    cut = with_parts(sized, ["_key"], part_rows)
     before = Window.partitionBy("_key", "_part").orderBy("_time")
     zero = F.lit(0).cast("long")
     within = F.coalesce(F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, -1)), zero)
@@ -192,7 +192,7 @@ def run_positions(
     carried = totals.select(
         F.col("_key").alias("_c_key"), F.col("_part").alias("_c_part"), F.sum("_total").over(earlier).alias("_carry")
     )
-    # One row per range of a key that has several, at most twice the shuffle partitions.
+    # One row per range of a key that has several.
     placed = cut.withColumn("_within", within).join(
         F.broadcast(carried), (F.col("_key") == F.col("_c_key")) & (F.col("_part") == F.col("_c_part")), "left"
     )

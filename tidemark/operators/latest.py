@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import RETAINED_JOBS
-from tidemark.operators.asof import shuffle_partitions, with_parts
+from tidemark.operators.asof import with_parts
 
 #: Up to so many rows per group each task cuts a group down before it is shuffled.
 CUT_IN_TASKS = 1000
@@ -25,12 +25,12 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def best_per_group(
-    rows: DataFrame, groups: list[str], key: Column, k: int, ascending: bool = True, parts: int | None = None
+    rows: DataFrame, groups: list[str], key: Column, k: int, ascending: bool = True, part_rows: int | None = None
 ) -> DataFrame:
     """The first ``k`` rows of each group by ``key``, with their ``rank``; for any k and any group.
 
     For a small k a window does it, which each task cuts to k rows per group beforehand. For
-    a large one a group with more rows than a shuffle partition is cut into ranges of the
+    a large one a group with more than a million rows is cut into ranges of the
     key; the number of rows in each range tells how many stand before it, so that ranges
     behind the k-th row are left out unsorted and the others are ranked each by itself. Ties
     in the key are broken anyhow.
@@ -39,7 +39,7 @@ def best_per_group(
         order = Window.partitionBy(*groups).orderBy(key.asc() if ascending else key.desc())
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # A key of its own for every row would be needed to cut among equal keys; those share a range.
-    cut = with_parts(rows.withColumn("_time", key), groups, parts or shuffle_partitions(rows))
+    cut = with_parts(rows.withColumn("_time", key), groups, part_rows)
     part = F.col("_part") if ascending else -F.col("_part")
     named = {name: f"_s_{name}" for name in groups}
     before = Window.partitionBy(*named.values()).orderBy("_s_part").rowsBetween(Window.unboundedPreceding, -1)
