@@ -10,6 +10,8 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -285,7 +287,94 @@ def test_lm_base_scores(docs):
 def test_cotraining_tells_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = cotraining.classified(docs, labels.filter("doc_id % 3 <> 0")).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
-    assert np.mean([(r["score"] >= 0.5) == bool(r["quality"]) for r in scored]) > 0.9
+    assert np.mean([(r["score"] >= 0.5) == bool(r["quality"]) for r in scored]) > 0.95
+    toxic = [r["toxic_score"] >= 0.5 for r in scored if r["toxic"] == 1]
+    assert np.mean(toxic) > 0.5 and not any(r["toxic_score"] >= 0.5 for r in scored if r["toxic"] == 0)
+
+
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+def _planted(spark):
+    """Labelled documents tell good from bad by word and source; the words of the others occur in no labelled one."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(1200):
+        good, labelled = i % 2, i < 400
+        sign = ("fine", "awful") if labelled else ("fresh", "rotten")
+        filler = " ".join(f"w{k}" for k in rng.integers(0, 40, 12))
+        # The metadata of one in twenty is wrong.
+        source = "ab"[good ^ int(rng.random() < 0.05)]
+        rows.append((i, f"{filler} {sign[0] if good else sign[1]}", "en", source))
+        if labelled:
+            labels.append((i, good, 0))
+    for i, word in ((5000, "fresh"), (5001, "rotten")):
+        rows.append((i, f"w1 w2 w3 w4 w5 w6 w7 w8 {word}", "en", "elsewhere"))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), spark.createDataFrame(labels, LABELS)
+
+
+def test_cotraining_learns_words_of_unlabelled_documents_only(spark):
+    docs, labels = _planted(spark)
+
+    def scores(rounds, parts):
+        return {r["doc_id"]: (r["score"], r["toxic_score"]) for r in cotraining.classified(docs.repartition(parts), labels, rounds).collect()}
+
+    alone, exchanged = scores(0, 3), scores(2, 3)
+    assert alone[5000] == alone[5001]
+    assert exchanged[5000][0] > 0.6 and exchanged[5000][0] - exchanged[5001][0] > 0.3
+    # Counts are exact, so that partitions do not matter.
+    assert exchanged == scores(2, 7)
+
+
+def test_cotraining_counts_against_brute_force(spark):
+    docs, labels = _planted(spark)
+    seen = cotraining.views(docs, labels)
+    none = cotraining.Models(
+        {c: {f: np.zeros(1 << b) for f, b in cotraining.BITS.items()} for c in cotraining.LABELS}, {c: dict.fromkeys(cotraining.VIEWS, 0.0) for c in cotraining.LABELS}, {}
+    )
+    got = cotraining._weighed(seen, none, {})["quality"]["word"]
+    held = {r["doc_id"] for r in seen.filter("held").collect()}
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    counts = (Counter(), Counter())
+    for r in docs.collect():
+        if r["doc_id"] in label and r["doc_id"] not in held:
+            counts[label[r["doc_id"]]].update(set(r["text"].split()))
+    all0, all1 = (sum(c.values()) for c in counts)
+    expected = 0
+    for word in counts[0] | counts[1]:
+        n0, n1 = counts[0][word], counts[1][word]
+        pooled = (n0 + n1) / (all0 + all1)
+        told = 2 * sum(n * math.log(n / (t * pooled)) for n, t in ((n0, all0), (n1, all1)) if n)
+        w = math.log((n1 + 0.5) / (all1 + 0.5 / pooled) / ((n0 + 0.5) / (all0 + 0.5 / pooled))) if told > cotraining.EVIDENCE else 0.0
+        expected += w != 0
+        place = np.frombuffer(cotraining.word_view([word.encode()]), np.int32)[0]
+        assert got[place] == pytest.approx(w), word
+    assert expected == (got != 0).sum() > 0
+
+
+@given(st.dictionaries(st.integers(-200, 200), st.integers(1, 50), min_size=1), st.floats(0, 1), st.floats(0, 1))
+@settings(max_examples=200, deadline=None)
+def test_cotraining_cuts_reach_the_fraction_or_the_least_surety(cells, share, fraction):
+    low, high = cotraining.cuts_of(cells, share, fraction)
+    total = sum(cells.values())
+    assert low <= -cotraining.SURE and high >= cotraining.SURE
+    above = sum(n for cell, n in cells.items() if cell / cotraining.CELLS >= high)
+    below = sum(n for cell, n in cells.items() if cell / cotraining.CELLS < low)
+    assert high == cotraining.SURE or above >= fraction * share * total
+    assert low == -cotraining.SURE or below >= fraction * (1 - share) * total
+
+
+def test_cotraining_edge_rows(spark, docs):
+    labels = spark.createDataFrame(
+        [(1, 1, 0), (1, 0, None), (2, None, None), (3, 1, 1), (8, 0, 0), (None, 1, 1), (99, 0, 0)], LABELS
+    ).selectExpr("*", "'clash' AS source", "'clash' AS text")
+    got = cotraining.classified(docs, labels).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == sorted((i is not None, i or 0) for i, _ in TEXTS)
+    assert all(0 <= r["score"] <= 1 and r["kept"] is not None for r in got)
+    unlabelled = cotraining.classified(docs, labels.limit(0)).collect()
+    assert {(r["score"], r["toxic_score"], r["kept"]) for r in unlabelled} == {(0.5, 0.5, True)}
+    seen = {r["doc_id"]: (r["quality"], r["toxic"]) for r in cotraining.views(docs, labels).collect()}
+    assert seen[1] == (0, 0) and seen[2] == (-1, -1) and seen[None] == (-1, -1) and seen[3] == (1, 1)
 
 
 def test_pipeline_stages(spark):
