@@ -66,6 +66,74 @@ def test_rules_count_and_keep(docs):
     assert got[1, 60]["kept"] and not got[7, 1]["kept"]
 
 
+def test_rules_count_every_text_of_a_table(spark):
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for doc_id, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        found, r = words(text), got[doc_id]
+        windows = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+        seen = Counter(windows)
+        covered = {j for i, w in enumerate(windows) if seen[w] > 1 for j in range(i, i + 5)}
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        counts = (len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
+        assert tuple(r[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts
+        assert r["base_failed"] == (len(found) < 10 or 100 * len(covered) > 20 * len(found))
+        assert not (r["kept"] and r["base_failed"])
+
+
+def _em_by_document(votes, rounds):
+    """Accuracies by expectation-maximisation over documents instead of combinations."""
+    good = np.where((votes == -1).any(axis=1), 0.05, 0.95)
+    s = quality_rules.PRIOR_DOCS
+    for _ in range(rounds):
+        share = (good.sum() + s * quality_rules.SHARE_GOOD) / (len(votes) + s)
+        up, down = votes == 1, votes == -1
+        on_good = (good @ up + s * quality_rules.GOOD_ON_GOOD) / (good @ (up | down) + s)
+        on_bad = ((1 - good) @ up + s * quality_rules.GOOD_ON_BAD) / ((1 - good) @ (up | down) + s)
+        plus, minus = np.maximum(0, np.log(on_good / on_bad)), np.minimum(0, np.log((1 - on_good) / (1 - on_bad)))
+        logits = np.log(share / (1 - share)) + up @ plus + down @ minus
+        good = 1 / (1 + np.exp(-logits))
+    return share, plus, minus
+
+
+def _votes_with_a_noisy_rule(n=4000):
+    """A tenth of the texts is bad; all rules but the last tell it mostly, that one blames any text at random."""
+    rng = np.random.default_rng(11)
+    bad, k = rng.random(n) < 0.1, len(quality_rules.RULES)
+    right = rng.random((n, k)) < 0.9
+    votes = np.where(right, np.where(bad, -1, 1)[:, None], np.where(rng.random((n, k)) < 0.8, 0, np.where(bad, 1, -1)[:, None]))
+    votes[:, -1] = np.where(rng.random(n) < 0.3, -1, 1)
+    return bad, votes
+
+
+def test_rules_are_weighed_as_by_brute_force():
+    _, votes = _votes_with_a_noisy_rule()
+    prior, odds = quality_rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()), rounds=30)
+    share, plus, minus = _em_by_document(votes, 30)
+    assert prior == pytest.approx(math.log(share / (1 - share)))
+    assert [o[1] for o in odds] == pytest.approx(plus.tolist()) and [o[-1] for o in odds] == pytest.approx(minus.tolist())
+    assert quality_rules.estimate([])[1] == [{-1: 0.0, 0: 0.0, 1: 0.0}] * len(odds)
+
+
+def test_a_rule_that_the_others_contradict_is_outvoted():
+    bad, votes = _votes_with_a_noisy_rule()
+    prior, odds = quality_rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()))
+    assert 1 / (1 + math.exp(-prior)) == pytest.approx(1 - bad.mean(), abs=0.01)
+    assert abs(odds[-1][-1]) < 0.3 and all(o[-1] < -2 for o in odds[:-1])
+    logits = prior + sum(np.select([votes[:, j] == 1, votes[:, j] == -1], [o[1], o[-1]], 0.0) for j, o in enumerate(odds))
+    assert np.mean((logits < 0) == bad) > 0.999
+    blamed = (votes[:, -1] == -1) & (votes[:, :-1] >= 0).all(axis=1) & ~bad
+    assert blamed.sum() > 100 and (logits[blamed] >= 0).all()
+
+
+def test_rules_keep_good_and_drop_bad_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = quality_rules.judge(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
+    assert np.mean([r["kept"] == bool(r["quality"]) for r in judged]) > 0.98
+    assert np.mean([r["kept"] for r in judged if r["quality"] == 1]) > 0.99
+    kept = quality_rules.judge(docs).filter("kept").select("doc_id")
+    assert sorted(kept.collect()) == sorted(quality_rules.keep_good(docs).select("doc_id").collect())
+
+
 def test_near_dedup(docs):
     got = near_dedup.groups(docs, shingle=2).collect()
     component = {r["doc_id"]: r["component_id"] for r in got}

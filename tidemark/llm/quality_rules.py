@@ -1,16 +1,19 @@
 """Quality rules by weak supervision: rules vote or abstain, EM weighs them, a posterior decides.
 
 Every rule looks at the counts of one text and votes good (1), bad (-1) or abstains (0).
-The number of documents per combination of votes is counted on Spark; as there are at
-most 3**len(RULES) combinations whatever the corpus, the expectation-maximisation that
-estimates how each rule votes on good and on bad texts runs on those counts. The
-posterior probability of a document is then a sum of one weight per rule, a column
-expression.
+Each kind of fault (length, repetition, symbols, shouting) is seen by several rules, which
+so confirm or contradict each other. The number of documents per combination of votes is
+counted on Spark; as there are at most 3**len(RULES) combinations whatever the corpus, the
+expectation-maximisation that estimates the share of good texts and how often each rule is
+right on good and on bad ones runs on those counts. The posterior probability of a document
+is then a sum of one weight per vote, a column expression. A rule that the others
+contradict gets little weight or none, and a text that only it blames is kept.
 
 Defined results: a null text counts as empty; an empty text has no words, fails the base
-rules and is dropped; repeated rows are judged each by itself, alike; a null id stays null;
-an empty table gives an empty result. Further columns of the input are neither read nor
-needed.
+rules and is dropped; a text of any length is read whole; repeated rows are judged each by
+itself, alike, and rows with the same votes tie; a posterior of exactly one half keeps; a
+null id stays null; an empty table gives an empty result. Further columns of the input are
+neither read nor needed.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ SHINGLE = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 KEEP_FROM = 0.5
-#: Share of good texts taken beforehand, and chances of a fault vote on good and bad texts.
-SHARE_GOOD, FALSE_ALARM, CAUGHT = 0.9, 0.001, 0.1
+#: Taken beforehand, as if seen on so many documents: the share of good texts, and the share
+#: of good votes on good and on bad texts.
+PRIOR_DOCS, SHARE_GOOD, GOOD_ON_GOOD, GOOD_ON_BAD = 10, 0.9, 0.95, 0.5
 
 
 #: From this many different repeated windows on, they are found by sorting instead of look-up.
@@ -97,6 +101,7 @@ def counts_of(text: Column) -> Column:
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             let(windows, lambda g: _repeated(g, SHINGLE)).alias("n_repeat_words"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>](?=[ \t-\r]|$)")).cast("long").alias("n_marked"),
             F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
             F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
             (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_exclaim"),
@@ -105,32 +110,35 @@ def counts_of(text: Column) -> Column:
     return let(words_of(text), of_words)
 
 
-def _good(test: Column) -> Column:
-    return F.when(test, 1).otherwise(0)
-
-
-def _bad(test: Column) -> Column:
-    return F.when(test, -1).otherwise(0)
+def _vote(good: Column, bad: Column) -> Column:
+    return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
 def _per_word(c: Column, name: str) -> Column:
     return c[name] / F.greatest(c["n_words"], F.lit(1))
 
 
-#: Name and vote of every rule, each a function of the counts. The rules of one fault
-#: abstain where they do not see it: its absence does not tell that a text is good.
+def _per_char(c: Column, name: str) -> Column:
+    return c[name] / F.greatest(c["word_chars"], F.lit(1))
+
+
+def _monotonous(c: Column) -> Column:
+    different, n = _per_word(c, "n_distinct"), c["n_words"]
+    return ((different < 0.2) & (n <= 1000)) | ((different < 0.55) & (n <= 100))
+
+
+#: Name and vote of every rule, each a function of the counts.
 RULES: list[tuple[str, Callable[[Column], Column]]] = [
-    ("usual_length", lambda c: _good(c["n_words"].between(50, 100_000))),
-    ("usual_words", lambda c: _good(_per_word(c, "word_chars").between(3, 10))),
-    ("varied", lambda c: _good(_per_word(c, "n_distinct") >= 0.5)),
-    ("short", lambda c: _bad(c["n_words"] < MIN_WORDS)),
-    ("odd_words", lambda c: _bad(~_per_word(c, "word_chars").between(2, 18))),
-    ("symbols", lambda c: _bad(_per_word(c, "n_symbols") > 0.1)),
-    ("dup_lines", lambda c: _bad(c["n_dup_lines"] * 5 > c["n_words"])),
-    ("repeats", lambda c: _bad(_per_word(c, "n_repeat_words") > 0.2)),
-    ("monotonous", lambda c: _bad(((_per_word(c, "n_distinct") < 0.2) & (c["n_words"] <= 1000)) | ((_per_word(c, "n_distinct") < 0.55) & (c["n_words"] <= 100)))),
-    ("upper", lambda c: _bad(c["n_upper"] * 2 > c["word_chars"])),
-    ("exclaim", lambda c: _bad(_per_word(c, "n_exclaim") > 0.3)),
+    ("length", lambda c: _vote(c["n_words"].between(50, 100_000), c["n_words"] < MIN_WORDS)),
+    ("word_length", lambda c: _vote(_per_word(c, "word_chars").between(3, 10), ~_per_word(c, "word_chars").between(2, 18))),
+    ("symbols", lambda c: _vote(_per_word(c, "n_symbols") <= 0.02, _per_word(c, "n_symbols") > 0.1)),
+    ("symbol_share", lambda c: _vote(_per_char(c, "n_symbols") <= 0.004, _per_char(c, "n_symbols") > 0.02)),
+    ("marked_words", lambda c: _vote(_per_word(c, "n_marked") <= 0.01, _per_word(c, "n_marked") > 0.05)),
+    ("dup_lines", lambda c: _vote(c["n_dup_lines"] == 0, c["n_dup_lines"] * 5 > c["n_words"])),
+    ("repeats", lambda c: _vote(_per_word(c, "n_repeat_words") <= 0.05, _per_word(c, "n_repeat_words") > 0.2)),
+    ("varied", lambda c: _vote(_per_word(c, "n_distinct") >= 0.5, _monotonous(c))),
+    ("upper", lambda c: _vote(_per_char(c, "n_upper") <= 0.2, _per_char(c, "n_upper") > 0.5)),
+    ("exclaim", lambda c: _vote(_per_word(c, "n_exclaim") <= 0.05, _per_word(c, "n_exclaim") > 0.3)),
 ]
 
 
@@ -145,35 +153,37 @@ def _logit(p: float) -> float:
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, float]]]:
     """Log odds of good beforehand, and for each rule the log odds that each vote adds.
 
-    ``patterns`` has the number of documents per combination of votes. Each rule has its
-    own chance of its vote on good and on bad texts, estimated in ``rounds`` of expectation
-    and maximisation; an abstention adds nothing. A fault that only one rule sees is not
-    confirmed by any other, so the chances of fault votes start from the prior means
-    ``FALSE_ALARM`` on good and ``CAUGHT`` on bad texts, with the weights below as
-    multiples of the corpus.
+    ``patterns`` has the number of documents per combination of votes. Each rule that does
+    not abstain votes good with a chance of its own on good and on bad texts; these chances
+    and the share of good texts are estimated in ``rounds`` of expectation and maximisation,
+    with ``PRIOR_DOCS`` documents' worth of prior. An abstention adds nothing. No rule is
+    taken to be worse than chance: a good vote never counts against a text, nor a bad vote
+    for it.
     """
     total = sum(n for _, n in patterns)
-    if not total:
-        return _logit(SHARE_GOOD), [{v: 0.0 for v in (-1, 0, 1)} for _ in RULES]
-    # Each rule sees its own kind of fault, so a text is first taken as bad if any rule says so.
+    # To begin with, a text is taken as bad if any rule says so.
     good = [0.05 if -1 in votes else 0.95 for votes, _ in patterns]
-    odds: list[dict[int, float]] = []
-    for _ in range(rounds):
+    prior, odds = _logit(SHARE_GOOD), [{v: 0.0 for v in (-1, 0, 1)} for _ in RULES]
+    for _ in range(rounds if total else 0):
         goods = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
-        odds = []
-        for j in range(len(RULES)):
-            by_vote = {0: 0.0}
-            for vote in (-1, 1):
-                on_good = sum(g * n for g, (votes, n) in zip(good, patterns, strict=True) if votes[j] == vote)
-                on_bad = sum((1 - g) * n for g, (votes, n) in zip(good, patterns, strict=True) if votes[j] == vote)
-                means, weights = ((FALSE_ALARM, CAUGHT), (20, 0.5)) if vote == -1 else ((0.8, 0.5), (0.01, 0.01))
-                by_vote[vote] = math.log((on_good + weights[0] * total * means[0]) / (goods + weights[0] * total)) - math.log(
-                    (on_bad + weights[1] * total * means[1]) / (total - goods + weights[1] * total)
+        prior = _logit((goods + PRIOR_DOCS * SHARE_GOOD) / (total + PRIOR_DOCS))
+        for j, by_vote in enumerate(odds):
+            seen = {
+                vote: (
+                    sum(g * n for g, (votes, n) in zip(good, patterns, strict=True) if votes[j] == vote),
+                    sum((1 - g) * n for g, (votes, n) in zip(good, patterns, strict=True) if votes[j] == vote),
                 )
-            odds.append(by_vote)
-        logits = [_logit(SHARE_GOOD) + sum(odds[j][v] for j, v in enumerate(votes)) for votes, _ in patterns]
+                for vote in (-1, 1)
+            }
+            on_good, on_bad = (
+                (seen[1][k] + PRIOR_DOCS * before) / (seen[1][k] + seen[-1][k] + PRIOR_DOCS)
+                for k, before in ((0, GOOD_ON_GOOD), (1, GOOD_ON_BAD))
+            )
+            by_vote[1] = max(0.0, math.log(on_good / on_bad))
+            by_vote[-1] = min(0.0, math.log((1 - on_good) / (1 - on_bad)))
+        logits = [prior + sum(odds[j][v] for j, v in enumerate(votes)) for votes, _ in patterns]
         good = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in logits]
-    return _logit(SHARE_GOOD), odds
+    return prior, odds
 
 
 def fit(votes: DataFrame) -> tuple[float, list[dict[int, float]]]:
