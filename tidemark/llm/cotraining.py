@@ -125,7 +125,8 @@ def views(docs: DataFrame, labels: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     seen = inputs.mapInArrow(_featured, f"doc_id {id_type}, word binary, shape binary, meta binary")
     once = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.min(c).cast("int").alias(c) for c in LABELS))
-    joined = seen.join(once, "doc_id", "left").select(
+    # Labels grow with the documents, so the join is shuffled at every size.
+    joined = seen.join(once.hint("merge"), "doc_id", "left").select(
         "doc_id",
         *BITS,
         *(F.coalesce(c, F.lit(-1)).alias(c) for c in LABELS),
