@@ -144,3 +144,23 @@ def test_nothing_runs_until_the_rows_are_wanted(spark):
         assert not tracker.getJobIdsForGroup(group)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_keys_with_few_right_rows_are_joined_without_windows(spark):
+    left, right = sample(6, 300, 40, 50, 0.0)
+    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner")
+    assert sorted(tuple(r) for r in joined.collect()) == brute_force(left, right)
+    ran = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in ran and "Window" not in ran
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_keys_with_few_and_with_many_right_rows_together(spark, monkeypatch, how):
+    monkeypatch.setattr(asof, "FEW_ROWS", 15)
+    monkeypatch.setattr(asof, "BUSY_HASHES", 11)
+    left, right = sample(7, 400, 400, 60, 0.2)
+    joined = asof_join(*frames(spark, left, right), ["k"], "t", "start", "owner", how=how, part_rows=30)
+    owned = brute_force(left, right)
+    met = {o[:3] for o in owned}
+    missing = [(*x, None, None) for x in left if x not in met] if how == "left" else []
+    assert rows(joined) == sorted(owned + missing, key=lambda t: [(x is None, str(x)) for x in t])

@@ -1,6 +1,9 @@
 """As-of join: each left row meets the latest right row of its key that is not later.
 
-One lazy plan for any number of rows per key:
+One lazy plan for any number of rows per key. Where a key has few right rows, as a stage that
+few jobs list, they become one short array, which the left rows of the key meet in one join;
+each takes the last entry that is not later. Keys with more are found by the number of their
+right rows and marked by a bounded number of hashes; all rows of such a hash go another way:
 
 1. Left rows are reduced to the different (key, time) they have and right rows to the best of
    each (key, time), in one aggregation. However many rows share an instant, it is one row.
@@ -12,7 +15,8 @@ One lazy plan for any number of rows per key:
 4. The left rows are joined to their instants. Of an instant that a large share of them has,
    Spark splits the left rows over tasks by its handling of skewed joins.
 
-Left rows are shuffled once, for the last join, and carry nothing through the others.
+Left rows are shuffled once either way: for the first join, or for the last one, and carry
+nothing through the others. Where no key has many right rows, nothing is read for the second way.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 #: Sampled instants for each part of a cut key.
 CUT_SAMPLE = 200
+#: Right rows of a key that one array holds.
+FEW_ROWS = 32
+#: Hashes by which keys with more are marked; at most so many short rows are broadcast.
+BUSY_HASHES = 1 << 16
 
 
 def asof_join(
@@ -44,6 +52,64 @@ def asof_join(
     are the instants of a key that one task takes, ``HOT_ROWS`` by default.
     """
     extra = [name for name in right.columns if name not in on]
+    kept, matched = left, right
+    for name in [*on, right_time]:
+        matched = matched.where(F.col(f"`{name}`").isNotNull())
+    if how != "left":
+        for name in [*on, left_time]:
+            kept = kept.where(F.col(f"`{name}`").isNotNull())
+    # At most BUSY_HASHES rows of one number.
+    busy = F.broadcast(_busy_hashes(matched, on))
+
+    def rows(of: DataFrame, side: str) -> DataFrame:
+        return of.join(busy, _hash(on) == F.col("_busy"), side)
+
+    few = _from_few(rows(kept, "left_anti"), rows(matched, "left_anti"), on, left_time, right_time, right_tie, extra, how)
+    many = _from_many(
+        rows(kept, "left_semi"), rows(matched, "left_semi"), on, left_time, right_time, right_tie, extra, how, part_rows
+    )
+    return few.unionByName(many)
+
+
+def _hash(on: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in on]), F.lit(BUSY_HASHES)).cast("int")
+
+
+def _busy_hashes(right: DataFrame, on: list[str]) -> DataFrame:
+    """The hashes of the keys that have more than FEW_ROWS right rows."""
+    counts = right.groupBy(*[F.col(f"`{name}`") for name in on]).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > FEW_ROWS).select(_hash(on).alias("_busy")).distinct()
+
+
+def _from_few(left, right, on, left_time, right_time, right_tie, extra, how) -> DataFrame:
+    """The join where each key has at most FEW_ROWS right rows, as an array in order of time."""
+    tie = F.struct(F.col(f"`{right_tie}`") if right_tie else F.lit(0))
+    row = F.struct(*[F.col(f"`{name}`") for name in extra])
+    keys = [F.col(f"`{name}`") for name in on]
+    order = F.struct(F.col(f"`{right_time}`").alias("time"), tie.alias("tie"))
+    entries = right.select(*keys, F.struct(order.alias("at"), row.alias("row")).alias("_entry"))
+    # The hash in the key keeps this partitioning from that of the join, so that Spark may split
+    # a key with many left rows over tasks.
+    arrays = entries.groupBy(*keys, _hash(on).alias("_busy")).agg(F.collect_list("_entry").alias("_entries"))
+
+    def earlier(a: Column, b: Column) -> Column:
+        return F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+
+    owners = arrays.select(*keys, F.array_sort("_entries", earlier).alias("_entries"))
+    here, there = left.alias("l"), owners.alias("f")
+    match = [F.col(f"l.`{name}`") == F.col(f"f.`{name}`") for name in on]
+    until = F.filter("f._entries", lambda e: e["at"]["time"] <= F.col(f"l.`{left_time}`"))
+    # A generator, through which no filter on the entry is moved below the join.
+    joined = here.join(there, match, how).select(
+        *[F.col(f"l.`{name}`") for name in left.columns], F.explode_outer(F.slice(until, -1, 1)).alias("_entry")
+    )
+    if how != "left":
+        joined = joined.where(F.col("_entry").isNotNull())
+    return joined.select(*[F.col(f"`{name}`") for name in left.columns], *[F.col(f"_entry.row.`{name}`") for name in extra])
+
+
+def _from_many(left, right, on, left_time, right_time, right_tie, extra, how, part_rows) -> DataFrame:
+    """The join for any number of right rows, by instants."""
     found = _owners_of_instants(left, right, on, left_time, right_time, right_tie, extra, part_rows)
     here, there = left.alias("l"), found.alias("f")
     match = [F.col(f"l.`{name}`") == F.col(f"f.`{name}`") for name in on]

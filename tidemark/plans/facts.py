@@ -157,7 +157,7 @@ def order_feed(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.max("finish").alias("completed"),
         F.bool_and("ended").alias("ended"),
     )
-    listed = stages.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last_line"))
+    listed = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last_line"))
     jobs = orders.join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
     app_event = orders.agg(F.min(millis(F.col("o_orderdate"))).alias("Timestamp")).select(

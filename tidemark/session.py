@@ -34,11 +34,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows computed once and kept in the shared folder, for results used several times."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_shared_root(df.sparkSession))
-    return df.checkpoint()
+    """The rows computed once and kept in the shared folder, for results used several times.
+
+    Parquet rather than a checkpoint of Spark's rows, which takes several times the disk.
+    """
+    path = shared_dir(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _shared_root(spark: SparkSession) -> str:
