@@ -84,3 +84,13 @@ def test_generations_keep_few_folders(spark, tmp_path):
             generations.forget(spark, table, n)
         assert rows(generations.read(spark, table, "id long")) == sorted([(i,) for i in range(n + 1)], key=str)
     assert len(list(Path(table).iterdir())) <= 8
+
+
+def test_a_batch_is_not_cached(spark, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a cached batch takes more disk than its sums")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", refuse)
+    store = str(tmp_path / "store")
+    batches(spark, tmp_path, store, [[job_start(1, [1], 10), submitted(1, 2, 11)]])
+    assert I.tracked_progress(spark, store).count() == 1

@@ -73,12 +73,9 @@ def known_jobs(spark: SparkSession, store: str, upto: int | None = None) -> Data
 def add_batch(events: DataFrame, store: str, number: int) -> None:
     """Adds the events of one batch; the same number again replaces them."""
     spark = events.sparkSession
-    kept = events.persist()
-    try:
-        generations.write(job_changes(kept), f"{store}/jobs", "batch", number)
-        generations.write(stage_and_task_events(kept), f"{store}/rows", "batch", number)
-    finally:
-        kept.unpersist()
+    # The logs are read twice: kept in between, they would take more disk than the store.
+    generations.write(job_changes(events), f"{store}/jobs", "batch", number)
+    generations.write(stage_and_task_events(events), f"{store}/rows", "batch", number)
     rows = spark.read.schema(_ROWS).parquet(f"{store}/rows/batch={number}")
     owners = stage_listings(known_jobs(spark, store, number)).drop("position")
     # Events of one instant have one owner, so they are summed before they are shuffled.
