@@ -117,3 +117,27 @@ def test_the_join_forgets_what_is_over(spark, feed):
         sizes.append(held(run(S.owned_stream, events, delay="100 milliseconds", horizon="500 milliseconds")))
     assert max(sizes[3:]) <= max(sizes[:3]) < 60
     assert owned(spark, out) == in_batch(spark, folder)
+
+
+def test_many_stages_share_a_bucket(spark, feed):
+    run, _, out = feed
+    options = {"delay": "20 milliseconds", "idle": 1000, "buckets": 4}
+    some = [e for k in range(1, 41) for e in stage(k, 1000, ends=k % 2 == 0)]
+    assert held(run(S.closed_stages, some, **options)) <= 4
+    run(S.closed_stages, stage(50, 1500), **options)
+    assert S.closed_stage_rows(spark, out).count() == 20
+    run(S.closed_stages, stage(51, 3000), **options)
+    found = rows(S.closed_stage_rows(spark, out), "stage_id", "tasks_started", "tasks_complete", "tasks_failed", "complete")
+    want = [(k, 2, 2, 1, True) if k % 2 == 0 else (k, 2, 0, 0, False) for k in range(1, 41)]
+    assert found == sorted([*want, (50, 2, 2, 1, True)], key=lambda t: [(False, str(x)) for x in t])
+
+
+def test_the_join_keeps_no_state_store_and_few_rows(spark, feed, tmp_path):
+    run, folder, out = feed
+    for k in range(1, 4):
+        events = [job_start(k, [k], 1000 * k), *stage(k, 1000 * k + 5, tasks=5)]
+        assert held(run(S.owned_stream, events, delay="100 milliseconds", horizon="500 milliseconds")) == 0
+    state = tmp_path / "checkpoint" / "open"
+    assert spark.read.parquet(str(state / "events" / "gen=2")).count() <= 12
+    assert rows(spark.read.parquet(str(state / "jobs" / "gen=2")), "job_id") == [(3,)]
+    assert owned(spark, out) == in_batch(spark, folder)

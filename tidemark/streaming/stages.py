@@ -6,10 +6,11 @@ older when it arrives may be left out, and what can no longer change leaves the
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,12 +26,12 @@ from tidemark.operators.progress import (
     of_kind,
     stage_and_task_events,
 )
+from tidemark.sources import generations
 from tidemark.streaming.events import AVAILABLE_NOW
 
 _SUMS = ["tasks_started", "tasks_complete", "tasks_failed"]
 _TOPS = ["num_tasks", "submitted", "complete", "last_event", "ended_at"]
 _PARTIAL = "app_id string, stage_id long, " + ", ".join(f"{n} long" for n in [*_SUMS, *_TOPS])
-_STATE = ", ".join(f"{n} long" for n in [*_SUMS, *_TOPS])
 
 
 def happened(events_of_stages: DataFrame) -> DataFrame:
@@ -68,32 +69,24 @@ def _partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _closing(idle: int):
-    """Keeps a stage's counters until the watermark passes its end, or its silence is too long."""
-
-    def closed(key: tuple, now: list[int]) -> pd.DataFrame:
-        names = [*_SUMS, *_TOPS]
-        return pd.DataFrame([[*key, *now]], columns=["app_id", "stage_id", *names])
+    """Keeps the counters of a bucket's stages until the watermark passes a stage's end, or its silence is too long."""
+    names = ["app_id", "stage_id", *_SUMS, *_TOPS]
+    how = dict.fromkeys(_SUMS, "sum") | dict.fromkeys(_TOPS, "max")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = list(state.get) if state.exists else [0] * len(_SUMS) + [0, 0, 0, -1, -1]
-        if state.hasTimedOut:
+        held = [pickle.loads(state.get[0])] if state.exists else []
+        arrived = [] if state.hasTimedOut else [frame[names] for frame in frames]
+        now = pd.concat([*held, *arrived], ignore_index=True)
+        now = now.groupby(["app_id", "stage_id"], as_index=False, dropna=False, sort=False).agg(how)
+        due = now["ended_at"].where(now["complete"] > 0, now["last_event"] + idle)
+        over = due < state.getCurrentWatermarkMs()
+        rest = now[~over]
+        if len(rest):
+            state.update((pickle.dumps(rest),))
+            state.setTimeoutTimestamp(int(due[~over].min()))
+        elif state.exists:
             state.remove()
-            yield closed(key, now)
-            return
-        for frame in frames:
-            sums, tops = frame[_SUMS].sum(), frame[_TOPS].max()
-            now = [n + int(sums[c]) for n, c in zip(now, _SUMS, strict=False)] + [
-                max(n, int(tops[c])) for n, c in zip(now[len(_SUMS) :], _TOPS, strict=True)
-            ]
-        complete, last, ended = now[-3:]
-        due, watermark = ended if complete else last + idle, state.getCurrentWatermarkMs()
-        if due < watermark:
-            if state.exists:
-                state.remove()
-            yield closed(key, now)
-        else:
-            state.update(tuple(now))
-            state.setTimeoutTimestamp(due)
+        yield now[over]
 
     return step
 
@@ -105,20 +98,26 @@ def closed_stages(
     delay: str = "1 hour",
     idle: int = 7 * 24 * 3_600_000,
     trigger=AVAILABLE_NOW,
+    buckets: int = 4096,
 ) -> StreamingQuery:
     """Appends each stage once it can no longer change; see :func:`closed_stage_rows`.
 
     A stage closes when the watermark is past its completion, or ``idle`` milliseconds past
     the last event of one that never completes (its application died). Its state is removed
     then, so the store holds the open stages only. Events without a stage or time are left out.
+
+    Stages are looked after in ``buckets`` by hash, of which a task takes all stages at once:
+    a call of Python per stage took far longer than its work. The number must stay as it is
+    as long as the checkpoint is used.
     """
     rows = happened(of_kind(events, STAGE_SUBMITTED, STAGE_COMPLETED, TASK_START, TASK_END))
     known = stage_and_task_events(rows, "happened").where("stage_id IS NOT NULL AND happened IS NOT NULL")
     columns = ("app_id", "stage_id", "kind", "happened", "num_tasks", "task_failed")
     partial = known.select(*columns).mapInPandas(_partials, _PARTIAL)
     timed = partial.withColumn("event_time", F.timestamp_millis("last_event")).withWatermark("event_time", delay)
-    closed = timed.groupBy("app_id", "stage_id").applyInPandasWithState(
-        _closing(idle), _PARTIAL, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64("app_id", "stage_id"), F.lit(buckets)))
+    closed = dealt.groupBy("bucket").applyInPandasWithState(
+        _closing(idle), _PARTIAL, "stages binary", "append", GroupStateTimeout.EventTimeTimeout
     )
     writer = closed.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(**trigger).start(out)
@@ -146,6 +145,11 @@ def _listings(events: DataFrame) -> DataFrame:
     )
 
 
+_WAITING = "app_id string, stage_id long, kind string, at long, num_tasks long, task_id long, task_failed boolean, event_time timestamp"
+_OPEN = "_app string, job_id long, job_started timestamp, _stage long"
+_NEWEST = "event timestamp, job timestamp"
+
+
 def owned_stream(
     events: DataFrame,
     out: str,
@@ -157,33 +161,67 @@ def owned_stream(
     """Appends each stage and task event with the jobs that may own it; see :func:`owned_states`.
 
     An interval join of two streams: a job that lists the stage owns an event from its start
-    until ``horizon`` later. Each side waits in the state store for the other, so an event that
-    arrives before the start of its job finds it in a later batch. A job leaves the store when
-    the watermark is past its horizon, an event when it is past the event.
+    until ``horizon`` later. Each batch joins its events with all open jobs and its jobs with
+    the events that wait, so an event that arrives before the start of its job finds it in a
+    later batch. The watermark trails the newest event or job, whichever is older, by
+    ``delay``; what is not later than it when it arrives is left out. A job is closed when the
+    watermark is past its horizon, and an event waits no longer when it is past the event.
+
+    What is open is kept as tables in the checkpoint, as few bytes per row, and not in a state
+    store, which held every event of a batch several times.
     """
-    rows = stage_and_task_events(events).withColumn("event_time", F.timestamp_millis("at"))
-    rows = rows.withWatermark("event_time", delay)
-    jobs = _listings(events).withWatermark("job_started", delay)
+    state = f"{checkpoint}/open"
     met = (
         (F.col("app_id") == F.col("_app"))
         & (F.col("stage_id") == F.col("_stage"))
         & (F.col("event_time") >= F.col("job_started"))
         & (F.col("event_time") <= F.col("job_started") + F.expr(f"INTERVAL {horizon}"))
     )
-    writer = rows.join(jobs, met).drop("_app", "_stage").writeStream.format("parquet")
-    writer = writer.option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(**trigger).start(out)
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = generations.read(spark, f"{state}/newest", _NEWEST, number - 1)
+        mark = _watermark(newest, delay)
+        rows = stage_and_task_events(batch).withColumn("event_time", F.timestamp_millis("at"))
+        generations.write(rows.where(F.col("event_time") > mark), f"{state}/events", "batch", number)
+        generations.write(_listings(batch).where(F.col("job_started") > mark), f"{state}/jobs", "batch", number)
+        rows = spark.read.schema(_WAITING).parquet(f"{state}/events/batch={number}")
+        jobs = spark.read.schema(_OPEN).parquet(f"{state}/jobs/batch={number}")
+        waiting = generations.read(spark, f"{state}/events", _WAITING, number - 1)
+        # Not as of this batch, which may have run before up to its end.
+        known = generations.read(spark, f"{state}/jobs", _OPEN, number - 1).unionByName(jobs)
+        found = rows.join(known, met).unionByName(waiting.join(jobs, met)).drop("_app", "_stage")
+        generations.write(found, out, "batch", number)
+        seen = rows.select(F.max("event_time").alias("event")).join(jobs.select(F.max("job_started").alias("job")))
+        newest = newest.unionByName(seen).agg(F.max("event").alias("event"), F.max("job").alias("job"))
+        generations.write(newest, f"{state}/newest", "gen", number)
+        mark = _watermark(generations.read(spark, f"{state}/newest", _NEWEST, number), delay)
+        generations.write(waiting.unionByName(rows).where(F.col("event_time") > mark), f"{state}/events", "gen", number)
+        ends = F.col("job_started") + F.expr(f"INTERVAL {horizon}")
+        generations.write(known.where(ends > mark), f"{state}/jobs", "gen", number)
+        for table in ("newest", "events", "jobs"):
+            generations.forget(spark, f"{state}/{table}", number)
+
+    writer = events.writeStream.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(add).trigger(**trigger).start()
+
+
+def _watermark(newest: DataFrame, delay: str) -> Column:
+    """``delay`` before the older of the newest event and the newest job start."""
+    older = F.when(F.col("event").isNotNull() & F.col("job").isNotNull(), F.least("event", "job"))
+    row = newest.select(F.unix_millis(older - F.expr(f"INTERVAL {delay}")).alias("mark")).first()
+    return F.timestamp_millis(F.lit(max(0, (row and row["mark"]) or 0)))
 
 
 def owned_states(spark: SparkSession, out: str, counters: list[Column]) -> DataFrame:
     """The counters per job and stage, each event counted for its latest job only.
 
     Where several jobs list a stage, an event was written once for each of them that had
-    started; copies of one event are counted apart before the latest is taken.
+    started. All events of a stage at one time have the same jobs, so the latest one is found
+    by time. Events are shuffled once, by stage.
     """
-    rows = spark.read.parquet(out)
-    event = [*LISTED, "kind", "at", "num_tasks", "task_id", "task_failed"]
-    copies = rows.groupBy(*event, "job_id", "job_started").agg(F.count(F.lit(1)).alias("copies"))
-    latest = copies.groupBy(*event).agg(F.max(F.struct("job_started", "job_id", "copies")).alias("_last"))
-    owned = latest.select(*event, "_last.job_id", F.explode(F.sequence(F.lit(1).cast("long"), "_last.copies")))
+    rows = spark.read.parquet(*generations.current(spark, out)).repartition(*LISTED)
+    last = F.struct("job_started", "job_id")
+    latest = F.max(last).over(Window.partitionBy(*LISTED, "at"))
+    owned = rows.withColumn("_last", latest).where(F.col("_last").eqNullSafe(last))
     return owned.groupBy(*STAGE).agg(*counters)
