@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tidemark.plans import table_queries
 from tidemark.plans.oracles import ORACLES
 from tidemark.plans.table_queries import QUERIES
+from tidemark.session import checkpointed
+from tidemark.sources.event_log import read_events
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {
@@ -94,3 +97,20 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(driver.queries()["history_running"](spark, SF))
     assert "In(event_type, [purchase,signup])" in text
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in text
+
+
+def test_texts_are_split_once_for_ranks_and_positions(spark):
+    for name in ("many_keywords_per_source", "keyword_text_positions"):
+        assert "explode" not in plan(driver.queries()[name](spark, SF))
+
+
+def test_logs_of_the_feed_are_packed(spark):
+    path = table_queries._feed_files(spark, SF)
+    files = [f for f in os.listdir(path) if not f.startswith((".", "_"))]
+    assert files and all(f.endswith(".json.lz4") for f in files)
+    assert read_events(spark, path, "a").count() == table_queries._feed(spark, SF).count()
+
+
+def test_kept_rows_are_parquet(spark):
+    kept = checkpointed(spark.range(5))
+    assert kept.count() == 5 and all(f.endswith(".parquet") for f in kept.inputFiles())

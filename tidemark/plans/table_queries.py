@@ -16,7 +16,7 @@ from tidemark.plans.facts import APP, WORDS, table, with_app
 from tidemark.plans.reports import tag_text_mentions
 from tidemark.plans.scripts import load_result, run_script, run_statement, save_result
 from tidemark.schemas import HISTORY, SENTIMENT_POST, TONE_POST
-from tidemark.session import shared_dir
+from tidemark.session import checkpointed, shared_dir
 from tidemark.sources.delimited import append_records, as_strings, save_sorted_csv
 from tidemark.sources.event_log import follow_logs, read_events, stream_events, write_events
 from tidemark.sources.posts import read_posts
@@ -113,7 +113,8 @@ def top_keywords_per_source(spark, sf_dir):
 
 
 def many_keywords_per_source(spark, sf_dir):
-    return K.top_per_region(_by_source(spark, sf_dir), 5000, "source")
+    # Ranking reads the counts several times, so the texts are split once before it.
+    return K.top_per_region(checkpointed(_by_source(spark, sf_dir)), 5000, "source")
 
 
 def keyword_value_runs(spark, sf_dir):
@@ -124,7 +125,8 @@ def keyword_value_runs(spark, sf_dir):
 def keyword_text_positions(spark, sf_dir):
     """Where each run of a word stands in the text that all words of a source make."""
     rows = facts.document_words(table(spark, sf_dir, "documents"), "source")
-    runs = K.value_runs(rows, "source", "hashtag")
+    # Positions read the runs several times, so the texts are split once before it.
+    runs = checkpointed(K.value_runs(rows, "source", "hashtag"))
     return K.run_positions(runs, "source", "hashtag")
 
 
@@ -340,8 +342,9 @@ def feed_progress(spark, sf_dir):
 
 
 def _feed_files(spark, sf_dir):
+    """The feed as logs of bounded length; packed, since JSON takes many times the disk of its tables."""
     path = shared_dir(spark, "feed")
-    _feed(spark, sf_dir).write.json(path)
+    _feed(spark, sf_dir).write.option("compression", "lz4").option("maxRecordsPerFile", 2_000_000).json(path)
     return path
 
 
@@ -386,7 +389,7 @@ def followed_log_progress(spark, sf_dir):
 def tracked_progress_stream(spark, sf_dir):
     """The feed in several batches, the sums of which are merged on the way."""
     path = _feed_files(spark, sf_dir)
-    files = len([f for f in spark.read.text(path).inputFiles() if f.endswith(".json")])
+    files = len([f for f in spark.read.text(path).inputFiles() if ".json" in f])
     events = stream_events(spark, path, APP, files_per_trigger=max(1, -(-files // 3)))
     store, checkpoint = shared_dir(spark, "tracked"), shared_dir(spark, "checkpoint")
     increments.track(events, store, checkpoint, every=2).awaitTermination()
