@@ -71,13 +71,13 @@ def _partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _closing(idle: int):
     """Keeps the counters of a bucket's stages until the watermark passes a stage's end, or its silence is too long."""
     names = ["app_id", "stage_id", *_SUMS, *_TOPS]
-    how = dict.fromkeys(_SUMS, "sum") | dict.fromkeys(_TOPS, "max")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [pickle.loads(state.get[0])] if state.exists else []
-        arrived = [] if state.hasTimedOut else [frame[names] for frame in frames]
-        now = pd.concat([*held, *arrived], ignore_index=True)
-        now = now.groupby(["app_id", "stage_id"], as_index=False, dropna=False, sort=False).agg(how)
+        now = pickle.loads(state.get[0]) if state.exists else None
+        if not state.hasTimedOut:
+            arrived = pd.concat([*([] if now is None else [now]), *(frame[names] for frame in frames)], ignore_index=True)
+            stages = arrived.groupby(["app_id", "stage_id"], dropna=False, sort=False)
+            now = pd.concat([stages[_SUMS].sum(), stages[_TOPS].max()], axis=1).reset_index()
         due = now["ended_at"].where(now["complete"] > 0, now["last_event"] + idle)
         over = due < state.getCurrentWatermarkMs()
         rest = now[~over]
@@ -98,7 +98,7 @@ def closed_stages(
     delay: str = "1 hour",
     idle: int = 7 * 24 * 3_600_000,
     trigger=AVAILABLE_NOW,
-    buckets: int = 4096,
+    buckets: int = 1024,
 ) -> StreamingQuery:
     """Appends each stage once it can no longer change; see :func:`closed_stage_rows`.
 
