@@ -325,6 +325,19 @@ def test_token_shards_equal_whole_texts(spark):
     assert found == want
 
 
+def test_words_of_letters_are_encoded_between_spaces_and_without_offsets(monkeypatch):
+    encoder = shards.Encoder(shards.tokenizer_path(), 2)
+    texts = [
+        "plain Words, ünd Straße Σας ΑΣ 中文 한국어 \u1112\u1161\u11ab ａｂ ﬁ ǅ ª don't x9 <|endoftext|> a<|endoftext|>b</w> w>",
+        *("İ x İstanbul", "i\u0307 e\u0301 \u0301", "\U0001d400\u2f00 \u212b", " ".join(f"{a}{b}{a}ly" for a in "qwxyz" for b in "aeiou")),
+    ]
+    seen, ids_of = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: seen.append(text) or ids_of(text))
+    found = [np.frombuffer(data, "<u2").tolist() for data in encoder.encode(texts)]
+    assert encoder.by_piece and found == encoded(texts)
+    assert any("qaqly" in text and encoder.bar not in text for text in seen)
+
+
 def test_token_shards_of_repeated_null_and_odd_rows(spark, uneven):
     odd = ["a\x1cb\x85c d é ́x Σας İ <|endoftext|>x <|startoftext|> 's don't\r\n\t...", "x" * 300_000, "中文 " * 1000, "  \n ", "", None]
     rows = [(i, t) for i, t in enumerate(odd)] + [(3, "again"), (None, "no id"), (None, None), (-7, "below")] + [(50, "same text")] * 30 + [(50, f"other {i}") for i in range(30)]

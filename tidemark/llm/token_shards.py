@@ -104,7 +104,8 @@ class Encoder:
 
     Pieces stand between spaces and line feeds; one that ends with a letter and one mark is two,
     and a capital before a letter is taken as small. A tokenizer that does not split there, drop
-    the space and lower the case, as probes show, gets whole texts.
+    the space and lower the case, as probes show, gets whole texts. New words of letters are
+    encoded in one text between spaces where the tokenizer marks the ends of words.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -116,23 +117,49 @@ class Encoder:
         self.bar_id, self.bar = special[0] if special else (None, None)
         probes = [" Ab  c.\nDe,\n\n", "ab c. de,", "ab", "c", ".", "de", ","]
         ids = [self._ids(probe).tolist() for probe in probes]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)]) if suffix else None
         self.by_piece = bool(special) and ids[0] == ids[1] == sum(ids[2:], [])
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        # The same ids as those of encode, without the offsets into the text.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _apart(self, words: list[str]) -> dict[str, bytes] | None:
+        """The ids of words of letters, encoded as one text: each ends with its only id that ends a word.
+
+        None if the tokenizer has no such ids or makes more than one word of one of them.
+        """
+        if self.ends is None:
+            return None
+        ids = self._ids(" ".join(words))
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+        if len(stops) != len(words):
+            return None
+        data = ids.tobytes()
+        return {word: data[a:b] for word, a, b in zip(words, [0, *stops], stops, strict=False)}
+
+    def _between_bars(self, parts: list[str]) -> dict[str, bytes]:
+        ids = self._ids(self.bar.join(parts))
+        bars = np.flatnonzero(ids == self.bar_id) * self.width
+        data = ids.tobytes()
+        starts = [0, *(bars + self.width).tolist()]
+        return {part: data[a:b] for part, a, b in zip(parts, starts, [*bars.tolist(), len(data)], strict=True)}
 
     def _learn(self, pieces: set[str]) -> None:
-        parts = {piece: _parts(piece) for piece in pieces}
-        new = list({part for split in parts.values() for part in split}.difference(self.known))
-        plain = [part for part in new if self.bar not in part]
+        # Small letters alone have no parts.
+        words = [piece for piece in pieces if piece.isalpha() and piece[0] > "Z"]
+        parts = {piece: _parts(piece) for piece in pieces.difference(words)}
+        others = {part for split in parts.values() for part in split}.difference(self.known, words)
+        words += [part for part in others if part.isalpha()]
+        for low in range(0, len(words), 1000):
+            some = words[low : low + 1000]
+            self.known.update(self._apart(some) or self._between_bars(some))
+        plain = [part for part in others if not part.isalpha() and self.bar not in part]
         for low in range(0, len(plain), 1000):
-            some = plain[low : low + 1000]
-            ids = self._ids(self.bar.join(some))
-            bars = np.flatnonzero(ids == self.bar_id) * self.width
-            data = ids.tobytes()
-            starts = [0, *(bars + self.width).tolist()]
-            self.known.update((part, data[a:b]) for part, a, b in zip(some, starts, [*bars.tolist(), len(data)], strict=True))
-        for part in new:
+            self.known.update(self._between_bars(plain[low : low + 1000]))
+        for part in others:
             if self.bar in part:
                 self.known[part] = self._ids(part).tobytes()
         self.known.update((piece, b"".join(map(self.known.__getitem__, split))) for piece, split in parts.items() if len(split) != 1 or split[0] != piece)
