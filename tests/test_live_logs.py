@@ -1,5 +1,6 @@
 """Running logs as a stream: grow, roll, rename, restart, any place of a slice's end."""
 
+import gzip
 import io
 import json
 import random
@@ -10,6 +11,7 @@ from conftest import rows
 from test_progress import LOG
 
 from tidemark.operators import progress as P
+from tidemark.plans import table_queries
 from tidemark.sources import live_logs as L
 from tidemark.sources.event_log import follow_logs, stream_events
 from tidemark.streaming import events as S
@@ -137,3 +139,37 @@ def test_odd_logs_are_refused(tmp_path):
     with pytest.raises(ValueError, match="now has 5"):
         L.slices({"a": 9}, {"a": 5}, 10)
     assert [(s.log, s.start, s.end) for s in L.slices({"a": 3, "gone": 4}, {"a": 25, "b": 2}, 10)] == [("a", 3, 13), ("a", 13, 23), ("a", 23, 25), ("b", 0, 2)]
+
+
+@pytest.mark.parametrize("name", ["chunks", "members"])
+def test_packed_logs_cut_anywhere_give_each_line_once(monkeypatch, name):
+    rng = random.Random(3)
+    for chunk in (1, 7, 1 << 20):
+        monkeypatch.setattr(L, "_CHUNK", chunk)
+        monkeypatch.setattr(L, "_PACKED_CHUNK", max(3, chunk // 2))
+        for _ in range(20):
+            whole = [b"x" * rng.choice([0, 1, 5, 700]) + str(n).encode() for n in range(rng.randrange(9))]
+            text = [w + b"\n" for w in whole] + [b"rest"]
+            data = b"".join(gzip.compress(t) for t in text) + b"\0" * 3 if name == "members" else gzip.compress(b"".join(text))
+            cuts = sorted(rng.choices(range(len(data) + 1), k=rng.randrange(6)))
+            file = pa.PythonFile(io.BytesIO(data), mode="r")
+            found = [w for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True) for part in L.packed_lines(file, a, b) for w in part]
+            assert found == whole
+
+
+def test_packed_logs_are_followed(feed):
+    logs, ingested = feed
+    data = gzip.compress((line(1) + line(2) + line(3)).encode())
+    (logs / "app-1.gz.inprogress").write_bytes(data[:-9])
+    (logs / "app-2.gz").write_bytes(gzip.compress(line(9).encode()))
+    ingested()
+    (logs / "app-1.gz.inprogress").write_bytes(data + gzip.compress(line(4).encode()))
+    (logs / "app-1.gz.inprogress").rename(logs / "app-1.gz")
+    assert ingested(slice_bytes=5) == [("app-1", 1), ("app-1", 2), ("app-1", 3), ("app-1", 4), ("app-2", 9)]
+
+
+def test_query_of_followed_logs_writes_them_packed(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(table_queries, "follow_logs", lambda spark, path, app: seen.append(path) or follow_logs(spark, path, app))
+    assert table_queries.followed_log_progress(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 2 and all(name.endswith(".gz") for name in L.sizes(f"file:{seen[0]}"))

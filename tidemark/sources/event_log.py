@@ -47,7 +47,7 @@ def follow_logs(
     spark.dataSource.register(LiveLogs)
     reader = spark.readStream.format(FORMAT).option("sliceBytes", slice_bytes)
     lines = reader.load(qualified(spark, path))
-    of_log = F.regexp_replace("log", r"^(.*/)?(events_\d+_)?", "")
+    of_log = F.regexp_replace("log", r"^(.*/)?(events_\d+_)?|\.gz$", "")
     app = of_log if app_id is None else F.lit(app_id)
     events = lines.select(F.from_json("line", EVENT).alias("event"), app.alias("app_id"))
     return events.select("event.*", "app_id").where(F.col("Event").isNotNull())

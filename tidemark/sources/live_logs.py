@@ -9,11 +9,16 @@ A line belongs to the slice in which its line feed lies, so that slices may end
 within a line that is just being written. What stands behind the last line feed waits for it.
 A log that is gone is forgotten; one that became shorter is refused, since lines that were
 read may have changed.
+
+A log packed by gzip (``.gz``) may grow too, at its end, by bytes or members. Its offset counts
+packed bytes; what it grew by is one slice, for which the bytes before are unpacked again, so
+packed logs should be rolled. Other packings are refused.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -26,7 +31,10 @@ FORMAT = "tidemark_live_logs"
 RUNNING = ".inprogress"
 SLICE_BYTES = 64 << 20
 _CHUNK = 4 << 20
-_PACKED = re.compile(r"\.(zstd|lz4|lzf|snappy|gz)$")
+GZIP = ".gz"
+_PACKED = re.compile(r"\.(zstd|lz4|lzf|snappy)$")
+#: Packed bytes that are read at a time.
+_PACKED_CHUNK = 256 << 10
 
 
 class Slice(InputPartition):
@@ -46,7 +54,7 @@ def sizes(path: str) -> dict[str, int]:
             continue
         name = info.path.removeprefix(root).strip("/").removesuffix(RUNNING)
         if _PACKED.search(name):
-            raise ValueError(f"{name} is compressed; logs to be followed must not be")
+            raise ValueError(f"{name} is compressed; logs to be followed may only be by gzip")
         found[name] = max(found.get(name, 0), info.size)
     return found
 
@@ -58,7 +66,8 @@ def slices(start: dict[str, int], end: dict[str, int], size: int) -> list[Slice]
         at = start.get(log, 0)
         if to < at:
             raise ValueError(f"{log} had {at} bytes and now has {to}")
-        out += [Slice(log, low, min(low + size, to)) for low in range(at, to, size)]
+        step = max(1, to - at) if log.endswith(GZIP) else size
+        out += [Slice(log, low, min(low + step, to)) for low in range(at, to, step)]
     return out
 
 
@@ -86,6 +95,39 @@ def lines(file: pa.NativeFile, start: int, end: int) -> Iterator[list[bytes]]:
             yield whole
 
 
+def _unpacked(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[bool, bytes]]:
+    """The text of the first ``end`` packed bytes, and whether it took more than the first ``start``."""
+    unpack, at = None, 0
+    while at < end:
+        data = file.read_at(min(_PACKED_CHUNK, (start if at < start else end) - at), at)
+        if not data:
+            raise OSError(f"the log ended at byte {at} before {end}")
+        new, text = at >= start, b""
+        at += len(data)
+        # What was held back for its length comes out without further bytes.
+        while data or len(text) == _CHUNK:
+            if unpack is None:
+                # Zeros may stand behind a member.
+                data, text = data.lstrip(b"\0"), b""
+                if not data:
+                    break
+                unpack = zlib.decompressobj(31)
+            text = unpack.decompress(data, _CHUNK)
+            data = unpack.unconsumed_tail
+            yield new, text
+            if unpack.eof:
+                data, unpack = unpack.unused_data, None
+
+
+def packed_lines(file: pa.NativeFile, start: int, end: int) -> Iterator[list[bytes]]:
+    """The lines that the first ``end`` packed bytes hold beyond those of the first ``start``."""
+    rest = b""
+    for new, text in _unpacked(file, start, end):
+        *whole, rest = (rest + text).split(b"\n")
+        if new and whole:
+            yield whole
+
+
 class LiveLogReader(DataSourceStreamReader):
     def __init__(self, path: str, slice_bytes: int) -> None:
         self.path, self.slice_bytes = path, slice_bytes
@@ -111,7 +153,8 @@ class LiveLogReader(DataSourceStreamReader):
         if file is None:
             raise FileNotFoundError(f"{partition.log} is gone before it was read")
         with file:
-            for whole in lines(file, partition.start, partition.end):
+            read = packed_lines if partition.log.endswith(GZIP) else lines
+            for whole in read(file, partition.start, partition.end):
                 text = [line.decode("utf-8", "replace") for line in whole]
                 yield pa.RecordBatch.from_arrays([pa.array([partition.log] * len(text), pa.string()), pa.array(text, pa.string())], names=["log", "line"])
 
