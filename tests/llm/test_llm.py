@@ -341,6 +341,29 @@ def test_gradients_and_probabilities(monkeypatch):
     assert abs(sum(np.exp(gru._output(params, state, np.array([t]), None)[0][0]) for t in range(11)) - 1) < 1e-6
 
 
+def test_output_takes_classes_together_and_bears_large_logits(monkeypatch):
+    rng = np.random.default_rng(4)
+    params = gru.initial(398, 16)
+    targets = np.append(np.repeat([5, 397], 900), rng.integers(0, 398, 600))
+    states = rng.normal(size=(len(targets), 16)).astype(np.float32)
+    calls, exp = [], gru._exp
+    monkeypatch.setattr(gru, "_exp", lambda x: calls.append(len(x)) or exp(x))
+    for scale in (1, 400):
+        p = {k: v * np.float32(scale) for k, v in params.items()}
+        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        logs, back = gru._output(p, states, targets, grads)
+        found, want = gru._output(p, states, targets, None)[0], []
+        for h, t in zip(states.astype(np.float64), targets, strict=True):
+            k, at = divmod(t, 20)
+            inside = (p["token_w"][k] @ h + p["token_b"][k])[: 398 - 20 * k]
+            by_class = h @ p["class_w"] + p["class_b"]
+            want.append(by_class[k] - np.logaddexp.reduce(by_class) + inside[at] - np.logaddexp.reduce(inside))
+        assert np.allclose(logs, want, atol=1e-3 * scale) and np.allclose(found, logs, atol=1e-3 * scale)
+        assert np.isfinite(back).all() and not grads["token_w"][-1, 18:].any()
+    # The classes, two frequent ones, and all others at once; not each of twenty.
+    assert len(calls) <= 4 * 4
+
+
 def test_lm_base_scores(docs):
     import zlib
 

@@ -19,6 +19,8 @@ HIDDEN = 16
 WINDOW = 32
 LANES = 256
 RATE = 0.008
+#: Logits of which single precision sums the powers of e without care.
+_SAFE = 80
 
 Params = dict[str, np.ndarray]
 
@@ -46,69 +48,119 @@ def initial(n_tokens: int, hidden: int = HIDDEN, seed: int = 3) -> Params:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return (np.tanh(x * np.float32(0.5)) + np.float32(1)) * np.float32(0.5)
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(x) in place, rows that may overflow or vanish less their maximum, each row's sum, and its log."""
+    shift = None
+    # Every row has a place that a token has, and what is below -_SAFE elsewhere does not count.
+    if not (x.max() < _SAFE and x[:, 0].min() > -_SAFE):
+        shift = x.max(axis=1)
+        x -= shift[:, None]
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    logs = np.log(sums)
+    return x, sums, logs if shift is None else logs + shift
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _shares(x: np.ndarray, own: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of the rows, in place, less 1 at ``own``; and the log of what stood there, one for each of ``own``."""
+    at = x[own]
+    x, sums, logs = _exp(x)
+    x /= sums[:, None]
+    x[own] -= 1
+    return x, at - logs[own[0]]
+
+
+def _valid(p: Params, n_tokens: int) -> np.ndarray:
+    """Log of 0 or 1 for the places of the last class that no token has."""
+    places = np.arange(p["token_b"].size).reshape(p["token_b"].shape)
+    return np.where(places < n_tokens, np.float32(0), np.float32(-1e9))
+
+
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... below each of the sizes, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _states(p: Params, inputs: np.ndarray, goes_on: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
-    """The states after every step, and what the way back needs."""
+    """The states after every step, and what the way back needs; within the steps lanes stand side by side."""
     hidden = state.shape[1]
     x = p["embed"][inputs]
-    from_x = x @ p["w"] + p["b"]
+    # Halved, as sigmoid(x) = (tanh(x / 2) + 1) / 2.
+    half = np.repeat(np.array([0.5, 1], p["w"].dtype), [2 * hidden, hidden])
+    from_x = np.matmul((p["w"] * half).T, x.transpose(0, 2, 1)) + (p["b"] * half)[:, None]
+    u, state = np.ascontiguousarray((p["u"] * half).T), np.ascontiguousarray(state.T)
     out, saved = np.empty((len(inputs), *state.shape), dtype=np.float32), []
     for t in range(len(inputs)):
-        state = state * goes_on[t][:, None]
-        from_h = state @ p["u"]
-        gates = _sigmoid(from_x[t, :, : 2 * hidden] + from_h[:, : 2 * hidden])
-        r, z = gates[:, :hidden], gates[:, hidden:]
-        n = np.tanh(from_x[t, :, 2 * hidden :] + r * from_h[:, 2 * hidden :])
-        saved.append((state, r, z, n, from_h[:, 2 * hidden :]))
-        state = n + z * (state - n)
+        state = state * goes_on[t]
+        from_h = u @ state
+        gates = from_x[t, : 2 * hidden] + from_h[: 2 * hidden]
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        r, z = gates[:hidden], gates[hidden:]
+        n = r * from_h[2 * hidden :]
+        n += from_x[t, 2 * hidden :]
+        np.tanh(n, out=n)
+        saved.append((state, r, z, n, from_h[2 * hidden :]))
+        state = state - n
+        state *= z
+        state += n
         out[t] = state
-    return out, saved, x
-
-
-def _valid(p: Params, n_tokens: int) -> np.ndarray:
-    """Log of 0 or 1 for the places of the last class that no token has."""
-    places = np.arange(p["token_b"].size).reshape(p["token_b"].shape)
-    return np.where(places < n_tokens, np.float32(0), np.float32(-1e9))
+    return np.ascontiguousarray(out.transpose(0, 2, 1)), saved, x
 
 
 def _output(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params | None) -> tuple[np.ndarray, np.ndarray]:
     """Log probability (e) of every target; with ``grads``, adds to them and gives the states' gradient."""
-    per_class = p["token_b"].shape[1]
-    classes, places = np.divmod(targets, per_class)
-    by_class = _log_softmax(states @ p["class_w"] + p["class_b"])
-    rows = np.arange(len(targets))
-    logs = by_class[rows, classes]
-    back = np.zeros_like(states) if grads is not None else states
-    if grads is not None:
-        d = np.exp(by_class)
-        d[rows, classes] -= 1
-        grads["class_w"] += states.T @ d
+    per_class, valid = p["token_b"].shape[1], _valid(p, len(p["embed"]))
+    if not len(targets):
+        return np.zeros(0, states.dtype), states
+    # By class, so that each class has its rows side by side.
+    order = np.argsort(targets // per_class, kind="stable")
+    classes, places = np.divmod(targets[order], per_class)
+    h_all, rows = states[order], np.arange(len(targets))
+    back, own = None, (rows, classes)
+    by_class = h_all @ p["class_w"] + p["class_b"]
+    if grads is None:
+        logs = by_class[own]
+        logs -= _exp(by_class)[2]
+    else:
+        d, logs = _shares(by_class, own)
+        grads["class_w"] += h_all.T @ d
         grads["class_b"] += d.sum(axis=0)
-        back += d @ p["class_w"].T
-    valid = _valid(p, len(p["embed"]))
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(len(p["token_b"]) + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[k] : cuts[k + 1]]
-        h = states[at]
-        inside = _log_softmax(h @ p["token_w"][k].T + p["token_b"][k] + valid[k])
-        own = np.arange(len(at)), places[at]
-        logs[at] += inside[own]
-        if grads is not None:
-            d = np.exp(inside)
-            d[own] -= 1
-            grads["token_w"][k] += d.T @ h
-            grads["token_b"][k] += d.sum(axis=0)
-            back[at] += d @ p["token_w"][k]
-    return logs, back
+        back = d @ p["class_w"].T
+    counts = np.bincount(classes, minlength=len(p["token_b"]))
+    cuts = np.append(0, np.cumsum(counts))
+    # Classes of few rows are taken together, filled up to like length; the others one by one.
+    together = np.flatnonzero((counts > 0) & (counts <= len(targets) / len(counts)))
+    for some in [together, *(np.array([k]) for k in np.flatnonzero(counts > len(targets) / len(counts)))]:
+        if not len(some):
+            continue
+        size = counts[some]
+        at = np.repeat(cuts[some], size) + _ranges(size)
+        group, place = np.repeat(np.arange(len(some)), size), _ranges(size)
+        h = np.zeros((len(some), int(size.max()), h_all.shape[1]), h_all.dtype)
+        h[group, place] = h_all[at]
+        token_w = p["token_w"][some]
+        x = np.matmul(h, token_w.transpose(0, 2, 1)) + (p["token_b"] + valid)[some][:, None]
+        x, own = x.reshape(-1, per_class), (group * h.shape[1] + place, places[at])
+        if grads is None:
+            logs[at] += x[own]
+            logs[at] -= _exp(x)[2][own[0]]
+        else:
+            d, inside = _shares(x, own)
+            logs[at] += inside
+            d = d.reshape(*h.shape[:2], per_class)
+            grads["token_w"][some] += np.matmul(d.transpose(0, 2, 1), h)
+            filled = (np.arange(h.shape[1]) < size[:, None]).astype(d.dtype)
+            grads["token_b"][some] += np.matmul(filled[:, None], d)[:, 0]
+            back[at] += np.matmul(d, token_w)[group, place]
+    found = np.empty_like(logs)
+    found[order] = logs
+    if back is None:
+        return found, states
+    to_states = np.empty_like(back)
+    to_states[order] = back
+    return found, to_states
 
 
 def window_gradient(
@@ -121,22 +173,29 @@ def window_gradient(
     logs, back = _output(p, states[mask], targets[mask], grads)
     to_state = np.zeros_like(states)
     to_state[mask] = back
-    to_x = np.zeros((*inputs.shape, 3 * hidden), dtype=np.float32)
-    after = np.zeros_like(state)
+    to_state = np.ascontiguousarray(to_state.transpose(0, 2, 1))
+    to_x = np.empty((len(inputs), 3 * hidden, inputs.shape[1]), dtype=np.float32)
+    to_h, after = np.empty_like(to_x), np.zeros_like(to_state[0])
     for t in range(len(inputs) - 1, -1, -1):
         before, r, z, n, h_n = saved[t]
         d = to_state[t] + after
         d_n = d * (1 - z) * (1 - n * n)
         d_z = d * (before - n) * z * (1 - z)
         d_r = d_n * h_n * r * (1 - r)
-        from_h = np.concatenate([d_r, d_z, d_n * r], axis=1)
-        to_x[t] = np.concatenate([d_r, d_z, d_n], axis=1)
-        grads["u"] += before.T @ from_h
-        after = (d * z + from_h @ p["u"].T) * goes_on[t][:, None]
-    flat = to_x.reshape(-1, 3 * hidden)
+        from_h = np.concatenate([d_r, d_z, d_n * r])
+        to_x[t] = from_h
+        to_x[t, 2 * hidden :] = d_n
+        to_h[t] = from_h
+        after = (d * z + p["u"] @ from_h) * goes_on[t]
+    held = np.stack([before for before, *_ in saved]).transpose(0, 2, 1).reshape(-1, hidden)
+    grads["u"] += held.T @ to_h.transpose(0, 2, 1).reshape(-1, 3 * hidden)
+    flat = to_x.transpose(0, 2, 1).reshape(-1, 3 * hidden)
     grads["w"] += x.reshape(-1, hidden).T @ flat
     grads["b"] += flat.sum(axis=0)
-    np.add.at(grads["embed"], inputs.reshape(-1), flat @ p["w"].T)
+    tokens = inputs.reshape(-1)
+    order = np.argsort(tokens, kind="stable")
+    known, starts = np.unique(tokens[order], return_index=True)
+    grads["embed"][known] += np.add.reduceat((flat @ p["w"].T)[order], starts)
     return -float(logs.sum()), grads, states[-1]
 
 

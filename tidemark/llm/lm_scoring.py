@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 def _tokens(text: bytes | None, ids: dict[bytes, int], other: int) -> np.ndarray:
     found = words(text)
-    return np.fromiter((ids.get(w, other) for w in found), dtype=np.int32, count=len(found))
+    return np.fromiter(map(ids.get, found, repeat(other)), dtype=np.int32, count=len(found))
 
 
 def _train(params: gru.Params, ids: dict[bytes, int], end: int, other: int):
@@ -104,45 +105,53 @@ def trained(train: DataFrame, ids: dict[bytes, int], end: int, other: int) -> gr
     return params
 
 
-def _score(params: gru.Params, ids: dict[bytes, int], end: int, other: int, counts: dict[bytes, int]):
-    """Rows of documents, keyed apart, and rows of the words whose counts the task does not know."""
+def _score(params: gru.Params, n_model: int, end: int, other: int, counts: dict[bytes, int]):
+    """Rows of documents, keyed apart, and rows of the words whose counts the task does not know.
+
+    The first ``n_model`` words of ``counts`` are those of the model.
+    """
     schema = pa.schema([("row", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("log_counts", pa.float64()), ("n_other", pa.int64()),
                         ("other_logs", pa.float64()), ("model", pa.float64())])
+    ends = counts.get(b"", 0)
+    place = {word: k for k, word in enumerate(w for w in counts if w)}
+    logs = np.log10(np.fromiter((counts[w] for w in place), dtype=np.float64, count=len(place)) + 1)
+    log_end = math.log10(ends + 1)
+
+    def batch_of(**columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
+        n = len(columns["row"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[f.name] if f.name in columns else np.zeros(n), f.type) for f in schema], schema=schema
+        )
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in schema.names}
-            docs = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, docs, sums = batch.column(0).to_pylist(), [], []
+            rare_rows, rare, times = [], [], []
+            for row, text in zip(rows, batch.column(1), strict=True):
                 found = words(text.as_py())
-                docs.append(np.fromiter((ids.get(w, other) for w in found), dtype=np.int32, count=len(found)))
-                known, log_counts, other_logs = 0, 0.0, 0.0
-                ends = counts.get(b"", 0)
-                if ends:
-                    known, log_counts = 1, math.log10(ends + 1)
-                for word, times in Counter(found).items():
-                    n = counts.get(word)
-                    if n is None:
-                        for name, value in zip(schema.names, (row, word.decode(), times, 0, 0, 0.0, 0, 0.0, 0.0), strict=True):
-                            out[name].append(value)
-                        continue
-                    known += times
-                    log_counts += times * math.log10(n + 1)
-                    if word not in ids:
-                        other_logs += times * math.log10(n + 1)
+                at = np.fromiter(map(place.get, found, repeat(-1)), dtype=np.int32, count=len(found))
+                docs.append(np.where((at >= 0) & (at < n_model), at, np.int32(other)))
+                unknown = at < 0
+                n_unknown = int(unknown.sum())
+                of_others = float(logs[at[at >= n_model]].sum())
+                of_model = float(logs[at[docs[-1] != other]].sum())
                 n_other = int((docs[-1] == other).sum())
-                whole = (row, f" {row}", 0, len(found) + 1, known, log_counts, n_other, other_logs, 0.0)
-                for name, value in zip(schema.names, whole, strict=True):
-                    out[name].append(value)
+                sums.append((len(found) + 1, len(found) - n_unknown + bool(ends), of_model + of_others + log_end, n_other, of_others))
+                if n_unknown:
+                    counted = Counter(compress(found, unknown.tolist()))
+                    rare_rows.extend(repeat(row, len(counted)))
+                    rare.extend(counted.keys())
+                    times.extend(counted.values())
+            if rare:
+                yield batch_of(row=rare_rows, word=pa.array(rare, pa.binary()).cast(pa.string()), times=times)
             if docs:
-                model = gru.scores(params, docs, end)
+                n_tokens, n_known, log_counts, n_other, other_logs = zip(*sums, strict=True)
                 # A document's own row is the one that counts its end.
-                at = np.flatnonzero(np.array(out["n_tokens"]) > 0)
-                values = np.zeros(len(out["row"]))
-                values[at] = model
-                out["model"] = values
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+                yield batch_of(
+                    row=rows, word=[f" {row}" for row in rows], n_tokens=n_tokens, n_known=n_known, log_counts=log_counts,
+                    n_other=n_other, other_logs=other_logs, model=gru.scores(params, docs, end),
+                )
 
     return of_batches
 
@@ -162,7 +171,7 @@ def scored(docs: DataFrame) -> DataFrame:
     known = {r["word"].encode(): r["n"] for r in top} | {b"": ends[0]["n"] if ends else 0}
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
     rows = numbered.select("row", "text").mapInArrow(
-        _score(params, ids, end, other, known),
+        _score(params, len(ids), end, other, known),
         "row bigint, word string, times bigint, n_tokens bigint, n_known bigint, log_counts double, n_other bigint, other_logs double, model double",
     )
     rare = counts.withColumnRenamed("n", "c")
