@@ -2,9 +2,11 @@
 
 A line is its set of distinct words; two lines are similar from a Jaccard similarity of
 0.8 on. Lines come in the order of doc_id, then place. Lines of equal sets form a class,
-its first line stands for it. Words are ordered by rarity: the corpus counts of
-``BUCKETS`` hash buckets of words, then the hash. Any one order keeps the join exact;
-rarity only makes it cheap, and buckets bound what each task must know of it.
+its first line stands for it. Words are ordered by rarity: the corpus counts of hash
+buckets of words, then the hash. Any one order keeps the join exact; rarity only makes it
+cheap. The buckets, a power of two from ``BUCKETS`` for few words to ``MOST_BUCKETS``,
+bound what each task must know of it; the more of them, the fewer rare words pass for
+frequent ones, and the fewer lines share a prefix word.
 
 Two similar sets share a word among the first of either (the prefix filter). Postings
 (word, class) of prefix words are joined under the length filter, the positional filter
@@ -13,7 +15,9 @@ are no more than the words that only one set has. What passes is verified on ful
 
 As removal needs one earlier match and not all of them, the postings of a word that has many
 are first compared with its earliest line of like length, which removes groups of near copies at a
-link per line; then what is left is compared with all earlier lines, removed or not.
+link per line; then what is left is compared with all lines, removed or not. Which classes are
+removed is marked once per class, before postings are made, and postings carry no places: which
+line of a pair is earlier is told when it is verified.
 
 Defined results: a null or blank line has no words, is never removed and never matches;
 null texts have no lines; rows alike in doc_id and text count as one row and fare alike;
@@ -26,16 +30,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_broadcast, let, stored, words_of
 
 PERCENT = 80
-BUCKETS = 8192
+BUCKETS, MOST_BUCKETS = 8192, 1 << 18
+#: Words of the corpus for each bucket beyond the first ``BUCKETS``, at least.
+WORDS_PER_BUCKET = 64
 _LEVELS = 127
 #: Postings of a word above which they are first compared with the earliest line of like length.
-HOT = 64
+HOT = 256
 
 
 def _row_key() -> Column:
@@ -50,14 +57,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"[^ \t-\r]"))
 
 
-def rarity(docs: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """For each hash bucket of words a level from 0 (rare) to 127 (frequent), by all documents."""
-    hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(buckets - 1)))
-    counts = docs.select(F.explode(hashed).alias("bucket")).groupBy("bucket").count().collect()
-    levels = [0] * buckets
-    for r in counts:
-        levels[r["bucket"]] = min(_LEVELS, int(3 * math.log2(r["count"] + 1)))
-    return levels
+def rarity(docs: DataFrame, buckets: int = BUCKETS, most: int = MOST_BUCKETS) -> list[int]:
+    """For each hash bucket of words a level from 0 (rare) to 127 (frequent), by all documents.
+
+    There are ``buckets`` of them, or up to ``most`` if the documents have many words.
+    """
+    most = max(buckets, most)
+    hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(most - 1)))
+    found = docs.select(F.explode(hashed).alias("bucket")).groupBy("bucket").count().toArrow()
+    counts = np.zeros(most, dtype=np.int64)
+    counts[found["bucket"].to_numpy()] = found["count"].to_numpy()
+    # A bucket of fewer takes the words of every so many of more.
+    while most > buckets and most * WORDS_PER_BUCKET > counts.sum():
+        most //= 2
+        counts = counts[:most] + counts[most:]
+    return [min(_LEVELS, int(3 * math.log2(n + 1))) for n in counts.tolist()]
 
 
 def _ordered(line: Column, levels: list[int]) -> Column:
@@ -86,6 +100,11 @@ def _parity(keys: Column, half: int) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(bit(k)))
 
 
+def _low_half(key: Column) -> Column:
+    """The lower 32 bits of a word's number, all of them from its hash."""
+    return F.shiftright(F.shiftleft(key, 32), 32).cast("int")
+
+
 def _classes(docs: DataFrame, levels: list[int], percent: int) -> tuple[DataFrame, DataFrame]:
     """All lines with the key of their class, and all classes with their first line and prefix."""
 
@@ -98,7 +117,7 @@ def _classes(docs: DataFrame, levels: list[int], percent: int) -> tuple[DataFram
             F.xxhash64(F.lit(1), keys).alias("k2"),
             _parity(keys, 0).alias("p1"),
             _parity(keys, 1).alias("p2"),
-            F.transform(F.slice(keys, F.lit(1), prefix), lambda k: F.shiftright(k, 32).cast("int")).alias("prefix"),
+            F.transform(F.slice(keys, F.lit(1), prefix), _low_half).alias("prefix"),
         )
 
     lines = stored(
@@ -126,55 +145,66 @@ def _allowed(x: str, y: str, percent: int) -> Column:
     )
 
 
-def _earlier(x: str, y: str) -> Column:
-    """Whether the class of x comes before that of y; ties of place are broken by the key."""
-    return F.struct(f"{x}doc_id", f"{x}line_no", f"{x}k1") < F.struct(f"{y}doc_id", f"{y}line_no", f"{y}k1")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """The pairs (early, late) of classes whose full sets are similar."""
-    named = stored(pairs.select(F.col("early").alias("k1")).union(pairs.select("late")).distinct(), "named")
-    places = stored(classes.join(named, "k1", "left_semi").select("k1", "k2", "place.row", "place.line_no"), "places")
+    """(early, late): the pairs (a, b) of classes whose full sets are similar, by their first lines.
+
+    Ties of place are broken by the key.
+    """
+    named = stored(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "named")
+    places = classes.join(bounded_broadcast(named), "k1", "left_semi")
+    places = stored(places.select("k1", "k2", "place.row", "place.doc_id", "place.line_no"), "places")
     rows = docs.join(places.select(F.col("row").alias("_row")).distinct(), _row_key() == F.col("_row"), "left_semi")
-    sets = _lines(rows).join(places, ["row", "line_no"]).select("k1", _ordered(F.col("line"), levels).alias("keys"))
-    sets = stored(sets.dropDuplicates(["k1"]), "sets")
-    both = F.size(F.array_intersect("of_early", "of_late"))
+    sets = _lines(rows).drop("doc_id").join(places, ["row", "line_no"])
+    place = F.struct("doc_id", "line_no", "k1").alias("place")
+    sets = stored(sets.select("k1", place, _ordered(F.col("line"), levels).alias("keys")).dropDuplicates(["k1"]), "sets")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    a_first = F.col("place_a") < F.col("place_b")
     return (
-        pairs.join(sets.select(F.col("k1").alias("early"), F.col("keys").alias("of_early")), "early")
-        .join(sets.select(F.col("k1").alias("late"), F.col("keys").alias("of_late")), "late")
-        .filter((100 + percent) * both >= percent * (F.size("of_early") + F.size("of_late")))
-        .select("early", "late")
+        pairs.join(sets.select(F.col("k1").alias("a"), F.col("place").alias("place_a"), F.col("keys").alias("of_a")), "a")
+        .join(sets.select(F.col("k1").alias("b"), F.col("place").alias("place_b"), F.col("keys").alias("of_b")), "b")
+        .filter((100 + percent) * both >= percent * (F.size("of_a") + F.size("of_b")))
+        .select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late"))
     )
 
 
+_POSTING = ["k1", "n", "p1", "p2", "i"]
+
+
+def _postings(classes: DataFrame, *more: str) -> DataFrame:
+    """A row for each prefix word of each class."""
+    return classes.select("k1", "n", "p1", "p2", *more, F.posexplode("prefix").alias("i", "word"))
+
+
 def _late_classes(docs: DataFrame, classes: DataFrame, levels: list[int], percent: int) -> DataFrame:
     """(late, early): every class with a similar class before it, with one such class."""
-    postings = classes.select(
-        "k1", "n", "p1", "p2", "place.doc_id", "place.line_no", F.posexplode("prefix").alias("i", "word")
-    )
     counts = classes.select(F.explode("prefix").alias("word")).groupBy("word").count()
     hot = bounded_broadcast(stored(counts.filter(F.col("count") > HOT).select("word"), "hot-words"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    crowded = postings.join(hot, "word").withColumn("band", band)
-    names = ["doc_id", "line_no", "k1", "n", "p1", "p2", "i"]
-    first = crowded.groupBy("word", "band").agg(F.min(F.struct(*names)).alias("f"))
-    first = first.select("word", "band", *(F.col(f"f.{c}").alias(f"f_{c}") for c in names))
-    star = crowded.join(first, ["word", "band"])
+    crowded = _postings(classes, "place.doc_id", "place.line_no").join(hot, "word").withColumn("band", band)
+    # One shuffle: the earliest line comes first in its group and is carried along.
+    of_group = Window.partitionBy("word", "band").orderBy("doc_id", "line_no", "k1").rowsBetween(Window.unboundedPreceding, 0)
+    earliest = F.first(F.struct(*_POSTING)).over(of_group)
+    star = crowded.withColumn("f", earliest).select(*_POSTING, *(F.col(f"f.{c}").alias(f"f_{c}") for c in _POSTING))
     star = star.filter((F.col("k1") != F.col("f_k1")) & _allowed("", "f_", percent))
-    star = stored(star.select(F.col("f_k1").alias("early"), F.col("k1").alias("late")).distinct(), "star")
+    star = stored(star.select(F.least("k1", "f_k1").alias("a"), F.greatest("k1", "f_k1").alias("b")).distinct(), "star")
     by_star = stored(
         _verified(star, docs, classes, levels, percent).groupBy("late").agg(F.min("early").alias("early")), "late"
     )
 
-    # Dealt out by word once for both sides of the join.
-    dealt = postings.repartition("word")
-    left = dealt.join(bounded_broadcast(by_star.select(F.col("late").alias("k1"))), "k1", "left_anti")
-    left = left.select("word", *(F.col(c).alias(f"l_{c}") for c in names))
-    early = dealt.select("word", *(F.col(c).alias(f"e_{c}") for c in names))
-    rest = left.join(early, "word").filter(_earlier("e_", "l_") & _allowed("e_", "l_", percent))
-    rest = rest.select(F.col("e_k1").alias("early"), F.col("l_k1").alias("late")).distinct()
-    rest = stored(rest.join(star, ["early", "late"], "left_anti"), "rest")
+    # Which classes are gone is marked before their postings are made, and these are dealt out once:
+    # filters that are not deterministic, of all classes that are not gone and of all, stay behind
+    # the shuffle and let none pass, so both sides read the same one.
+    gone = bounded_broadcast(by_star.select(F.col("late").alias("k1"), F.lit(True).alias("gone")))
+    marked = classes.join(gone, "k1", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    dealt = _postings(marked, "gone").repartition("word")
+    kept = "CASE WHEN gone THEN monotonically_increasing_id() {} 0 ELSE true END"
+    left = dealt.filter(kept.format("<")).select("word", *(F.col(c).alias(f"l_{c}") for c in _POSTING))
+    right = dealt.filter(kept.format(">=")).select("word", "gone", *(F.col(c).alias(f"r_{c}") for c in _POSTING))
+    rest = left.join(right, "word").filter((F.col("gone") | (F.col("l_k1") < F.col("r_k1"))) & _allowed("l_", "r_", percent))
+    rest = rest.select(F.least("l_k1", "r_k1").alias("a"), F.greatest("l_k1", "r_k1").alias("b")).distinct()
+    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
     by_rest = _verified(rest, docs, classes, levels, percent).groupBy("late").agg(F.min("early").alias("early"))
+    by_rest = by_rest.join(by_star.select("late"), "late", "left_anti")
     return stored(by_star.unionByName(by_rest), "late")
 
 
