@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof
-from tidemark.operators.asof import asof_join, hot_keys, with_parts
+from tidemark.operators.asof import along, asof_join, crowded, hot_keys, with_parts
 
 
 @pytest.fixture(autouse=True)
@@ -164,3 +164,19 @@ def test_keys_with_few_and_with_many_right_rows_together(spark, monkeypatch, how
     met = {o[:3] for o in owned}
     missing = [(*x, None, None) for x in left if x not in met] if how == "left" else []
     assert rows(joined) == sorted(owned + missing, key=lambda t: [(x is None, str(x)) for x in t])
+
+
+def test_rows_along_equal_brute_force(spark):
+    left, right = sample(8, 300, 60, 40, 0.3)
+    found = along(*frames(spark, left, right), ["k"], "t", "start", "owner")
+    met = found.where("NOT _right AND _at IS NOT NULL").selectExpr("k", "t", "id", "_at.time AS start", "_at.tie AS owner")
+    assert sorted(tuple(r) for r in met.collect()) == brute_force(left, right)
+    assert found.where("NOT _right").count() == len(left) and rows(found.where("_right"), "k", "start", "owner") == rows(frames(spark, left, right)[1])
+
+
+def test_crowded_keys_are_found_by_a_share_of_their_rows(spark):
+    left = spark.range(9000).selectExpr("IF(id < 4000, 0, id) AS k", "id AS t")
+    right = spark.range(3000).selectExpr("IF(id < 2000, 1, id) AS k", "id AS t")
+    assert rows(crowded([left, right], ["k"], 1500)) == [(0,), (1,)]
+    assert rows(crowded([left, right], ["k"], 2500)) == [(0,)]
+    assert crowded([left, right], ["k"], 5000).isEmpty()

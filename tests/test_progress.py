@@ -280,3 +280,68 @@ def test_retention_of_more_rows_than_tasks_cut(spark, monkeypatch):
 def test_latest_per_key(spark):
     df = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 2, "y"), ("a", 0, 9, "z"), (None, 5, 5, "n")], "k string, d int, i int, v string")
     assert rows(latest_per_key(df, ["k"], ["d", "i"])) == [("a", 1, 2, "y")]
+
+
+def test_stages_shuffle_events_and_listings_once(spark, monkeypatch):
+    """Stages that a job enters midway were read, shuffled and kept several times."""
+    monkeypatch.setattr(asof, "HOT_ROWS", 1000)
+    tasks = spark.range(3000).select(
+        F.lit("a").alias("app_id"), F.lit(P.TASK_START).alias("Event"), (F.col("id") % 300).alias("Stage ID"),
+        F.struct(F.col("id").alias("Task ID"), F.col("id").alias("Launch Time"), F.lit(None).cast("long").alias("Finish Time"),
+                 F.lit(False).alias("Failed")).alias("Task Info"),
+    )
+    jobs = spark.range(300).selectExpr("id AS job_id", "'a' AS app_id", "1500L AS started", "array(id) AS stage_ids")
+    info = spark.createDataFrame([], "`Stage Info` struct<`Stage ID`: long, `Number of Tasks`: long, `Submission Time`: long, `Completion Time`: long>")
+    events = tasks.unionByName(info, allowMissingColumns=True)
+    tracker, group = spark.sparkContext.statusTracker(), "stages plan"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        stages = P.stages_from_events(events, jobs).select("tasks_started")
+        assert not tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows(stages) == [(5,)] * 300
+    ran = stages._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in ran and ran.count("Window") == 1
+    assert "SortMergeJoin" not in ran
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stages_equal_brute_force_with_nulls(spark, tmp_path, seed):
+    rng = random.Random(seed)
+
+    def some(n):
+        return None if rng.random() < 0.1 else rng.randrange(n)
+
+    log = [job_start(j, [some(6) for _ in range(rng.randrange(5))], some(20)) for j in range(8)]
+    log += [submitted(some(6), some(9), some(20)) for _ in range(9)] + [completed(some(6), some(20), some(20)) for _ in range(6)]
+    log += [task_start(some(6), t, some(20)) for t in range(40)] + [task_end(some(6), t, some(20), some(20), rng.random() < 0.3) for t in range(30)]
+    want = []
+    starts = [e for e in log if e["Event"] == P.JOB_START]
+    for start in starts:
+        for stage in set(start["Stage IDs"]):
+            own = []
+            for e in log:
+                info = e.get("Stage Info") or e.get("Task Info")
+                if info is None:
+                    continue
+                is_stage = "Stage Info" in e
+                began, ended = ("Submission Time", "Completion Time") if is_stage else ("Launch Time", "Finish Time")
+                at = info.get(began) if info.get(began) is not None or e["Event"] in (P.STAGE_SUBMITTED, P.TASK_START) else info.get(ended)
+                its = info["Stage ID"] if is_stage else e["Stage ID"]
+                if None in (at, its, stage) or its != stage:
+                    continue
+                before = [(s["Submission Time"], s["Job ID"]) for s in starts if stage in s["Stage IDs"] and s["Submission Time"] is not None and s["Submission Time"] <= at]
+                if before and max(before)[1] == start["Job ID"]:
+                    own.append((e["Event"], at, info.get("Number of Tasks"), info.get("Failed")))
+            kinds = [o[0] for o in own]
+            submits = [o for o in own if o[0] == P.STAGE_SUBMITTED]
+            begun, over = kinds.count(P.TASK_START), kinds.count(P.TASK_END)
+            good = sum(o[0] == P.TASK_END and not o[3] for o in own)
+            want.append((start["Job ID"], stage, max([o[2] for o in submits if o[2] is not None], default=0), bool(submits),
+                         min([o[1] for o in submits], default=None), begun, begun - over, over, P.STAGE_COMPLETED in kinds, good))
+    events = read_events(spark, write_log(tmp_path / "log", log))
+    order = lambda t: [(x is None, str(x)) for x in t]
+    assert rows(state(events)[1].drop("app_id")) == sorted((w[:-1] for w in want), key=order)
+    names = ("job_id", "stage_id", "tasks_complete")
+    assert rows(state(events, failed_count=False)[1], *names) == sorted(((w[0], w[1], w[9]) for w in want), key=order)

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 #: Sampled instants for each part of a cut key.
 CUT_SAMPLE = 200
+#: Rows of a crowded key that are counted, at least.
+CROWD_SAMPLE = 1000
 #: Right rows of a key that one array holds.
 FEW_ROWS = 32
 #: Hashes by which keys with more are marked; at most so many short rows are broadcast.
@@ -154,6 +156,47 @@ def _instants(left, right, on, left_time, right_time, right_tie, extra) -> DataF
     return rows.groupBy(*on, "_time").agg(F.max_by("_r", "_tie").alias("_r"), F.max("_wanted").alias("_wanted"))
 
 
+def along(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, right_tie: str) -> DataFrame:
+    """Left and right rows of each key together in order of time, shuffled once each.
+
+    Has the columns of both sides, null for the other; ``_right`` tells the side, and ``_at`` has
+    time and tie of the latest right row that is not later, null where there is none. All of a key
+    is sorted in one task, which needs disk but no memory for it; :func:`crowded` tells the keys
+    that should go through :func:`asof_join`.
+    """
+    keys = [F.col(f"`{name}`") for name in on]
+
+    def slim(side: DataFrame, time: str, is_right: bool) -> DataFrame:
+        rest = [F.col(f"`{name}`") for name in side.columns if name not in (*on, time)]
+        return side.select(*keys, F.col(f"`{time}`").alias("_time"), *rest, F.lit(is_right).alias("_right"))
+
+    both = slim(left, left_time, False).unionByName(slim(right, right_time, True), allowMissingColumns=True)
+    is_start = F.col("_right") & F.col("_time").isNotNull()
+    for key in keys:
+        is_start = is_start & key.isNotNull()
+    order = Window.partitionBy(*keys).orderBy("_time", F.col("_right").desc(), F.col(f"`{right_tie}`"))
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mark = F.when(is_start, F.struct(F.col("_time").alias("time"), F.col(f"`{right_tie}`").alias("tie")))
+    times = {left_time: F.when(~F.col("_right"), F.col("_time")), right_time: F.when(F.col("_right"), F.col("_time"))}
+    return both.withColumn("_at", F.last(mark, ignorenulls=True).over(running)).withColumns(times).drop("_time")
+
+
+def crowded(sides: list[DataFrame], on: list[str], part_rows: int | None = None) -> DataFrame:
+    """The keys with more than ``part_rows`` rows, about, by a count of rows chosen by their hash.
+
+    At most one key for each ``part_rows`` of the rows.
+    """
+    part_rows = part_rows or HOT_ROWS
+    every = max(1, part_rows // CROWD_SAMPLE)
+    chosen = None
+    for side in sides:
+        hashed = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in side.columns]), F.lit(every)) == 0
+        keys = side.where(hashed).select(*[F.col(f"`{name}`") for name in on])
+        chosen = keys if chosen is None else chosen.unionByName(keys)
+    counts = chosen.groupBy(*[F.col(f"`{name}`") for name in on]).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") * every > part_rows).drop("_n")
+
+
 def hot_keys(rows: DataFrame, on: list[str], part_rows: int) -> DataFrame:
     """Keys with more than ``part_rows`` rows: ``_n`` rows each, to be cut into ``_copies`` parts."""
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))

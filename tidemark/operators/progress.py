@@ -30,6 +30,9 @@ STAGE_COMPLETED = "SparkListenerStageCompleted"
 TASK_START = "SparkListenerTaskStart"
 TASK_END = "SparkListenerTaskEnd"
 
+#: The kinds of stage and task events, each with its place as a short code.
+KINDS = (STAGE_SUBMITTED, STAGE_COMPLETED, TASK_START, TASK_END)
+
 # The part that differs most comes first, since it sorts fastest.
 JOB = ["job_id", "app_id"]
 STAGE = ["stage_id", "job_id", "app_id"]
@@ -149,79 +152,84 @@ def stages_from_events(events: DataFrame, jobs: DataFrame, failed_count: bool =
     """Stage facts, one row per listed stage, with zeros for a stage still waiting.
 
     A failed task counts as complete, as does each retry, unless ``failed_count`` is off.
+
+    By the ownership rule of :func:`owned_events`. Events and listings of a stage meet once, in
+    order of time, and its state per job is summed up where they meet. Only a stage with so many
+    of them that a task should not sort them all goes through the as-of join.
     """
-    rows, listings = stage_and_task_events(events), stage_listings(jobs)
-    return stage_facts(listings, _owned_state(rows, listings, counters(failed_count)))
+    rows, listings = _owned_rows(events), stage_listings(jobs).drop("position")
+    # At most one stage for each million events.
+    hot = F.broadcast(asof.crowded([rows, listings], LISTED))
+    plain, many = ([side.join(hot, LISTED, how) for side in (rows, listings)] for how in ("left_anti", "left_semi"))
+    along = asof.along(*plain, LISTED, "at", "job_started", "job_id")
+    # An event of a job without an id is its own, but no listing of such a job is found by it.
+    job = F.when(F.col("_right"), F.col("job_id")).otherwise(F.col("_at.tie"))
+    owned = along.withColumn("job_id", job).where(F.col("_right") | F.col("job_id").isNotNull())
+    facts = _facts(owned.groupBy(*STAGE).agg(*counters(failed_count, coded=True)))
+    busy = _owned(*many).groupBy(*STAGE).agg(*counters(failed_count, coded=True))
+    return facts.unionByName(stage_facts(many[1], busy))
+
+
+def _owned_rows(events: DataFrame) -> DataFrame:
+    """The :func:`stage_and_task_events` that may have an owner, slim, since each is shuffled."""
+    rows = stage_and_task_events(events).drop("task_id")
+    for name in (*LISTED, "at"):
+        rows = rows.where(F.col(name).isNotNull())
+    code = F.lit(None).cast("byte")
+    for n, name in enumerate(KINDS):
+        code = F.when(F.col("kind") == name, F.lit(n).cast("byte")).otherwise(code)
+    return rows.withColumn("kind", code)
 
 
 def stage_facts(listings: DataFrame, state: DataFrame) -> DataFrame:
     """Stage facts of listed stages from the counters per job and stage."""
+    return _facts(listings.select(*JOB, "stage_id").join(state, STAGE, "left"))
+
+
+def _facts(state: DataFrame) -> DataFrame:
     no, zero = F.lit(False), F.lit(0).cast("long")
-    return (
-        listings.drop("position", "job_started")
-        .join(state, STAGE, "left")
-        .select(
-            "app_id",
-            "job_id",
-            "stage_id",
-            F.coalesce("num_tasks", zero).alias("num_tasks"),
-            F.coalesce("submitted", no).alias("submitted"),
-            "submitted_at",
-            F.coalesce("tasks_started", zero).alias("tasks_started"),
-            F.coalesce(F.col("tasks_started") - F.col("tasks_ended"), zero).alias(
-                "tasks_in_progress"
-            ),
-            F.coalesce("tasks_complete", zero).alias("tasks_complete"),
-            F.coalesce("complete", no).alias("complete"),
-        )
+    return state.select(
+        "app_id",
+        "job_id",
+        "stage_id",
+        F.coalesce("num_tasks", zero).alias("num_tasks"),
+        F.coalesce("submitted", no).alias("submitted"),
+        "submitted_at",
+        F.coalesce("tasks_started", zero).alias("tasks_started"),
+        F.coalesce(F.col("tasks_started") - F.col("tasks_ended"), zero).alias("tasks_in_progress"),
+        F.coalesce("tasks_complete", zero).alias("tasks_complete"),
+        F.coalesce("complete", no).alias("complete"),
     )
 
 
-def counters(failed_count: bool = True) -> list[Column]:
-    """The state of a stage as aggregates over its :func:`stage_and_task_events`."""
-    kind = F.col("kind")
-    ended = kind == TASK_END
+def counters(failed_count: bool = True, coded: bool = False) -> list[Column]:
+    """The state of a stage as aggregates over its :func:`stage_and_task_events`.
+
+    ``coded`` if their kinds are places in ``KINDS``.
+    """
+
+    def of(name: str) -> Column:
+        return F.col("kind") == (KINDS.index(name) if coded else name)
+
+    ended = of(TASK_END)
     counted = ended if failed_count else ended & ~F.col("task_failed")
     return [
         F.max("num_tasks").alias("num_tasks"),
-        F.bool_or(kind == STAGE_SUBMITTED).alias("submitted"),
-        F.min(F.when(kind == STAGE_SUBMITTED, F.col("at"))).alias("submitted_at"),
-        F.count_if(kind == TASK_START).alias("tasks_started"),
+        F.bool_or(of(STAGE_SUBMITTED)).alias("submitted"),
+        F.min(F.when(of(STAGE_SUBMITTED), F.col("at"))).alias("submitted_at"),
+        F.count_if(of(TASK_START)).alias("tasks_started"),
         F.count_if(ended).alias("tasks_ended"),
         F.count_if(counted).alias("tasks_complete"),
-        F.bool_or(kind == STAGE_COMPLETED).alias("complete"),
+        F.bool_or(of(STAGE_COMPLETED)).alias("complete"),
     ]
 
 
-def _owned_state(rows: DataFrame, listings: DataFrame, sums_of: list[Column]) -> DataFrame:
-    """The counters per job and stage, by the ownership rule of :func:`owned_events`.
-
-    Events are summed up per stage before anything is shuffled: a stage whose first event
-    is not earlier than the start of its latest job belongs to that job as a whole, and
-    only the events of other stages are looked at one by one.
-    """
-    rows = rows.where(F.col("at").isNotNull())
-    owners = listings.where(F.col("job_started").isNotNull()).drop("position")
-    latest = owners.groupBy(*LISTED).agg(F.max(F.struct("job_started", "job_id")).alias("_last"))
-    sums = rows.groupBy(*LISTED).agg(*sums_of, F.min("at").alias("_first"))
-    sums = checkpointed(sums.join(latest, LISTED))
-    is_whole = F.col("_first") >= F.col("_last.job_started")
-    whole = sums.where(is_whole).select("*", "_last.job_id").drop("_first", "_last")
-    shared = sums.where(~is_whole).select(*LISTED)
-    if shared.isEmpty():
-        return whole
-    owned = _owned(
-        rows.join(shared, LISTED, "left_semi"), owners.join(shared, LISTED, "left_semi")
-    )
-    return whole.unionByName(owned.groupBy(*STAGE).agg(*sums_of))
-
-
 def facts_from_events(
     events: DataFrame, keep: int | None = None, failed_count: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Job and stage facts of a feed, of retained jobs only if ``keep`` is given.
 
-    Job facts are few beside the feed but used four times, so they are checkpointed.
+    Job facts are few beside the feed but used several times, so they are checkpointed.
     """
     jobs = checkpointed(jobs_from_events(events))
     stages = stages_from_events(events, jobs, failed_count)

@@ -39,7 +39,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Parquet rather than a checkpoint of Spark's rows, which takes several times the disk.
     """
     path = shared_dir(df.sparkSession, "kept")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -59,7 +59,7 @@ def write_events(events: DataFrame, path: str) -> None:
     The rollups look at the few job events several times and at the many task events
     once; written so, each reads only its own kinds and columns, and no JSON.
     """
-    events.write.mode("append").partitionBy("Event").parquet(path)
+    events.write.mode("append").option("compression", "zstd").partitionBy("Event").parquet(path)
 
 
 def _with_app(events: DataFrame, app_id: str | None) -> DataFrame:

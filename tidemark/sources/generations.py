@@ -27,7 +27,7 @@ def _folders(spark: SparkSession, table: str) -> list[tuple[str, int]]:
 
 
 def write(rows: DataFrame, table: str, kind: str, number: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{table}/{kind}={number}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{table}/{kind}={number}")
 
 
 def current(spark: SparkSession, table: str, upto: int | None = None) -> list[str]:

@@ -31,7 +31,7 @@ _BATCH = "_batch"
 
 def ingest(events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW) -> StreamingQuery:
     """Appends the feed to parquet files, each event exactly once, a folder per kind."""
-    writer = events.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    writer = events.writeStream.format("parquet").option("compression", "zstd").option("checkpointLocation", checkpoint)
     return writer.partitionBy("Event").outputMode("append").trigger(**trigger).start(out)
 
 
