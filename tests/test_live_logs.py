@@ -173,3 +173,19 @@ def test_query_of_followed_logs_writes_them_packed(spark, monkeypatch):
     monkeypatch.setattr(table_queries, "follow_logs", lambda spark, path, app: seen.append(path) or follow_logs(spark, path, app))
     assert table_queries.followed_log_progress(spark, "/root/testdata/sf0.001").count() > 0
     assert len(seen) == 2 and all(name.endswith(".gz") for name in L.sizes(f"file:{seen[0]}"))
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "app-1").write_text(line(1))
+    writer = follow_logs(spark, str(tmp_path / "logs")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query._jsq.explainInternal(False).count("from_json") == 1
+
+
+def test_texts_of_lines():
+    whole = [b"a", b"", "é".encode(), b"\xffb"]
+    for part in (whole, whole[:3], []):
+        assert L._texts(part).to_pylist() == [line.decode("utf-8", "replace") for line in part]
+        assert L._texts(part).type == pa.string()

@@ -49,8 +49,9 @@ def follow_logs(
     lines = reader.load(qualified(spark, path))
     of_log = F.regexp_replace("log", r"^(.*/)?(events_\d+_)?|\.gz$", "")
     app = of_log if app_id is None else F.lit(app_id)
-    events = lines.select(F.from_json("line", EVENT).alias("event"), app.alias("app_id"))
-    return events.select("event.*", "app_id").where(F.col("Event").isNotNull())
+    # A generator, through which the filter is not moved, so that a line is parsed once.
+    events = lines.select(F.inline(F.array(F.from_json("line", EVENT))), app.alias("app_id"))
+    return events.where(F.col("Event").isNotNull())
 
 
 def write_events(events: DataFrame, path: str) -> None:

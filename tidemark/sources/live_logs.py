@@ -128,6 +128,14 @@ def packed_lines(file: pa.NativeFile, start: int, end: int) -> Iterator[list[byt
             yield whole
 
 
+def _texts(whole: list[bytes]) -> pa.Array:
+    """The lines as strings; only where a byte is no UTF-8 one by one."""
+    try:
+        return pa.array(whole, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([line.decode("utf-8", "replace") for line in whole], pa.string())
+
+
 class LiveLogReader(DataSourceStreamReader):
     def __init__(self, path: str, slice_bytes: int) -> None:
         self.path, self.slice_bytes = path, slice_bytes
@@ -155,8 +163,8 @@ class LiveLogReader(DataSourceStreamReader):
         with file:
             read = packed_lines if partition.log.endswith(GZIP) else lines
             for whole in read(file, partition.start, partition.end):
-                text = [line.decode("utf-8", "replace") for line in whole]
-                yield pa.RecordBatch.from_arrays([pa.array([partition.log] * len(text), pa.string()), pa.array(text, pa.string())], names=["log", "line"])
+                log = pa.repeat(pa.scalar(partition.log, pa.string()), len(whole))
+                yield pa.RecordBatch.from_arrays([log, _texts(whole)], names=["log", "line"])
 
 
 class LiveLogs(DataSource):
