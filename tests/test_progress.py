@@ -345,3 +345,45 @@ def test_stages_equal_brute_force_with_nulls(spark, tmp_path, seed):
     assert rows(state(events)[1].drop("app_id")) == sorted((w[:-1] for w in want), key=order)
     names = ("job_id", "stage_id", "tasks_complete")
     assert rows(state(events, failed_count=False)[1], *names) == sorted(((w[0], w[1], w[9]) for w in want), key=order)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_owned_tasks_equal_brute_force_with_nulls(spark, tmp_path, seed):
+    rng = random.Random(seed)
+
+    def some(n):
+        return None if rng.random() < 0.1 else rng.randrange(n)
+
+    log = [job_start(j, [some(6) for _ in range(rng.randrange(5))], some(20)) for j in range(8)]
+    log += [task_start(some(6), some(30), some(20)) for _ in range(60)] + [task_end(some(6), some(30), some(20), some(40)) for _ in range(60)]
+    tasks, starts = {}, [e for e in log if e["Event"] == P.JOB_START]
+    for e in log:
+        if e["Event"] in (P.TASK_START, P.TASK_END):
+            info = e["Task Info"]
+            launches, finishes = tasks.setdefault((e["Stage ID"], info["Task ID"]), ([], []))
+            launches.append(info["Launch Time"])
+            finishes.append(info.get("Finish Time"))
+    want = []
+    for (stage, task), times in tasks.items():
+        started, finished = (max((t for t in ts if t is not None), default=None) for ts in times)
+        before = [
+            (s["Submission Time"], s["Job ID"])
+            for s in starts
+            if stage is not None and started is not None and stage in s["Stage IDs"] and s["Submission Time"] is not None and s["Submission Time"] <= started
+        ]
+        took = None if None in (started, finished) else finished - started
+        want.append((stage, task, started, finished, took, max(before)[1] if before else None))
+    events = read_events(spark, write_log(tmp_path / "log", log))
+    found = P.owned_tasks(events, P.jobs_from_events(events))
+    assert found.columns == ["app_id", "stage_id", "task_id", "started", "finished", "duration", "job_id"]
+    assert rows(found.drop("app_id")) == sorted(want, key=lambda t: [(x is None, str(x)) for x in t])
+
+
+def test_owned_tasks_shuffle_events_and_listings_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(asof, "HOT_ROWS", 1000)
+    write_events(read_events(spark, write_log(tmp_path / "log", LOG)), str(tmp_path / "store"))
+    events = spark.read.parquet(str(tmp_path / "store"))
+    found = P.owned_tasks(events, P.jobs_from_events(events)).select("stage_id", "task_id", "job_id")
+    assert (6, 7, 5) in rows(found) and (6, 8, 6) in rows(found)
+    ran = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in ran and ran.count("Window") == 1 and "SortMergeJoin" not in ran

@@ -164,21 +164,32 @@ def along(left: DataFrame, right: DataFrame, on: list[str], left_time: str, righ
     is sorted in one task, which needs disk but no memory for it; :func:`crowded` tells the keys
     that should go through :func:`asof_join`.
     """
-    keys = [F.col(f"`{name}`") for name in on]
+    ordered = in_order(together(left, right, on, left_time, right_time), on, right_tie)
+    times = {left_time: F.when(~F.col("_right"), F.col("_time")), right_time: F.when(F.col("_right"), F.col("_time"))}
+    return ordered.withColumns(times).drop("_time")
+
+
+def together(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str) -> DataFrame:
+    """Both sides with one ``_time``, and ``_right`` that tells the side."""
 
     def slim(side: DataFrame, time: str, is_right: bool) -> DataFrame:
+        keys = [F.col(f"`{name}`") for name in on]
         rest = [F.col(f"`{name}`") for name in side.columns if name not in (*on, time)]
         return side.select(*keys, F.col(f"`{time}`").alias("_time"), *rest, F.lit(is_right).alias("_right"))
 
-    both = slim(left, left_time, False).unionByName(slim(right, right_time, True), allowMissingColumns=True)
+    return slim(left, left_time, False).unionByName(slim(right, right_time, True), allowMissingColumns=True)
+
+
+def in_order(both: DataFrame, on: list[str], right_tie: str) -> DataFrame:
+    """Adds ``_at`` of :func:`along` to rows of :func:`together`."""
+    keys = [F.col(f"`{name}`") for name in on]
     is_start = F.col("_right") & F.col("_time").isNotNull()
     for key in keys:
         is_start = is_start & key.isNotNull()
     order = Window.partitionBy(*keys).orderBy("_time", F.col("_right").desc(), F.col(f"`{right_tie}`"))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.when(is_start, F.struct(F.col("_time").alias("time"), F.col(f"`{right_tie}`").alias("tie")))
-    times = {left_time: F.when(~F.col("_right"), F.col("_time")), right_time: F.when(F.col("_right"), F.col("_time"))}
-    return both.withColumn("_at", F.last(mark, ignorenulls=True).over(running)).withColumns(times).drop("_time")
+    return both.withColumn("_at", F.last(mark, ignorenulls=True).over(running))
 
 
 def crowded(sides: list[DataFrame], on: list[str], part_rows: int | None = None) -> DataFrame:

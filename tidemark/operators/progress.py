@@ -241,14 +241,21 @@ def facts_from_events(
 
 def tasks_from_events(events: DataFrame) -> DataFrame:
     """Launch and finish time per task, and how long it took."""
+    return _tasks(_task_times(events))
+
+
+def _task_times(events: DataFrame) -> DataFrame:
     task = F.col("`Task Info`")
-    times = of_kind(events, TASK_START, TASK_END).select(
+    return of_kind(events, TASK_START, TASK_END).select(
         "app_id",
         F.col("Stage ID").alias("stage_id"),
         task["Task ID"].alias("task_id"),
         task["Launch Time"].alias("_launch"),
         F.when(F.col("Event") == TASK_END, task["Finish Time"]).alias("_finish"),
     )
+
+
+def _tasks(times: DataFrame) -> DataFrame:
     return (
         times.groupBy("app_id", "stage_id", "task_id")
         .agg(F.max("_launch").alias("started"), F.max("_finish").alias("finished"))
@@ -260,13 +267,31 @@ def owned_tasks(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """The tasks of :func:`tasks_from_events` with the job that each belongs to.
 
     The owner is that of :func:`owned_events`; null where no job had listed the stage
-    when the task was launched.
+    when the task was launched. Events and listings of a stage are shuffled to one place, where
+    the tasks are put together and meet the listings, but for stages with so many that they go
+    through the as-of join.
     """
-    owners = stage_listings(jobs).drop("position")
-    owned = asof.asof_join(
-        tasks_from_events(events), owners, LISTED, "started", "job_started", "job_id", how="left"
+    times, listings = _task_times(events), stage_listings(jobs).drop("position")
+    named = F.col("stage_id").isNotNull() & F.col("app_id").isNotNull()
+    # At most one stage for each million events.
+    hot = F.broadcast(asof.crowded([side.where(named) for side in (times, listings)], LISTED))
+    plain, many = ([side.where(named).join(hot, LISTED, how) for side in (times, listings)] for how in ("left_anti", "left_semi"))
+    both = asof.together(*plain, LISTED, "_launch", "job_started").repartition(*LISTED)
+    # A listing is a group of its own.
+    listed = F.when(F.col("_right"), F.col("_time")).alias("_listed")
+    merged = both.groupBy(*LISTED, "task_id", "job_id", "_right", listed).agg(F.max("_time").alias("_time"), F.max("_finish").alias("finished"))
+    tasks = asof.in_order(merged, LISTED, "job_id").where(~F.col("_right")).select(
+        "app_id",
+        "stage_id",
+        "task_id",
+        F.col("_time").alias("started"),
+        "finished",
+        (F.col("finished") - F.col("_time")).alias("duration"),
+        F.col("_at.tie").alias("job_id"),
     )
-    return owned.drop("job_started")
+    rest = _tasks(many[0].unionByName(times.where(~named)))
+    busy = asof.asof_join(rest, many[1], LISTED, "started", "job_started", "job_id", how="left")
+    return tasks.unionByName(busy.drop("job_started"))
 
 
 def stage_states(stages: DataFrame) -> DataFrame:
