@@ -94,3 +94,34 @@ def test_a_batch_is_not_cached(spark, tmp_path, monkeypatch):
     store = str(tmp_path / "store")
     batches(spark, tmp_path, store, [[job_start(1, [1], 10), submitted(1, 2, 11)]])
     assert I.tracked_progress(spark, store).count() == 1
+
+
+def test_parts_meet_their_listings_in_one_shuffle(spark, tmp_path, monkeypatch):
+    """Each end of a part was joined to the listings by a join of its own."""
+    store = str(tmp_path / "store")
+    batches(spark, tmp_path, store, [[job_start(1, [1, 2], 10), submitted(1, 2, 11), task_start(1, 1, 12)], [task_end(1, 1, 12, 30), job_start(2, [1], 40)]])
+
+    def refuse(*_, **__):
+        raise AssertionError("parts go through a join")
+
+    monkeypatch.setattr(I.asof, "asof_join", refuse)
+    found = I.tracked_facts(spark, store)[1]
+    assert rows(found, "job_id", "stage_id", "tasks_started", "tasks_complete") == [(1, 1, 1, 1), (1, 2, 0, 0), (2, 1, 0, 0)]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_doubtful_stages_few_and_many(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(I, "FEW_DOUBTFUL", few)
+    log = [task_start(s, t, 10 * t) for s in range(4) for t in range(6)] + [task_end(s, t, 10 * t, 99, t % 2 == 0) for s in range(4) for t in range(5)]
+    late = [job_start(1, [0, 1, 2], 20), job_start(2, [1, 2], 35), job_start(None, [2], 45), job_start(4, [3, None], 100)]
+    store = str(tmp_path / "store")
+    batches(spark, tmp_path, store, [log, late])
+    for failed_count in (True, False):
+        found = I.tracked_facts(spark, store, failed_count)[1]
+        assert rows(P.job_progress(I.known_jobs(spark, store), found)) == in_batch_of(spark, [str(tmp_path / f"part-{k}") for k in range(2)], failed_count)
+
+
+def in_batch_of(spark, paths, failed_count):
+    events = read_events(spark, paths[0], "app-1").unionByName(read_events(spark, paths[1], "app-1"))
+    jobs = P.jobs_from_events(events)
+    return rows(P.job_progress(jobs, P.stages_from_events(events, jobs, failed_count)))

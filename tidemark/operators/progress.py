@@ -157,22 +157,36 @@ def stages_from_events(events: DataFrame, jobs: DataFrame, failed_count: bool =
     order of time, and its state per job is summed up where they meet. Only a stage with so many
     of them that a task should not sort them all goes through the as-of join.
     """
-    rows, listings = _owned_rows(events), stage_listings(jobs).drop("position")
-    # At most one stage for each million events.
-    hot = F.broadcast(asof.crowded([rows, listings], LISTED))
-    plain, many = ([side.join(hot, LISTED, how) for side in (rows, listings)] for how in ("left_anti", "left_semi"))
+    return facts_of(stage_state(owned_rows(events), stage_listings(jobs).drop("position"), counters(failed_count, coded=True)))
+
+
+def stage_state(rows: DataFrame, listings: DataFrame, sums_of: list[Column]) -> DataFrame:
+    """One row per listing with aggregates over the :func:`owned_rows` that it owns, if any."""
+    plain, many = by_crowd(rows, listings)
     along = asof.along(*plain, LISTED, "at", "job_started", "job_id")
     # An event of a job without an id is its own, but no listing of such a job is found by it.
     job = F.when(F.col("_right"), F.col("job_id")).otherwise(F.col("_at.tie"))
     owned = along.withColumn("job_id", job).where(F.col("_right") | F.col("job_id").isNotNull())
-    facts = _facts(owned.groupBy(*STAGE).agg(*counters(failed_count, coded=True)))
-    busy = _owned(*many).groupBy(*STAGE).agg(*counters(failed_count, coded=True))
-    return facts.unionByName(stage_facts(many[1], busy))
+    busy = many[1].select(*JOB, "stage_id").join(_owned(*many).groupBy(*STAGE).agg(*sums_of), STAGE, "left")
+    return owned.groupBy(*STAGE).agg(*sums_of).unionByName(busy)
+
+
+def by_crowd(rows: DataFrame, listings: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Both sides for the stages that a task may sort, and for those with too many rows."""
+    # At most one stage for each million rows.
+    hot = F.broadcast(asof.crowded([rows, listings], LISTED))
+    plain, many = ([side.join(hot, LISTED, how) for side in (rows, listings)] for how in ("left_anti", "left_semi"))
+    return plain, many
+
 
+def owned_rows(events: DataFrame) -> DataFrame:
+    """The :func:`stage_and_task_events` that may have an owner."""
+    return coded(stage_and_task_events(events))
 
-def _owned_rows(events: DataFrame) -> DataFrame:
-    """The :func:`stage_and_task_events` that may have an owner, slim, since each is shuffled."""
-    rows = stage_and_task_events(events).drop("task_id")
+
+def coded(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`stage_and_task_events` that may have an owner, slim, since each is shuffled."""
+    rows = rows.drop("task_id")
     for name in (*LISTED, "at"):
         rows = rows.where(F.col(name).isNotNull())
     code = F.lit(None).cast("byte")
@@ -181,12 +195,8 @@ def _owned_rows(events: DataFrame) -> DataFrame:
     return rows.withColumn("kind", code)
 
 
-def stage_facts(listings: DataFrame, state: DataFrame) -> DataFrame:
-    """Stage facts of listed stages from the counters per job and stage."""
-    return _facts(listings.select(*JOB, "stage_id").join(state, STAGE, "left"))
-
-
-def _facts(state: DataFrame) -> DataFrame:
+def facts_of(state: DataFrame) -> DataFrame:
+    """Stage facts from one row of counters per listing, null where it has no events."""
     no, zero = F.lit(False), F.lit(0).cast("long")
     return state.select(
         "app_id",
@@ -273,9 +283,7 @@ def owned_tasks(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """
     times, listings = _task_times(events), stage_listings(jobs).drop("position")
     named = F.col("stage_id").isNotNull() & F.col("app_id").isNotNull()
-    # At most one stage for each million events.
-    hot = F.broadcast(asof.crowded([side.where(named) for side in (times, listings)], LISTED))
-    plain, many = ([side.where(named).join(hot, LISTED, how) for side in (times, listings)] for how in ("left_anti", "left_semi"))
+    plain, many = by_crowd(times.where(named), listings.where(named))
     both = asof.together(*plain, LISTED, "_launch", "job_started").repartition(*LISTED)
     # A listing is a group of its own.
     listed = F.when(F.col("_right"), F.col("_time")).alias("_listed")

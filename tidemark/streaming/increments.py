@@ -11,31 +11,37 @@ Sums and job rows of several batches merge into one another, and :func:`compact`
 all up to a batch, the high-water mark.
 
 A part belongs to one job if its first and its last event do, by all jobs known when it is
-read. Where a job that arrived late started between the two, the events of that stage are
-looked at one by one; no others are read again. So the result is that of the batch rollups
+read: parts and listings of a stage meet once, in order of time. Where a job that arrived late
+started between the two, the events of that stage are looked at one by one; no others are
+counted again. So the result is that of the batch rollups
 over the whole feed, in any order of arrival.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import asof
 from tidemark.operators.progress import (
+    JOB,
     JOB_CHANGE,
+    KINDS,
     LISTED,
     STAGE,
     TASK_END,
+    by_crowd,
+    coded,
     counters,
+    facts_of,
     job_changes,
     job_progress,
     jobs_of_changes,
     merged_changes,
     stage_and_task_events,
-    stage_facts,
     stage_listings,
+    stage_state,
 )
 from tidemark.session import checkpointed
 from tidemark.sources import generations
@@ -46,12 +52,14 @@ _SUMS = (
     "num_tasks long, submitted boolean, submitted_at long, tasks_started long, tasks_ended long, "
     "tasks_complete long, complete boolean, tasks_good long"
 )
+#: Up to so many stages of doubtful owners are broadcast, to read only their events.
+FEW_DOUBTFUL = 100_000
 _PARTS = f"app_id string, stage_id long, job_id long, {_SUMS}, first long, last long"
 
 
 def _of_events() -> list[Column]:
-    good = (F.col("kind") == TASK_END) & ~F.col("task_failed")
-    return [*counters(), F.count_if(good).alias("tasks_good")]
+    good = (F.col("kind") == KINDS.index(TASK_END)) & ~F.col("task_failed")
+    return [*counters(coded=True), F.count_if(good).alias("tasks_good")]
 
 
 def _of_sums() -> list[Column]:
@@ -76,13 +84,20 @@ def add_batch(events: DataFrame, store: str, number: int) -> None:
     # The logs are read twice: kept in between, they would take more disk than the store.
     generations.write(job_changes(events), f"{store}/jobs", "batch", number)
     generations.write(stage_and_task_events(events), f"{store}/rows", "batch", number)
-    rows = spark.read.schema(_ROWS).parquet(f"{store}/rows/batch={number}")
-    owners = stage_listings(known_jobs(spark, store, number)).drop("position")
-    # Events of one instant have one owner, so they are summed before they are shuffled.
-    instants = rows.where(F.col("at").isNotNull()).groupBy(*LISTED, "at").agg(*_of_events())
-    owned = asof.asof_join(instants, owners, LISTED, "at", "job_started", "job_id", how="left")
-    spans = [F.min("at").alias("first"), F.max("at").alias("last")]
-    generations.write(owned.groupBy(*LISTED, "job_id").agg(*_of_sums(), *spans), f"{store}/parts", "batch", number)
+    rows = coded(spark.read.schema(_ROWS).parquet(f"{store}/rows/batch={number}"))
+    # Kept, since they are read twice and take a fraction of their shuffle.
+    owners = stage_listings(checkpointed(known_jobs(spark, store, number))).drop("position")
+    generations.write(_parts(rows, owners), f"{store}/parts", "batch", number)
+
+
+def _parts(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """Sums over events per stage and job that owns them, or none."""
+    plain, many = by_crowd(rows, owners)
+    sums = [*_of_events(), F.min("at").alias("first"), F.max("at").alias("last")]
+    along = asof.along(*plain, LISTED, "at", "job_started", "job_id").where(~F.col("_right"))
+    owned = along.withColumn("job_id", F.col("_at.tie")).groupBy(*LISTED, "job_id").agg(*sums)
+    busy = asof.asof_join(*many, LISTED, "at", "job_started", "job_id", how="left")
+    return owned.unionByName(busy.groupBy(*LISTED, "job_id").agg(*sums))
 
 
 def compact(spark: SparkSession, store: str, upto: int) -> None:
@@ -107,30 +122,38 @@ def track(events: DataFrame, store: str, checkpoint: str, every: int = 50, trigg
 
 
 def _states(spark: SparkSession, store: str, owners: DataFrame) -> DataFrame:
-    """The sums per job and stage."""
-    parts = _merged(generations.read(spark, f"{store}/parts", _PARTS)).drop("job_id")
-    for end in ("first", "last"):
-        named = owners.select(*LISTED, F.col("job_id").alias(f"{end}_job"), F.col("job_started").alias(f"_{end}"))
-        parts = asof.asof_join(parts, named, LISTED, end, f"_{end}", f"{end}_job", how="left")
-    parts = checkpointed(parts)
-    doubtful = parts.where(~F.col("first_job").eqNullSafe(F.col("last_job"))).select(*LISTED).distinct()
-    clear = parts.withColumnRenamed("first_job", "job_id")
-    if doubtful.isEmpty():
-        return clear.where("job_id IS NOT NULL").groupBy(*STAGE).agg(*_of_sums())
-    rows = generations.read(spark, f"{store}/rows", _ROWS).join(doubtful, LISTED, "left_semi")
-    owned = asof.asof_join(rows, owners, LISTED, "at", "job_started", "job_id")
-    clear = clear.join(doubtful, LISTED, "left_anti").where("job_id IS NOT NULL")
-    return clear.groupBy(*STAGE).agg(*_of_sums()).unionByName(owned.groupBy(*STAGE).agg(*_of_events()))
+    """The sums per listing, null where it owns no events."""
+    parts = generations.read(spark, f"{store}/parts", _PARTS).drop("job_id")
+    both = asof.in_order(asof.together(parts, owners, LISTED, "first", "job_started"), LISTED, "job_id")
+    is_start = F.col("_right") & F.col("_time").isNotNull()
+    later = Window.partitionBy(*LISTED).orderBy(F.col("_time").desc(), "_right").rowsBetween(Window.unboundedPreceding, -1)
+    next_start = F.last(F.when(is_start, F.col("_time")), ignorenulls=True).over(later)
+    # A part with no stage is of nobody.
+    split = ~F.col("_right") & F.coalesce(next_start <= F.col("last"), F.lit(False))
+    stage = Window.partitionBy(*LISTED)
+    marked = both.withColumn("_split", split).withColumn("doubtful", F.max("_split").over(stage))
+    job = F.when(F.col("_right"), F.col("job_id")).otherwise(F.col("_at.tie"))
+    owned = marked.withColumn("job_id", job).where(F.col("_right") | F.col("job_id").isNotNull())
+    started = F.max(F.when(F.col("_right"), F.col("_time"))).alias("job_started")
+    kept = checkpointed(owned.groupBy(*STAGE, "doubtful").agg(*_of_sums(), started))
+    doubtful = kept.where("doubtful").select(*JOB, "stage_id", "job_started")
+    clear = kept.where("NOT doubtful").drop("doubtful", "job_started")
+    few = doubtful.limit(FEW_DOUBTFUL + 1).count()
+    if not few:
+        return clear
+    rows = coded(generations.read(spark, f"{store}/rows", _ROWS))
+    if few <= FEW_DOUBTFUL:
+        rows = rows.join(F.broadcast(doubtful.select(*LISTED)), LISTED, "left_semi")
+    return clear.unionByName(stage_state(rows, doubtful, _of_events()))
 
 
 def tracked_facts(spark: SparkSession, store: str, failed_count: bool = True) -> tuple[DataFrame, DataFrame]:
     """Job and stage facts of all batches so far, as of the batch rollups over the whole feed."""
     jobs = checkpointed(known_jobs(spark, store))
-    listings = stage_listings(jobs)
-    state = _states(spark, store, listings.drop("position"))
+    state = _states(spark, store, stage_listings(jobs).drop("position"))
     if not failed_count:
         state = state.withColumn("tasks_complete", F.col("tasks_good"))
-    return jobs, stage_facts(listings, state)
+    return jobs, facts_of(state)
 
 
 def tracked_progress(spark: SparkSession, store: str) -> DataFrame:
